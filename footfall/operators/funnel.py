@@ -1,0 +1,176 @@
+"""Ordered conversion over people."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from footfall.operators.identity import linked, with_actor
+from footfall.params import FunnelSpec, Instant, TimeRange, parse_filters
+from footfall.plans.selection import middle_values
+from footfall.plans.skew import HEAVY_ROWS
+from footfall.sources.events import scope
+
+# Slices the time range is cut into when a person's events are thinned out.
+SLICES = 4096
+
+
+def funnel(
+    events: DataFrame,
+    organization_id: int,
+    steps: Sequence[str],
+    window: str | None = None,
+    start: Instant | None = None,
+    end: Instant | None = None,
+    filters: Iterable[str] | None = None,
+    now: Instant | None = None,
+    heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """One row per step: ``step, event_type, actors, conversion_from_previous,
+    conversion_from_first, median_seconds_from_previous``.
+
+    A person enters with the first event of step one. Each later step is the earliest
+    event of its type strictly after the step before it, and counts if it happened no
+    later than ``window`` after entry.
+    """
+    spec = FunnelSpec.parse(steps, window)
+    span = TimeRange.resolve(start, end, now)
+    taking_part = scope(events, organization_id, span, None, parse_filters(filters)).where(
+        F.col("event_type").isin(*set(spec.steps))
+        & F.coalesce("user_id", "anonymous_id").isNotNull()
+    )
+    rows = with_actor(
+        taking_part.select("event_type", "occurred_at", "user_id", "anonymous_id"),
+        linked(scope(events, organization_id, span)),
+        spread_by=["occurred_at", "event_type"],
+        heavy_rows=heavy_rows,
+    ).select("actor", "event_type", F.unix_micros("occurred_at").alias("at"))
+    return report(walks(thinned(rows, spec, span), spec), spec)
+
+
+def thinned(rows: DataFrame, spec: FunnelSpec, span: TimeRange) -> DataFrame:
+    """The rows that can be a step of somebody's walk, at most 36 per person and slice.
+
+    However a walk stands when a slice of time begins, it goes on with the earliest
+    event of the step it waits for, then with the earliest of the next step after
+    that. There is one such run for each step it may be waiting for, and events
+    outside all of those runs are never chosen. A person with a great share of all
+    events is thereby spread over the slices, and only a bounded number of rows is
+    gathered per person afterwards.
+    """
+    width = -(-(span.end_micros - span.start_micros) // SLICES)
+    together = Window.partitionBy("actor", "slice")
+    runs = [
+        (entry, step, f"run_{entry}_{step}")
+        for step in range(len(spec.steps))
+        for entry in range(step + 1)
+    ]
+    sliced = rows.withColumn("slice", F.expr(f"(at - {span.start_micros}) div {width}"))
+    for reached, name in enumerate(spec.steps):
+        sliced = sliced.withColumns(
+            {
+                run: _earliest(name, f"run_{entry}_{step - 1}" if entry < step else None).over(together)
+                for entry, step, run in runs
+                if step == reached
+            }
+        )
+    picks = F.array(
+        *(
+            F.struct(F.lit(spec.steps[step]).alias("event_type"), F.first(run).alias("at"))
+            for _, step, run in runs
+        )
+    )
+    return (
+        sliced.groupBy("actor", "slice")
+        .agg(F.array_distinct(picks).alias("picks"))
+        .select("actor", F.inline("picks"))
+        .where(F.col("at").isNotNull())
+    )
+
+
+def _earliest(event_type: str, after: str | None, until: Column | None = None) -> Column:
+    match = F.col("event_type") == event_type
+    if after is not None:
+        match &= F.col("at") > F.col(after)
+    if until is not None:
+        match &= F.col("at") <= until
+    return F.min(F.when(match, F.col("at")))
+
+
+def walks(rows: DataFrame, spec: FunnelSpec) -> DataFrame:
+    """One row per person who entered: microseconds ``t_0 .. t_n``, NULL if not reached.
+
+    All steps share one shuffle and one sort by person.
+    """
+    person = Window.partitionBy("actor")
+    rows = rows.withColumn("t_0", _earliest(spec.steps[0], None).over(person))
+    until = F.col("t_0") + F.lit(spec.window_micros)
+    for step, name in enumerate(spec.steps[1:], start=1):
+        rows = rows.withColumn(f"t_{step}", _earliest(name, f"t_{step - 1}", until).over(person))
+    times = [F.first(f"t_{step}").alias(f"t_{step}") for step in range(len(spec.steps))]
+    return rows.groupBy("actor").agg(*times).where(F.col("t_0").isNotNull())
+
+
+def report(walked: DataFrame, spec: FunnelSpec) -> DataFrame:
+    numbers = range(len(spec.steps))
+    # Microseconds since the step before, at least 1. Entering takes no time; the 1
+    # stands for it so that entries are counted along with the other steps.
+    taken = F.array(
+        F.lit(1).cast("long"), *(F.col(f"t_{n}") - F.col(f"t_{n - 1}") for n in numbers[1:])
+    )
+    # The only shuffle of per-person rows; both passes over the durations read it.
+    tally = (
+        walked.select(F.posexplode(taken).alias("step", "value"))
+        .where(F.col("value").isNotNull())
+        .groupBy("step", "value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    # One or two rows per step, made one row in all.
+    measured = middle_values(tally, "step").agg(
+        *(F.max(_at(n, "total")).alias(f"actors_{n}") for n in numbers),
+        *(((F.min(_at(n, "value")) + F.max(_at(n, "value"))) / 2e6).alias(f"median_{n}") for n in numbers),
+    )
+    actors = [F.coalesce(f"actors_{n}", F.lit(0).cast("long")) for n in numbers]
+    steps = F.array(
+        *(
+            F.struct(
+                F.lit(n + 1).alias("step"),
+                F.lit(spec.steps[n]).alias("event_type"),
+                actors[n].alias("actors"),
+                (ratio(actors[n], actors[n - 1]) if n else F.lit(1.0)).alias("conversion_from_previous"),
+                ratio(actors[n], actors[0]).alias("conversion_from_first"),
+                (F.col(f"median_{n}") if n else F.lit(None).cast("double")).alias("median_seconds_from_previous"),
+            )
+            for n in numbers
+        )
+    )
+    return measured.select(F.inline(steps))
+
+
+def _at(step: int, column: str) -> Column:
+    return F.when(F.col("step") == step, F.col(column))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """No entrants is a conversion of zero."""
+    return F.when(whole == 0, 0.0).otherwise(part / whole)
+
+
+def funnel_totals(
+    reported: DataFrame, steps: Sequence[str], window: str | None = None
+) -> DataFrame:
+    """One row over a funnel's report: ``conversion_window, entered, completed,
+    overall_conversion``."""
+    spec = FunnelSpec.parse(steps, window)
+    totals = reported.agg(
+        F.max(F.when(F.col("step") == 1, F.col("actors"))).alias("entered"),
+        F.max(F.when(F.col("step") == len(spec.steps), F.col("actors"))).alias("completed"),
+    )
+    return totals.select(
+        F.lit(spec.window_text).alias("conversion_window"),
+        "entered",
+        "completed",
+        ratio(F.col("completed"), F.col("entered")).alias("overall_conversion"),
+    )

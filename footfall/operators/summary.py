@@ -1,0 +1,51 @@
+"""Totals and unique people."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from footfall.operators.identity import linked, with_actor
+from footfall.params import Instant, TimeRange, parse_filters
+from footfall.sources.events import scope
+
+
+def summary(
+    events: DataFrame,
+    organization_id: int,
+    start: Instant | None = None,
+    end: Instant | None = None,
+    event_type: str | None = None,
+    filters: Iterable[str] | None = None,
+    now: Instant | None = None,
+) -> DataFrame:
+    """One row: ``total_events, unique_actors, distinct_event_types, first_event_at,
+    last_event_at``.
+
+    Events are first reduced to one row per identity and event type, map-side as far
+    as possible. People are resolved on those rows, so no id is busy any more when
+    the identity join shuffles, and the exact distinct counts expand far fewer rows.
+    """
+    span = TimeRange.resolve(start, end, now)
+    hits = scope(events, organization_id, span, event_type, parse_filters(filters))
+    unnamed = F.when(F.col("user_id").isNull(), F.col("anonymous_id"))
+    groups = hits.groupBy("event_type", "user_id", unnamed.alias("anonymous_id")).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.min("occurred_at").alias("first_at"),
+        F.max("occurred_at").alias("last_at"),
+    )
+    resolved = with_actor(
+        groups,
+        linked(scope(events, organization_id, span)),
+        spread_by=["event_type", "user_id"],
+        heavy_rows=None,
+    )
+    return resolved.agg(
+        F.coalesce(F.sum("events"), F.lit(0).cast("long")).alias("total_events"),
+        F.count_distinct("actor").alias("unique_actors"),
+        F.count_distinct("event_type").alias("distinct_event_types"),
+        F.min("first_at").alias("first_event_at"),
+        F.max("last_at").alias("last_event_at"),
+    )
