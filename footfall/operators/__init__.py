@@ -1,10 +1,10 @@
 """The questions that can be asked about events, each returning a lazy DataFrame."""
 
-from footfall.operators.breakdown import breakdown
+from footfall.operators.breakdowns import breakdown
 from footfall.operators.events import event_types, events_page
-from footfall.operators.funnel import funnel, funnel_totals
+from footfall.operators.funnels import funnel, funnel_totals
 from footfall.operators.identity import identities, with_actor
-from footfall.operators.summary import summary
+from footfall.operators.summaries import summary
 from footfall.operators.timeseries import time_series, total
 
 __all__ = [

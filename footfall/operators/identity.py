@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.params import Instant, TimeRange
-from footfall.plans.skew import HEAVY_ROWS, heavy_keys, spread_left_join
+from footfall.plans.skew import spread_left_join
 from footfall.sources.events import scope
 
 
@@ -37,23 +39,26 @@ def linked(scoped: DataFrame) -> DataFrame:
     )
 
 
+def unnamed() -> Column:
+    """The anonymous id of a row that does not name its user."""
+    return F.when(F.col("user_id").isNull(), F.col("anonymous_id"))
+
+
 def with_actor(
-    rows: DataFrame,
-    links: DataFrame,
-    spread_by: list[str],
-    heavy_rows: int | None = HEAVY_ROWS,
+    rows: DataFrame, links: DataFrame, spread_by: list[str], heavy: Sequence[str] = ()
 ) -> DataFrame:
     """``rows`` with ``actor``: its user, else the user its anonymous id led to, else
     the anonymous id itself, else NULL.
 
-    A row that names its user needs no lookup and takes part without a key. Anonymous
-    ids with very many rows are looked for first; ``heavy_rows=None`` says that the
-    caller has already reduced ``rows`` to a few per id.
+    A row that names its user needs no lookup and takes part without a key. ``heavy``
+    are anonymous ids with very many such rows.
     """
-    links = links.toDF("_unnamed", "_linked_user")
-    unnamed = F.when(F.col("user_id").isNull(), F.col("anonymous_id"))
-    rows = rows.withColumn("_unnamed", unnamed)
-    heavy = [] if heavy_rows is None else heavy_keys(rows, "_unnamed", heavy_rows)
-    found = spread_left_join(rows, links, "_unnamed", spread_by, heavy)
+    found = spread_left_join(
+        rows.withColumn("_unnamed", unnamed()),
+        links.toDF("_unnamed", "_linked_user"),
+        "_unnamed",
+        spread_by,
+        heavy,
+    )
     actor = F.coalesce("user_id", "_linked_user", "anonymous_id")
-    return found.select(*rows.drop("_unnamed").columns, actor.alias("actor"))
+    return found.select(*rows.columns, actor.alias("actor"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from footfall.functions.ids import derived_id, is_uuid
 from footfall.functions.metadata import canonical
 from footfall.functions.text import api_key_hash, blank, blank_to_null, utf16_length
-from footfall.plans.skew import BROADCAST_ROWS, HEAVY_ROWS, known, lookup
+from footfall.plans.skew import known, lookup
 from footfall.schema import CORRUPT, REQUEST_BATCH, TENANT_EVENT
 
 # Fixed value: the longest event type or id, in UTF-16 units.
@@ -97,6 +97,10 @@ def _nested(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
 
+def _flat_text(value: Column) -> Column:
+    return F.when(~_nested(value), text_of(value))
+
+
 def instant_of(value: Column) -> Column:
     """The instant a text or number stands for, or NULL."""
     text = text_of(value)
@@ -179,8 +183,6 @@ def attribute(
     requests: DataFrame,
     organizations: DataFrame,
     spread_by: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """``organization_id`` from the key in ``api_key``; NULL for an unknown or missing
     one. Nothing in the body can name a tenant."""
@@ -193,8 +195,6 @@ def attribute(
         keys,
         "_key_hash",
         spread_by,
-        broadcast_rows,
-        heavy_rows,
     ).drop("_key_hash")
 
 
@@ -202,8 +202,6 @@ def with_known_tenant(
     rows: DataFrame,
     organizations: DataFrame,
     spread_by: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """``known_tenant``: whether the organization of a row exists."""
     tenants = organizations.select(
@@ -214,8 +212,6 @@ def with_known_tenant(
         tenants,
         "_tenant",
         spread_by,
-        broadcast_rows,
-        heavy_rows,
     )
     exists = F.coalesce("_exists", F.lit(False))
     return found.withColumn("known_tenant", exists).drop("_tenant", "_exists")
@@ -243,32 +239,44 @@ def to_messages(events: DataFrame) -> DataFrame:
 def from_messages(messages: DataFrame) -> DataFrame:
     """Messages as event columns, with what happened to each in ``outcome``.
 
-    ``outcome`` is ``invalid`` for a message that is not a JSON object, ``rejected``
-    with a ``reason`` for one that the event table could not hold, else ``valid``.
+    ``invalid`` is a message that cannot be read: not a JSON object, or with a field of
+    a wrong type. ``rejected``, with a ``reason``, is one that lacks what the event
+    table requires. Any other is ``valid``.
     """
     rows = decode(messages)
     record = F.col("record")
     event_id = text_of(record["eventId"])
-    rows = rows.withColumns(
-        {
-            "event_id": F.when(is_uuid(event_id), F.lower(event_id)),
-            "organization_id": F.try_variant_get(record["organizationId"], "$", "bigint"),
-            "event_type": text_of(record["eventType"]),
-            "occurred_at": instant_of(record["occurredAt"]),
-            "metadata": F.when(_absent(record["metadata"]), F.lit("{}")).otherwise(
-                canonical(record["metadata"])
-            ),
-            "user_id": blank_to_null(text_of(record["userId"])),
-            "anonymous_id": blank_to_null(text_of(record["anonymousId"])),
-        }
-    )
-    needed = ["event_id", "organization_id", "event_type", "occurred_at", "metadata"]
+    columns = {
+        "event_id": ("eventId", F.when(is_uuid(event_id), F.lower(event_id))),
+        "organization_id": (
+            "organizationId",
+            F.try_variant_get(record["organizationId"], "$", "bigint"),
+        ),
+        "event_type": ("eventType", _flat_text(record["eventType"])),
+        "occurred_at": ("occurredAt", instant_of(record["occurredAt"])),
+        "metadata": ("metadata", canonical(record["metadata"])),
+        "user_id": ("userId", _flat_text(record["userId"])),
+        "anonymous_id": ("anonymousId", _flat_text(record["anonymousId"])),
+    }
+    wrong = [~_absent(record[field]) & F.col(name).isNull() for name, (field, _) in columns.items()]
+    needed = ("event_id", "organization_id", "event_type", "occurred_at")
     missing = F.concat_ws(", ", *(F.when(F.col(name).isNull(), F.lit(name)) for name in needed))
-    reason = F.when(record.isNotNull() & (missing != ""), F.concat(F.lit("no usable "), missing))
     outcome = (
-        F.when(record.isNull(), "invalid").when(F.col("reason").isNotNull(), "rejected").otherwise("valid")
+        F.when(record.isNull() | F.exists(F.array(*wrong), lambda test: test), "invalid")
+        .when(missing != "", "rejected")
+        .otherwise("valid")
     )
-    return rows.withColumn("reason", reason).withColumn("outcome", outcome).drop("record")
+    judged = rows.withColumns({name: value for name, (_, value) in columns.items()}).withColumns(
+        {"outcome": outcome, "missing": missing}
+    )
+    return judged.withColumns(
+        {
+            "metadata": F.coalesce("metadata", F.lit("{}")),
+            "user_id": blank_to_null(F.col("user_id")),
+            "anonymous_id": blank_to_null(F.col("anonymous_id")),
+            "reason": F.when(F.col("outcome") == "rejected", F.concat(F.lit("no "), "missing")),
+        }
+    ).drop("record", "missing")
 
 
 # --- duplicates --------------------------------------------------------------
@@ -289,14 +297,19 @@ def first_deliveries(rows: DataFrame, arrival: list[str] | None = None) -> DataF
 
 
 def unseen(
-    rows: DataFrame, stored: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    rows: DataFrame,
+    stored: DataFrame,
+    keys: DataFrame | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Rows whose id is not in the event table yet, however long ago it was stored.
 
     First the ids that are stored already are picked out, reading two columns of the
     table where they lie; the table itself is never shuffled for a small batch.
+    ``keys`` may be given where the ids of ``rows`` are at hand more cheaply, and
+    ``small`` where their number has been compared with BROADCAST_ROWS already.
     """
-    seen = known(stored, rows, KEY, broadcast_rows)
+    seen = known(stored, rows if keys is None else keys, KEY, small)
     return rows.join(seen, KEY, "left_anti")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.operators.identity import linked, with_actor
+from footfall.operators.identity import linked, unnamed, with_actor
 from footfall.params import Instant, TimeRange, parse_filters
 from footfall.sources.events import scope
 
@@ -30,8 +30,7 @@ def summary(
     """
     span = TimeRange.resolve(start, end, now)
     hits = scope(events, organization_id, span, event_type, parse_filters(filters))
-    unnamed = F.when(F.col("user_id").isNull(), F.col("anonymous_id"))
-    groups = hits.groupBy("event_type", "user_id", unnamed.alias("anonymous_id")).agg(
+    groups = hits.groupBy("event_type", "user_id", unnamed().alias("anonymous_id")).agg(
         F.count(F.lit(1)).alias("events"),
         F.min("occurred_at").alias("first_at"),
         F.max("occurred_at").alias("last_at"),
@@ -40,7 +39,6 @@ def summary(
         groups,
         linked(scope(events, organization_id, span)),
         spread_by=["event_type", "user_id"],
-        heavy_rows=None,
     )
     return resolved.agg(
         F.coalesce(F.sum("events"), F.lit(0).cast("long")).alias("total_events"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is worth splitting from this many rows on; below it one task copes.
@@ -14,21 +16,22 @@ SALTS = 256
 BROADCAST_ROWS = 500_000
 
 
-def heavy_keys(rows: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> list[str]:
-    """At most HEAVY_KEYS keys that hold many rows; usually there is none.
+def survey(rows: DataFrame, key: Column) -> tuple[int, list[str]]:
+    """How many rows there are, and at most HEAVY_KEYS keys that hold very many of
+    them; usually there is none.
 
-    Runs one job over ``rows``: a mergeable sketch, of which tasks send on only its
-    counters. The estimates decide where rows travel and never what they join with,
-    so a key named needlessly costs a little and changes nothing.
+    Runs one job over ``rows``: a count and a mergeable sketch, of which tasks send on
+    only the counters. The sketch's estimates decide where rows travel and never what
+    they join with, so a key named needlessly costs a little and changes nothing.
     """
-    found = F.expr(f"approx_top_k(`{key}`, {HEAVY_KEYS}, {SKETCH_COUNTERS})")
-    keyed = rows.where(F.col(key).isNotNull())
-    heavy = keyed.agg(found.alias("found")).select(F.inline("found"))
-    return [row["item"] for row in heavy.where(F.col("count") >= heavy_rows).collect()]
+    top = F.call_function("approx_top_k", key, F.lit(HEAVY_KEYS), F.lit(SKETCH_COUNTERS))
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), top.alias("top")).first()
+    heavy = [key for key, held in found.top if key is not None and held >= HEAVY_ROWS]
+    return found.rows, heavy
 
 
 def spread_left_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: list[str], heavy: list[str]
+    left: DataFrame, right: DataFrame, key: str, spread_by: list[str], heavy: Sequence[str] = ()
 ) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on a string ``key`` that is unique in ``right``.
 
@@ -46,8 +49,8 @@ def spread_left_join(
     match = (F.col("_key") == F.col("_right_key")) & F.col("_keyed")
     if heavy:
         salts = F.lit(SALTS)
-        left_side["_salt"] = F.when(F.col(key).isin(heavy), F.pmod(scattered, salts)).otherwise(0)
-        dealt = F.when(F.col("_right_key").isin(heavy), F.sequence(F.lit(0), salts - 1))
+        left_side["_salt"] = F.when(F.col(key).isin(*heavy), F.pmod(scattered, salts)).otherwise(0)
+        dealt = F.when(F.col("_right_key").isin(*heavy), F.sequence(F.lit(0), salts - 1))
         every_salt = F.explode(F.coalesce(dealt, F.array(F.lit(0))))
         right = right.select("*", every_salt.alias("_right_salt"))
         match &= F.col("_salt") == F.col("_right_salt")
@@ -58,9 +61,9 @@ def spread_left_join(
     )
 
 
-def fits_broadcast(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+def fits_broadcast(rows: DataFrame) -> bool:
     """Whether ``rows`` is small enough to broadcast, by counting no further than that."""
-    return rows.limit(most + 1).count() <= most
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def lookup(
@@ -68,18 +71,16 @@ def lookup(
     dimension: DataFrame,
     key: str,
     spread_by: list[str],
-    broadcast_rows: int = BROADCAST_ROWS,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """LEFT JOIN with a dimension: broadcast if its counted size allows, else spread."""
-    if fits_broadcast(dimension, broadcast_rows):
+    if fits_broadcast(dimension):
         return left.join(F.broadcast(dimension), key, "left")
-    heavy = heavy_keys(left, key, heavy_rows)
+    _, heavy = survey(left, F.col(key))
     return spread_left_join(left, dimension, key, spread_by, heavy)
 
 
 def known(
-    rows: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int = BROADCAST_ROWS
+    rows: DataFrame, keys: DataFrame, on: list[str], small: bool | None = None
 ) -> DataFrame:
     """Those of ``keys`` that occur in the far larger ``rows``.
 
@@ -87,7 +88,7 @@ def known(
     Beyond that both sides are shuffled; Catalyst may then filter ``rows`` by a Bloom
     filter of the keys first.
     """
-    if fits_broadcast(keys, broadcast_rows):
+    keys = keys.select(on)
+    if fits_broadcast(keys) if small is None else small:
         keys = F.broadcast(keys)
-    return rows.select(on).join(keys.select(on), on, "left_semi")
-
+    return rows.select(on).join(keys, on, "left_semi")

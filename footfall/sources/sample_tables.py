@@ -81,3 +81,110 @@ def sample_organizations(spark: SparkSession, folder: str) -> DataFrame:
         api_key_prefix(key).alias("api_key_prefix"),
         F.timestamp_micros(F.lit(0)).alias("created_at"),
     ).select(ORGANIZATIONS.names)
+
+
+# --- raw records, with every kind of defect somewhere ------------------------
+
+TOPIC_NAME = "sample"
+
+# Case number `event_id % 53` decides what is wrong with a record.
+REQUEST_VALUE = """
+    case event_id % 53
+      when 0 then '{"eventType":"cut off'
+      when 13 then '[1]'
+      when 14 then ''
+      else concat('{"ignored":{"a":[1,2]}',
+        case event_id % 53
+          when 1 then ',"eventType":" \\\\t "'
+          when 2 then ''
+          when 11 then concat(',"eventType":"', repeat('x', 201), '"')
+          when 15 then concat(',"eventType":"', repeat('y', 200), '"')
+          else concat(',"eventType":"', event_type, '"') end,
+        case event_id % 53
+          when 3 then ',"eventId":"not-a-uuid"'
+          when 7 then ''
+          when 16 then ',"eventId":null'
+          else concat(',"eventId":"', upper({uuid}), '"') end,
+        case event_id % 53
+          when 4 then ',"occurredAt":"yesterday"'
+          when 8 then ''
+          when 17 then ',"occurredAt":1704067200.25'
+          when 18 then ',"occurredAt":"2024-01-15T12:30:00+02:00"'
+          when 19 then ',"occurredAt":"2024-02-30T00:00:00Z"'
+          else concat(',"occurredAt":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), '"') end,
+        case event_id % 53
+          when 6 then concat(',"userId":"', repeat('u', 201), '"')
+          when 10 then ',"userId":"   "'
+          when 20 then ',"userId":{"id":1}'
+          when 21 then concat(',"userId":', user_id)
+          else concat(',"userId":"u-', user_id, '"') end,
+        case event_id % 53
+          when 5 then ',"metadata":[1,2]'
+          when 9 then ''
+          when 12 then ',"metadata":{"plan":"free","k":1,"plan":"pro"}'
+          when 22 then ',"metadata":"{}"'
+          else concat(',"metadata":{"plan":"pro","k":', event_id % 100, '}') end,
+        '}') end
+"""
+
+
+def sample_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per row of `events`, from tenants 1 to 30, of which 25 exist."""
+    raw = spark.read.parquet(f"{folder}/events.parquet")
+    key = api_key("user_id % 30 + 1")
+    return raw.selectExpr(
+        f"""case event_id % 59 when 0 then null when 1 then 'nobody'
+              when 2 then concat(' ', {key}, '\\t') else {key} end as api_key""",
+        REQUEST_VALUE.replace("{uuid}", UUID_TEXT.format(id="event_id")) + " as value",
+        f"'{TOPIC_NAME}' as topic",
+        "cast(event_id % 8 as int) as partition",
+        "event_id as offset",
+        "cast(ts as timestamp) + interval 5 seconds as timestamp",
+    )
+
+
+def sample_request_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The requests of four neighbouring rows as one list each; where a list would hold
+    text that is not JSON it breaks off, and each thirteenth list is empty."""
+    single = sample_requests(spark, folder)
+    numbered = single.withColumn("list", F.expr("offset div 4"))
+    body = F.expr("array_join(transform(array_sort(collect_list(struct(offset, value))), x -> x.value), ',')")
+    return numbered.groupBy("list").agg(body.alias("body")).select(
+        "list",
+        F.when(F.col("list") % 13 == 0, '{"events":[]}')
+        .otherwise(F.concat(F.lit('{"events":['), "body", F.lit("]}")))
+        .alias("value"),
+    )
+
+
+def sample_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of `events` as a message, delivered one to three times.
+
+    A repeated delivery differs in its event type, so that it shows which one was kept.
+    Some messages cannot be read, lack something or name a tenant that does not exist.
+    """
+    raw = spark.read.parquet(f"{folder}/events.parquet")
+    value = """
+        case event_id % 53
+          when 0 then '{"eventId":'
+          when 1 then 'null'
+          else concat('{"eventId":"', {uuid}, '"',
+            case event_id % 53 when 2 then '' else concat(',"organizationId":', user_id % 30 + 1) end,
+            case event_id % 53 when 3 then ',"eventType":null'
+              else concat(',"eventType":"', event_type, if(delivery = 0, '', '-again'), '"') end,
+            case event_id % 53 when 4 then ''
+              else concat(',"occurredAt":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), '"') end,
+            case event_id % 53 when 5 then ',"metadata":7' when 6 then '' when 9 then ',"metadata":null'
+              else concat(',"metadata":{"k":', event_id % 100, ',"plan":"pro"}') end,
+            case event_id % 53 when 7 then ',"userId":""' else concat(',"userId":"u-', user_id, '"') end,
+            ',"anonymousId":"a-', user_id, '"}') end
+    """.replace("{uuid}", UUID_TEXT.format(id="event_id"))
+    deliveries = raw.withColumn("delivery", F.explode(F.expr("sequence(0, cast(event_id % 3 as int))")))
+    return deliveries.selectExpr(
+        "cast(user_id % 30 + 1 as string) as key",
+        value + " as value",
+        f"'{TOPIC_NAME}' as topic",
+        "cast(user_id % 8 as int) as partition",
+        "event_id * 4 + delivery as offset",
+        "cast(ts as timestamp) + interval 5 seconds as timestamp",
+    )

@@ -27,6 +27,7 @@ from footfall.operators.ingest import (
     with_defaults,
     with_known_tenant,
 )
+from footfall.plans.skew import BROADCAST_ROWS
 from footfall.schema import REQUEST
 from footfall.session import check_session, checkpoint_location
 from footfall.sources.events import append_events
@@ -103,7 +104,8 @@ def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, bat
     classified = classify(messages, organizations).persist()
     try:
         valid = classified.where(F.col("outcome") == "valid")
-        fresh = unseen(first_deliveries(valid), store.read(spark))
+        small = valid.count() <= BROADCAST_ROWS
+        fresh = unseen(first_deliveries(valid), store.read(spark), keys=valid, small=small)
         append_events(as_stored(fresh), store.events, batch)
         rejected = classified.where(F.col("outcome") == "rejected")
         replace_batch(
