@@ -5,6 +5,9 @@ The same functions serve a batch load and every micro-batch of a stream.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,20 +88,15 @@ def error(field: str, message: str) -> Column:
 
 
 def text_of(value: Column) -> Column:
-    """A JSON string, number or boolean as text."""
-    return F.try_variant_get(value, "$", "string")
-
-
-def _absent(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
-
+    """A JSON string, number or boolean as text; NULL for what is nested."""
+    text = F.try_variant_get(value, "$", "string")
+    # The type is only looked up where the text leaves it open.
+    nested = text.rlike(r"^[\[{]") & F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+    return F.when(~nested, text)
 
-def _nested(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), F.lit(False))
 
-
-def _flat_text(value: Column) -> Column:
-    return F.when(~_nested(value), text_of(value))
+def _given(value: Column) -> Column:
+    return value.isNotNull() & ~F.is_variant_null(value)
 
 
 def instant_of(value: Column) -> Column:
@@ -115,31 +113,29 @@ def request_errors(record: Column) -> Column:
     """What is wrong with a request, field by field; empty if nothing is."""
     event_type, event_id = text_of(record["eventType"]), text_of(record["eventId"])
     checks = [
-        F.when(
-            _nested(record["eventType"]) | blank(event_type),
-            error("eventType", "is required"),
-        ),
+        F.when(blank(event_type), error("eventType", "is required")),
         F.when(
             utf16_length(event_type) > MAX_TEXT,
             error("eventType", f"must be at most {MAX_TEXT} characters"),
         ),
         F.when(
-            ~_absent(record["eventId"]) & ~F.coalesce(is_uuid(event_id), F.lit(False)),
+            _given(record["eventId"]) & ~F.coalesce(is_uuid(event_id), F.lit(False)),
             error("eventId", "must be a UUID"),
         ),
         F.when(
-            ~_absent(record["occurredAt"]) & instant_of(record["occurredAt"]).isNull(),
+            _given(record["occurredAt"]) & instant_of(record["occurredAt"]).isNull(),
             error("occurredAt", "must be an ISO-8601 instant"),
         ),
         F.when(
-            ~_absent(record["metadata"]) & canonical(record["metadata"]).isNull(),
+            _given(record["metadata"]) & canonical(record["metadata"]).isNull(),
             error("metadata", "must be an object"),
         ),
     ]
     for field in ("userId", "anonymousId"):
+        text = text_of(record[field])
         checks.append(
             F.when(
-                _nested(record[field]) | (utf16_length(text_of(record[field])) > MAX_TEXT),
+                (_given(record[field]) & text.isNull()) | (utf16_length(text) > MAX_TEXT),
                 error(field, f"must be a text of at most {MAX_TEXT} characters"),
             )
         )
@@ -243,40 +239,42 @@ def from_messages(messages: DataFrame) -> DataFrame:
     a wrong type. ``rejected``, with a ``reason``, is one that lacks what the event
     table requires. Any other is ``valid``.
     """
-    rows = decode(messages)
     record = F.col("record")
     event_id = text_of(record["eventId"])
-    columns = {
+    organization_id = F.try_variant_get(record["organizationId"], "$", "bigint")
+    fields = {
         "event_id": ("eventId", F.when(is_uuid(event_id), F.lower(event_id))),
-        "organization_id": (
-            "organizationId",
-            F.try_variant_get(record["organizationId"], "$", "bigint"),
-        ),
-        "event_type": ("eventType", _flat_text(record["eventType"])),
+        "organization_id": ("organizationId", organization_id),
+        "event_type": ("eventType", text_of(record["eventType"])),
         "occurred_at": ("occurredAt", instant_of(record["occurredAt"])),
         "metadata": ("metadata", canonical(record["metadata"])),
-        "user_id": ("userId", _flat_text(record["userId"])),
-        "anonymous_id": ("anonymousId", _flat_text(record["anonymousId"])),
+        "user_id": ("userId", text_of(record["userId"])),
+        "anonymous_id": ("anonymousId", text_of(record["anonymousId"])),
     }
-    wrong = [~_absent(record[field]) & F.col(name).isNull() for name, (field, _) in columns.items()]
-    needed = ("event_id", "organization_id", "event_type", "occurred_at")
-    missing = F.concat_ws(", ", *(F.when(F.col(name).isNull(), F.lit(name)) for name in needed))
+    needed = [F.col(name) for name in ("event_id", "organization_id", "event_type", "occurred_at")]
+    wrong_type = [F.col(name).isNull() & _given(record[field]) for name, (field, _) in fields.items()]
+    missing = [column.isNull() for column in needed]
     outcome = (
-        F.when(record.isNull() | F.exists(F.array(*wrong), lambda test: test), "invalid")
-        .when(missing != "", "rejected")
+        F.when(record.isNull() | reduce(or_, wrong_type), "invalid")
+        .when(reduce(or_, missing), "rejected")
         .otherwise("valid")
     )
-    judged = rows.withColumns({name: value for name, (_, value) in columns.items()}).withColumns(
-        {"outcome": outcome, "missing": missing}
+    names = (F.when(column.isNull(), F.lit(name)) for name, column in zip(fields, needed))
+    reason = F.concat(F.lit("no "), F.concat_ws(", ", *names))
+    return (
+        decode(messages)
+        .withColumns({name: value for name, (_, value) in fields.items()})
+        .withColumn("outcome", outcome)
+        .withColumns(
+            {
+                "metadata": F.coalesce("metadata", F.lit("{}")),
+                "user_id": blank_to_null(F.col("user_id")),
+                "anonymous_id": blank_to_null(F.col("anonymous_id")),
+                "reason": F.when(F.col("outcome") == "rejected", reason),
+            }
+        )
+        .drop("record")
     )
-    return judged.withColumns(
-        {
-            "metadata": F.coalesce("metadata", F.lit("{}")),
-            "user_id": blank_to_null(F.col("user_id")),
-            "anonymous_id": blank_to_null(F.col("anonymous_id")),
-            "reason": F.when(F.col("outcome") == "rejected", F.concat(F.lit("no "), "missing")),
-        }
-    ).drop("record", "missing")
 
 
 # --- duplicates --------------------------------------------------------------
