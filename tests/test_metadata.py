@@ -72,9 +72,9 @@ def test_canonical(spark):
 
 
 def test_blank_and_length(spark):
-    texts = [None, "", " ", "\t\n", " ", "　\x1c", " ", "a", " a "]
+    texts = [None, "", " ", "\t\n", "\u2003", "\u3000\x1c", "\u00a0", "a", " a "]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in rows.select(blank(F.col("t"))).collect()] == [True] * 6 + [False] * 3
-    assert [r[0] for r in rows.select(blank_to_null(F.col("t"))).collect()] == [None] * 6 + [" ", "a", " a "]
+    assert [r[0] for r in rows.select(blank_to_null(F.col("t"))).collect()] == [None] * 6 + ["\u00a0", "a", " a "]
     wide = spark.createDataFrame([("a😀",)], "t string")
     assert wide.select(utf16_length(F.col("t"))).first()[0] == 3
