@@ -58,9 +58,9 @@ def messages_of(events):
 def ingest(spark, root: Path, name: str, store: Store, organizations) -> float:
     stream = file_messages(spark, str(root / "messages"))
     started = time.perf_counter()
-    consume(
-        stream, lambda: organizations, store, name=name, checkpoints=str(root), availableNow=True
-    ).awaitTermination()
+    # The session may name a folder for checkpoints that outlives this run.
+    name = f"{root.name}-{name}"
+    consume(stream, lambda: organizations, store, name, str(root), availableNow=True).awaitTermination()
     return time.perf_counter() - started
 
 
