@@ -196,7 +196,7 @@ def _queries() -> dict[str, Query]:
         # Raw events and catalogue
         "events_page": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH)),
         "events_page_offset": _per_tenant(lambda e, t: op.events_page(
-            e, t, *MONTH, filters=["country:US"], limit=50, offset=300, shallow=20)),
+            e, t, *MONTH, filters=["country:US"], limit=50, offset=60, shallow=20)),
         "event_types": _per_tenant(op.event_types),
         # Ingest
         "validate_requests": _validated,
@@ -421,7 +421,7 @@ def oracle_sql() -> dict[str, str]:
                 as overall_conversion
             from steps group by organization_id""",
         "events_page": _page_sql(100, 0),
-        "events_page_offset": _page_sql(50, 300, _holds(country="US")),
+        "events_page_offset": _page_sql(50, 60, _holds(country="US")),
         "event_types": f"""with {EVENTS} select organization_id, event_type, count(*) as count,
             max(occurred_at) as last_seen_at from ev group by organization_id, event_type""",
         "validate_requests": f'select n as "offset", {REQUEST_ERRORS} as errors from (select event_id as n from events)',

@@ -24,19 +24,36 @@ def text_at(metadata: Column, key: str) -> Column:
 
 
 def has_text(metadata: Column, key: str, value: str) -> Column:
-    """True where ``key`` holds the JSON *string* ``value``; 69 is not "69"."""
-    if LITERAL_LIKE.fullmatch(value):
-        held = F.try_variant_get(F.try_parse_json(metadata), f"$['{key}']", "variant")
-        match = (F.schema_of_variant(held) == "STRING") & (
-            F.try_variant_get(held, "$", "string") == value
-        )
-    else:
-        # No other JSON type reads as this text, so the typed test is not needed.
-        match = text_at(metadata, key) == value
-    # A document without escapes spells the string out. Looking for it costs a
-    # fraction of a parse, and only the documents that pass are parsed.
-    spelled = F.contains(metadata, F.lit(f'"{value}"')) | F.contains(metadata, F.lit("\\"))
-    return spelled & F.coalesce(match, F.lit(False))
+    """True where ``key`` holds the JSON *string* ``value``; 69 is not "69".
+
+    Parsing is what costs, and most documents need none. One without escapes that
+    does not spell the value out cannot hold it. One that is flat besides, and has the
+    key once, holds it where key and value stand together. The others are parsed.
+    """
+    escaped = F.contains(metadata, F.lit("\\"))
+    spelled = F.contains(metadata, F.lit(f'"{value}"'))
+    flat = (F.locate("{", metadata, 2) == 0) & ~F.contains(metadata, F.lit("["))
+    name = f'"{key}"'
+    rest = F.replace(metadata, F.lit(name), F.lit(""))
+    once = F.length(metadata) - F.length(rest) == len(name)
+    together = F.contains(metadata, F.lit(f'{name}:"{value}"'))
+    if '"' in value or "\\" in value:
+        # Such a value is never spelled out as it is.
+        together = F.lit(False)
+    return (
+        F.when(~escaped & ~spelled, False)
+        .when(~escaped & flat & together & once, True)
+        .otherwise(F.coalesce(_parsed_text_is(metadata, key, value), F.lit(False)))
+    )
+
+
+def _parsed_text_is(metadata: Column, key: str, value: str) -> Column:
+    if not LITERAL_LIKE.fullmatch(value):
+        # No other JSON type reads as this text, so the type need not be looked at.
+        return text_at(metadata, key) == value
+    held = F.try_variant_get(F.try_parse_json(metadata), f"$['{key}']", "variant")
+    is_string = F.schema_of_variant(held) == "STRING"
+    return is_string & (F.try_variant_get(held, "$", "string") == value)
 
 
 def contains(metadata: Column, wanted: dict[str, str]) -> Column:

@@ -30,9 +30,12 @@ def identities(
 
 def linked(scoped: DataFrame) -> DataFrame:
     both = F.col("anonymous_id").isNotNull() & F.col("user_id").isNotNull()
-    first = F.min(F.struct("occurred_at", "user_id"))
+    # Reducing to pairs first takes a hash aggregation; choosing among the few pairs of
+    # an anonymous id compares texts, for which Spark has to sort.
+    pairs = scoped.where(both).groupBy("anonymous_id", "user_id")
+    first = F.min(F.struct("since", "user_id"))
     return (
-        scoped.where(both)
+        pairs.agg(F.min("occurred_at").alias("since"))
         .groupBy("anonymous_id")
         .agg(first.alias("first"))
         .select("anonymous_id", F.col("first.user_id").alias("user_id"))

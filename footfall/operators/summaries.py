@@ -11,6 +11,14 @@ from footfall.operators.identity import linked, unnamed, with_actor
 from footfall.params import Instant, TimeRange, parse_filters
 from footfall.sources.events import scope
 
+SUMMARY_COLUMNS = [
+    "total_events",
+    "unique_actors",
+    "distinct_event_types",
+    "first_event_at",
+    "last_event_at",
+]
+
 
 def summary(
     events: DataFrame,
@@ -24,26 +32,32 @@ def summary(
     """One row: ``total_events, unique_actors, distinct_event_types, first_event_at,
     last_event_at``.
 
-    Events are first reduced to one row per identity and event type, map-side as far
-    as possible. People are resolved on those rows, so no id is busy any more when
-    the identity join shuffles, and the exact distinct counts expand far fewer rows.
+    Totals come from one small row per event type. For the people the events are first
+    reduced to their distinct ids, so no id is busy any more when the identity join
+    shuffles. Two narrow scans cost less than one distinct count over both columns,
+    for which Spark would copy every row.
     """
     span = TimeRange.resolve(start, end, now)
     hits = scope(events, organization_id, span, event_type, parse_filters(filters))
-    groups = hits.groupBy("event_type", "user_id", unnamed().alias("anonymous_id")).agg(
-        F.count(F.lit(1)).alias("events"),
-        F.min("occurred_at").alias("first_at"),
-        F.max("occurred_at").alias("last_at"),
-    )
-    resolved = with_actor(
-        groups,
-        linked(scope(events, organization_id, span)),
-        spread_by=["event_type", "user_id"],
+    ids = hits.select("user_id", unnamed().alias("anonymous_id")).distinct()
+    links = linked(scope(events, organization_id, span))
+    people = with_actor(ids, links, spread_by=["user_id"]).agg(
+        F.count_distinct("actor").alias("unique_actors")
     )
-    return resolved.agg(
-        F.coalesce(F.sum("events"), F.lit(0).cast("long")).alias("total_events"),
-        F.count_distinct("actor").alias("unique_actors"),
-        F.count_distinct("event_type").alias("distinct_event_types"),
-        F.min("first_at").alias("first_event_at"),
-        F.max("last_at").alias("last_event_at"),
+    totals = (
+        hits.groupBy("event_type")
+        .agg(
+            F.count(F.lit(1)).alias("events"),
+            F.min("occurred_at").alias("first_at"),
+            F.max("occurred_at").alias("last_at"),
+        )
+        .agg(
+            F.coalesce(F.sum("events"), F.lit(0).cast("long")).alias("total_events"),
+            F.count(F.lit(1)).alias("distinct_event_types"),
+            F.min("first_at").alias("first_event_at"),
+            F.max("last_at").alias("last_event_at"),
+        )
     )
+    # Two rows, each with the numbers the other lacks.
+    both = totals.unionByName(people, allowMissingColumns=True)
+    return both.agg(*(F.max(name).alias(name) for name in SUMMARY_COLUMNS))

@@ -38,6 +38,16 @@ def matches(spark, document, wanted):
     ('{"plan":"pro","plan":"x"}', {"plan": "pro"}, False),
     ('{"plan":"2","plan":2}', {"plan": "2"}, False),
     ('{"plan":"pr\\u006f"}', {"plan": "pro"}, True),
+    ('{"pl\\u0061n":"pro"}', {"plan": "pro"}, True),
+    ('{"a":{"plan":"pro"},"plan":"pro"}', {"plan": "pro"}, True),
+    ('{"a":{"plan":"pro"},"plan":"free"}', {"plan": "pro"}, False),
+    ('{"a":[{"plan":"pro"}]}', {"plan": "pro"}, False),
+    ('{"x":"plan","y":"pro"}', {"plan": "pro"}, False),
+    ('{"xplan":"pro"}', {"plan": "pro"}, False),
+    ('{"plan":"pro plus"}', {"plan": "pro"}, False),
+    ('{"plan":"{pro"}', {"plan": "{pro"}, True),
+    ('{"plan":"x:\\"plan\\":\\"pro\\""}', {"plan": "pro"}, False),
+    (' {"plan" : "pro"} ', {"plan": "pro"}, True),
     ("{}", {"plan": "pro"}, False),
 ])
 def test_containment_is_type_strict(spark, document, wanted, expected):
