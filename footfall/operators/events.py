@@ -15,7 +15,7 @@ from footfall.params import (
     clamp,
     parse_filters,
 )
-from footfall.plans.selection import SHALLOW, skip_newest
+from footfall.plans.selection import SHALLOW, around_page
 from footfall.sources.events import scope
 
 PAGE_COLUMNS = ["event_id", "event_type", "occurred_at", "received_at", "metadata"]
@@ -36,16 +36,16 @@ def events_page(
 ) -> DataFrame:
     """One page, with the offset of the next in ``next_offset`` (NULL on the last).
 
-    One row more than the page is fetched to learn whether there is a next page. An
-    offset beyond ``shallow`` is first shortened by counting, see ``skip_newest``.
+    One row more than the page is fetched to learn whether there is a next page. Where
+    the page lies is found by counting first, see ``around_page``.
     """
     span = TimeRange.resolve(start, end, now)
     size = clamp(limit, PAGE_LIMIT, MAX_PAGE_LIMIT)
     first = max(0, offset or 0)
     hits = scope(events, organization_id, span, event_type, parse_filters(filters))
-    rest, skip = skip_newest(hits, span, first, shallow)
+    near, skip = around_page(hits, span, first, size + 1, shallow)
     newest = [F.desc(name) for name in ORDER_COLUMNS]
-    fetched = rest.orderBy(*newest).offset(skip).limit(size + 1).select(PAGE_COLUMNS)
+    fetched = near.orderBy(*newest).offset(skip).limit(size + 1).select(PAGE_COLUMNS)
     # At most `size + 1` rows from here on.
     everything = Window.partitionBy(F.lit(0))
     has_more = F.count(F.lit(1)).over(everything) > size

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -10,40 +12,49 @@ from footfall.params import TimeRange
 
 # Rows a page may skip by sorting; a task keeps no more than this and the page.
 SHALLOW = 10_000
-# Slices per counting pass, and so the rows the driver sees of each.
+# Slices of time per counting pass, and so the rows the driver sees of each.
 SLICES = 4096
 # Bands per e-fold of duration: a band spans a ten-thousandth of its values.
 BANDS = 10_000
 
 
-def skip_newest(
-    rows: DataFrame, span: TimeRange, skip: int, shallow: int = SHALLOW
+def around_page(
+    rows: DataFrame, span: TimeRange, skip: int, take: int, shallow: int = SHALLOW
 ) -> tuple[DataFrame, int]:
-    """Drop rows newer than some instant and say how many are still to be skipped.
+    """Only those rows, newest first, among which a page lies, and how many of them to
+    skip still.
 
-    Sorting with an offset keeps every skipped row in memory. Counting rows per slice
-    of time does not: a pass returns at most SLICES counts, names the slice in which
-    the page starts, and the next pass cuts up only that one. It ends when little is
-    left to skip or the slice is a single microsecond.
+    Sorting reads every column of every row and keeps all that is skipped in memory.
+    Counting rows per slice of time reads one column and returns at most SLICES counts;
+    from these follow the slices in which the page starts and ends. If much is left to
+    skip in the first slice, it is cut up in turn, down to a single microsecond.
     """
-    low, high = span.start_micros, span.end_micros
-    while skip > shallow and high - low > 1:
+    low, high, oldest = span.start_micros, span.end_micros, None
+    while high > low:
         width = -(-(high - low) // SLICES)
         age = F.expr(f"({high - 1} - unix_micros(occurred_at)) div {width}")
         inside = rows.where(F.col("occurred_at").between(instant(low), instant(high - 1)))
         counts = inside.groupBy(age.alias("age")).agg(F.count(F.lit(1)).alias("rows"))
-        newer = 0
-        for age_of_slice, held in sorted(map(tuple, counts.collect())):
-            if newer + held > skip:
-                break
-            newer += held
-        else:
-            return rows.where(F.col("occurred_at") < instant(low)), skip - newer
-        skip -= newer
-        high -= age_of_slice * width
+        counts = sorted(map(tuple, counts.collect()))
+        up_to = list(accumulate(held for _, held in counts))
+        starts = next((n for n, newer in enumerate(up_to) if newer > skip), None)
+        if starts is None:
+            # The page lies behind the last row.
+            return rows.where(F.lit(False)), 0
+        if oldest is None:
+            ends = next((n for n, newer in enumerate(up_to) if newer >= skip + take), None)
+            oldest = low if ends is None else max(low, high - (counts[ends][0] + 1) * width)
+        skip -= up_to[starts] - counts[starts][1]
+        high -= counts[starts][0] * width
         low = max(low, high - width)
-        rows = rows.where(F.col("occurred_at") < instant(high))
-    return rows, skip
+        if skip <= shallow or width == 1:
+            break
+    page = F.col("occurred_at").between(instant(oldest), instant(high - 1))
+    if "event_date" in rows.columns:
+        page &= F.col("event_date").between(
+            F.to_date(instant(oldest)), F.to_date(instant(high - 1))
+        )
+    return rows.where(page), skip
 
 
 def middle_values(tally: DataFrame, group: str) -> DataFrame:

@@ -47,6 +47,21 @@ class Store:
         return spark.read.schema(AUDIT).parquet(self.audit)
 
 
+@dataclass(frozen=True)
+class Outbox:
+    """What the publishing stream keeps below ``root``: refused requests and counts."""
+
+    root: str
+
+    @property
+    def refusals(self) -> str:
+        return f"{self.root}/refusals"
+
+    @property
+    def audit(self) -> str:
+        return f"{self.root}/audit"
+
+
 def replace_batch(rows: DataFrame, folder: str, batch: str) -> None:
     """Write the rows of one micro-batch; running the batch again replaces them."""
     rows.write.mode("overwrite").parquet(f"{folder}/ingest_batch={batch}")

@@ -31,7 +31,7 @@ from footfall.plans.skew import BROADCAST_ROWS
 from footfall.schema import REQUEST
 from footfall.session import check_session, checkpoint_location
 from footfall.sources.events import append_events
-from footfall.sources.store import Store, replace_batch
+from footfall.sources.store import Outbox, Store, replace_batch
 
 
 def accept(requests: DataFrame, organizations: DataFrame) -> DataFrame:
@@ -55,14 +55,14 @@ def publish(
     requests: DataFrame,
     organizations: DataFrame,
     send: Callable[[DataFrame], None],
-    refusals: str,
+    outbox: Outbox,
     name: str = "requests",
     checkpoints: str | None = None,
     **trigger: object,
 ) -> StreamingQuery:
-    """Send accepted requests on as messages and keep the refused ones with their
-    errors under ``refusals``. An outage of the receiver fails the batch, and the batch
-    runs again."""
+    """Send accepted requests on as messages, keep the refused ones with their errors,
+    and count both. An outage of the receiver fails the batch, and the batch runs again;
+    what it had sent already is recognised by its ids when it is stored."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         judged = accept(batch, organizations).persist()
@@ -70,7 +70,11 @@ def publish(
             accepted = F.size("errors") == 0
             send(to_messages(judged.where(accepted)))
             refused = judged.where(~accepted).select("topic", *POSITION, "value", "errors")
-            replace_batch(refused, refusals, _batch_name(name, batch_id))
+            counts = judged.agg(
+                F.count(F.lit(1)).alias("received"), F.count_if(accepted).alias("published")
+            )
+            replace_batch(refused, outbox.refusals, _batch_name(name, batch_id))
+            replace_batch(counts, outbox.audit, _batch_name(name, batch_id))
         finally:
             judged.unpersist()
 

@@ -11,8 +11,8 @@ from footfall.operators import ingest
 from footfall.plans import skew
 from footfall.schema import ORGANIZATIONS, REQUEST
 from footfall.session import checkpoint_location
-from footfall.sources.messages import MESSAGES, file_messages, write_files
-from footfall.sources.store import Store
+from footfall.sources.messages import MESSAGES, backlog, file_messages, write_files
+from footfall.sources.store import Outbox, Store
 from footfall.streaming.ingest import accept, classify, consume, publish, store_batch
 
 UUID = "11111111-2222-3333-4444-{:012d}"
@@ -198,7 +198,7 @@ def test_stored_row(spark, organizations, store):
 
 
 def test_streams_end_to_end(spark, organizations, store, tmp_path):
-    inbox, topic, refusals = (str(tmp_path / name) for name in ("inbox", "topic", "refusals"))
+    inbox, topic, outbox = str(tmp_path / "inbox"), str(tmp_path / "topic"), Outbox(str(tmp_path / "outbox"))
     schema = f"api_key string, {MESSAGES}"
     numbered = spark.range(0, 400, 1, 4).selectExpr(
         "if(id % 100 = 99, 'wrong', concat('key-', id % 2 + 1)) as api_key",
@@ -219,11 +219,16 @@ def test_streams_end_to_end(spark, organizations, store, tmp_path):
         write_files(sent, topic)
 
     publish(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(inbox), organizations, send,
-            refusals, f"requests-{run}", str(tmp_path / "offsets"), availableNow=True).awaitTermination()
-    assert spark.read.parquet(refusals).count() == 12
+            outbox, f"requests-{run}", str(tmp_path / "offsets"), availableNow=True).awaitTermination()
+    assert spark.read.parquet(outbox.refusals).count() == 12
+    sent = spark.read.parquet(outbox.audit).agg(F.sum("received"), F.sum("published")).first()
+    assert tuple(sent) == (400, 388)
     for _ in range(2):
-        consume(file_messages(spark, topic, 1), lambda: organizations, store, f"events-{run}",
-                str(tmp_path / "offsets"), availableNow=True).awaitTermination()
+        query = consume(file_messages(spark, topic, 1), lambda: organizations, store, f"events-{run}",
+                        str(tmp_path / "offsets"), availableNow=True)
+        query.awaitTermination()
+        # Files do not tell how far behind a reader is; Kafka does.
+        assert backlog(query) is None
     # Each of 200 ids twice; 4 ids always come with an error and 2 with a wrong key.
     assert audit(spark, store) == (388, 0, 0, 194, 194)
     assert store.read(spark).select("organization_id", "event_id").distinct().count() == 194
