@@ -115,7 +115,7 @@ def _classified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fresh(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows a batch adds to a table that already has two thirds of its tenants' events."""
+    """Rows that the messages add to a table which holds every event but the clicks."""
     valid = _classified(spark, folder).where("outcome = 'valid'")
     stored = sample.sample_events(spark, folder).where("event_type <> 'click'")
     return ingest.unseen(ingest.first_deliveries(valid), stored)

@@ -41,7 +41,7 @@ def funnel(
     identified = F.coalesce("user_id", "anonymous_id").isNotNull()
     taking_part = (
         scope(events, organization_id, span, None, parse_filters(filters))
-        .where(F.col("event_type").isin(*set(spec.steps)) & identified)
+        .where(F.col("event_type").isin(*sorted(set(spec.steps))) & identified)
         .select("event_type", "occurred_at", "user_id", "anonymous_id")
     )
     count, heavy = survey(taking_part, unnamed())

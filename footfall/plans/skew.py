@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 # A key is worth splitting from this many rows on; below it one task copes.
 HEAVY_ROWS = 1_000_000
-# A sketch of 8192 counters finds every key with more than about 1/6000 of the rows.
-HEAVY_KEYS, SKETCH_COUNTERS = 512, 8192
+# Keys that may be split at a time. Any further key holds less than 1/4096 of the rows.
+HEAVY_KEYS = 4096
+# Counters of the sketch that finds them: it misses no key with more than about 1/18000.
+SKETCH_COUNTERS = 65_536
 SALTS = 256
 # Rows of a lookup side that may be sent to every executor, some 100 MB at most.
 BROADCAST_ROWS = 500_000
@@ -62,8 +64,8 @@ def spread_left_join(
 
 
 def fits_broadcast(rows: DataFrame) -> bool:
-    """Whether ``rows`` is small enough to broadcast, by counting no further than that."""
-    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether ``rows`` is small enough to broadcast. Counted, as an estimate may err."""
+    return rows.count() <= BROADCAST_ROWS
 
 
 def lookup(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -18,8 +19,8 @@ from footfall.sources.events import append_events, read_events
 class Store:
     """Events, dead letters and the audit, each a Parquet table below ``root``.
 
-    The event table has one writer at a time: one ingest stream, or one deletion
-    while the stream is stopped.
+    The event table has one writer at a time: one ingest stream, or one rewrite while
+    the stream is stopped.
     """
 
     root: str
@@ -70,29 +71,38 @@ def replace_batch(rows: DataFrame, folder: str, batch: str) -> None:
 def delete_events(spark: SparkSession, store: Store, doomed: Column) -> int:
     """Delete the rows for which ``doomed`` holds; returns the number of dates rewritten.
 
-    Only dates that hold such rows are rewritten. What remains of them is first
-    written aside in full, then put in place date by date. An interrupted deletion is
-    completed by ``finish_deletion``.
+    Only dates that hold such rows are rewritten. An interrupted deletion is completed
+    by ``finish_rewrite``.
     """
-    finish_deletion(spark, store)
-    events = store.read(spark)
+    finish_rewrite(spark, store)
     # One row per date.
-    touched = [row[0] for row in events.where(doomed).select("event_date").distinct().collect()]
-    if not touched:
+    touched = store.read(spark).where(doomed).select("event_date").distinct().collect()
+    return _rewrite(spark, store, [row.event_date for row in touched], doomed)
+
+
+def compact_events(spark: SparkSession, store: Store, dates: Sequence[date]) -> int:
+    """Put the many files that micro-batches left in some dates into few sorted ones."""
+    finish_rewrite(spark, store)
+    return _rewrite(spark, store, list(dates), F.lit(False))
+
+
+def _rewrite(spark: SparkSession, store: Store, dates: list[date], doomed: Column) -> int:
+    """What remains of the dates is written aside in full, then put in place date by date."""
+    if not dates:
         return 0
-    left = without(events.where(F.col("event_date").isin(touched)), doomed)
+    left = without(store.read(spark).where(F.col("event_date").isin(dates)), doomed)
     append_events(left, store.rewrite)
-    kept = read_events(spark, store.rewrite).select("event_date").distinct()
-    kept_dates = {row[0] for row in kept.collect()}
-    plan = [(day.isoformat(), day in kept_dates) for day in touched]
+    kept = read_events(spark, store.rewrite).select("event_date").distinct().collect()
+    kept_dates = {row.event_date for row in kept}
+    plan = [(day.isoformat(), day in kept_dates) for day in dates]
     spark.createDataFrame([(json.dumps(plan),)], "value string").coalesce(1).write.text(
         f"{store.rewrite}/_plan"
     )
-    finish_deletion(spark, store)
-    return len(touched)
+    finish_rewrite(spark, store)
+    return len(dates)
 
 
-def finish_deletion(spark: SparkSession, store: Store) -> None:
+def finish_rewrite(spark: SparkSession, store: Store) -> None:
     """Put rewritten dates in place; does nothing if there are none, or the rest of it
     if it was interrupted. A rewrite that never completed is thrown away."""
     files = _Files(spark)

@@ -7,7 +7,7 @@ from footfall import operators as op
 from footfall.operators import maintenance
 from footfall.sources import store as stores
 from footfall.sources.events import append_events, read_events
-from footfall.sources.store import Store, delete_events, finish_deletion
+from footfall.sources.store import Store, compact_events, delete_events, finish_rewrite
 
 DAY = timedelta(days=1)
 
@@ -75,15 +75,15 @@ def test_an_interrupted_deletion_is_completed(spark, filled, monkeypatch):
     with pytest.raises(OSError):
         delete_events(spark, filled, maintenance.of_user(1, "u"))
     monkeypatch.setattr(stores._Files, "rename", real)
-    finish_deletion(spark, filled)
+    finish_rewrite(spark, filled)
     assert left(spark, filled) == [1, 2, 4, 5, 6]
-    finish_deletion(spark, filled)
+    finish_rewrite(spark, filled)
     assert left(spark, filled) == [1, 2, 4, 5, 6]
 
 
 def test_an_unfinished_rewrite_is_thrown_away(spark, filled, make):
     append_events(make.table(), filled.rewrite)
-    finish_deletion(spark, filled)
+    finish_rewrite(spark, filled)
     assert left(spark, filled) == list(range(7))
     assert read_events(spark, filled.rewrite).count() == 0
 
@@ -115,3 +115,15 @@ def test_backdated_rows_find_their_date(spark, make, tmp_path):
     append_events(make.add(at=utc(1999, 12, 31, 23, 59)).add(at=utc(2000, 1, 1)).table(), path)
     dates = read_events(spark, path).selectExpr("cast(event_date as string)").collect()
     assert sorted(r[0] for r in dates) == ["1999-12-31", "2000-01-01"]
+
+
+def test_compaction_changes_files_and_not_rows(spark, make, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    for n in range(4):
+        make.rows.clear()
+        append_events(make.add(event_id=f"00000000-0000-0000-0000-{n:012d}").table(), store.events, f"b{n}")
+    before = store.read(spark).orderBy("event_id").collect()
+    assert len(store.read(spark).inputFiles()) == 4
+    assert compact_events(spark, store, [before[0].event_date]) == 1
+    assert store.read(spark).orderBy("event_id").collect() == before
+    assert len(store.read(spark).inputFiles()) == 1
