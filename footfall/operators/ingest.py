@@ -23,7 +23,7 @@ MAX_TEXT = 200
 
 # How an instant may be written. A number counts seconds.
 ISO_INSTANT = (
-    r"(?i)^[+-]?\d{4,6}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{0,9})?(Z|[+-]\d\d(:?\d\d(:?\d\d)?)?)$"
+    r"^[+-]?\d{4,6}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d{0,9})?([Zz]|[+-]\d\d(:?\d\d(:?\d\d)?)?)$"
 )
 EPOCH_SECONDS = r"^-?\d+(\.\d+)?$"
 
@@ -87,21 +87,25 @@ def error(field: str, message: str) -> Column:
     return F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"))
 
 
-def text_of(value: Column) -> Column:
+def raw_text(value: Column) -> Column:
+    """A JSON value as text, whatever its type."""
+    return F.try_variant_get(value, "$", "string")
+
+
+def text_of(value: Column, raw: Column | None = None) -> Column:
     """A JSON string, number or boolean as text; NULL for what is nested."""
-    text = F.try_variant_get(value, "$", "string")
+    raw = raw_text(value) if raw is None else raw
     # The type is only looked up where the text leaves it open.
-    nested = text.rlike(r"^[\[{]") & F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
-    return F.when(~nested, text)
+    doubtful = raw.startswith("{") | raw.startswith("[")
+    return F.when(~(doubtful & F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")), raw)
 
 
 def _given(value: Column) -> Column:
     return value.isNotNull() & ~F.is_variant_null(value)
 
 
-def instant_of(value: Column) -> Column:
+def instant_of(text: Column) -> Column:
     """The instant a text or number stands for, or NULL."""
-    text = text_of(value)
     seconds = text.try_cast("decimal(30,9)")
     return F.when(text.rlike(ISO_INSTANT), text.try_cast("timestamp")).when(
         text.rlike(EPOCH_SECONDS),
@@ -123,7 +127,7 @@ def request_errors(record: Column) -> Column:
             error("eventId", "must be a UUID"),
         ),
         F.when(
-            _given(record["occurredAt"]) & instant_of(record["occurredAt"]).isNull(),
+            _given(record["occurredAt"]) & instant_of(text_of(record["occurredAt"])).isNull(),
             error("occurredAt", "must be an ISO-8601 instant"),
         ),
         F.when(
@@ -164,7 +168,7 @@ def with_defaults(records: DataFrame, source: list[str], arrived_at: Column) ->
         {
             "event_id": F.coalesce(event_id, derived_id(*map(F.col, source))),
             "event_type": text_of(record["eventType"]),
-            "occurred_at": F.coalesce(instant_of(record["occurredAt"]), arrived_at),
+            "occurred_at": F.coalesce(instant_of(text_of(record["occurredAt"])), arrived_at),
             "metadata": F.coalesce(canonical(record["metadata"]), F.lit("{}")),
             "user_id": text_of(record["userId"]),
             "anonymous_id": text_of(record["anonymousId"]),
@@ -240,30 +244,39 @@ def from_messages(messages: DataFrame) -> DataFrame:
     table requires. Any other is ``valid``.
     """
     record = F.col("record")
-    event_id = text_of(record["eventId"])
-    organization_id = F.try_variant_get(record["organizationId"], "$", "bigint")
-    fields = {
-        "event_id": ("eventId", F.when(is_uuid(event_id), F.lower(event_id))),
-        "organization_id": ("organizationId", organization_id),
-        "event_type": ("eventType", text_of(record["eventType"])),
-        "occurred_at": ("occurredAt", instant_of(record["occurredAt"])),
-        "metadata": ("metadata", canonical(record["metadata"])),
-        "user_id": ("userId", text_of(record["userId"])),
-        "anonymous_id": ("anonymousId", text_of(record["anonymousId"])),
+    # The texts are columns of their own, as they are looked at more than once.
+    texts = {
+        "event_id": "eventId",
+        "event_type": "eventType",
+        "occurred_at": "occurredAt",
+        "user_id": "userId",
+        "anonymous_id": "anonymousId",
+    }
+    readings = {name: raw_text(record[field]) for name, field in texts.items()}
+    readings["organization_id"] = F.try_variant_get(record["organizationId"], "$", "bigint")
+    readings["metadata"] = canonical(record["metadata"])
+    values = {
+        "event_id": F.when(is_uuid(F.col("event_id")), F.lower("event_id")),
+        "occurred_at": instant_of(F.col("occurred_at")),
+    } | {
+        name: text_of(record[texts[name]], F.col(name))
+        for name in ("event_type", "user_id", "anonymous_id")
     }
-    needed = [F.col(name) for name in ("event_id", "organization_id", "event_type", "occurred_at")]
-    wrong_type = [F.col(name).isNull() & _given(record[field]) for name, (field, _) in fields.items()]
-    missing = [column.isNull() for column in needed]
+    fields = texts | {"organization_id": "organizationId", "metadata": "metadata"}
+    needed = ("event_id", "organization_id", "event_type", "occurred_at")
+    wrong_type = [F.col(name).isNull() & _given(record[field]) for name, field in fields.items()]
+    missing = [F.col(name).isNull() for name in needed]
     outcome = (
         F.when(record.isNull() | reduce(or_, wrong_type), "invalid")
         .when(reduce(or_, missing), "rejected")
         .otherwise("valid")
     )
-    names = (F.when(column.isNull(), F.lit(name)) for name, column in zip(fields, needed))
+    names = (F.when(F.col(name).isNull(), F.lit(name)) for name in needed)
     reason = F.concat(F.lit("no "), F.concat_ws(", ", *names))
     return (
         decode(messages)
-        .withColumns({name: value for name, (_, value) in fields.items()})
+        .withColumns(readings)
+        .withColumns(values)
         .withColumn("outcome", outcome)
         .withColumns(
             {
