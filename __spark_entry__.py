@@ -16,6 +16,7 @@ from footfall import operators as op
 from footfall.functions.metadata import canonical
 from footfall.functions.text import api_key_hash, api_key_prefix
 from footfall.operators import ingest, maintenance
+from footfall.schema import REQUEST
 from footfall.session import configure
 from footfall.sources import sample_tables as sample
 from footfall.sources.load import load_events
@@ -92,8 +93,6 @@ def _accepted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _validated(spark: SparkSession, folder: str) -> DataFrame:
-    from footfall.schema import REQUEST
-
     checked = ingest.validate(ingest.decode(sample.sample_requests(spark, folder), REQUEST))
     return _errors_as_text(checked).select("offset", "errors")
 
@@ -187,6 +186,7 @@ def _queries() -> dict[str, Query]:
         "identity_map": _per_tenant(lambda e, t: op.identities(e, t, *MONTH)),
         # Funnel
         "funnel_3step": _funnel(STEPS, "7d"),
+        "funnel_3step_spread": _funnel(STEPS, "7d", small_rows=0),
         "funnel_short_window": _funnel(STEPS, "90m"),
         "funnel_4step_filtered": _funnel(["click", *STEPS], "365d", filters=["plan:free"]),
         "funnel_repeat_step": _funnel(["view", "view", "purchase"], "3d"),
@@ -409,6 +409,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_type_strict": _summary_sql(_holds(beta="true")),
         "identity_map": f"with {EVENTS}, {IDENTITY} select organization_id, anonymous_id, user_id from identity",
         "funnel_3step": _funnel_sql(STEPS, 7 * 86400),
+        "funnel_3step_spread": _funnel_sql(STEPS, 7 * 86400),
         "funnel_short_window": _funnel_sql(STEPS, 90 * 60),
         "funnel_4step_filtered": _funnel_sql(["click", *STEPS], 365 * 86400, plan_free),
         "funnel_repeat_step": _funnel_sql(["view", "view", "purchase"], 3 * 86400),

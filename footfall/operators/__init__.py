@@ -1,4 +1,8 @@
-"""The questions that can be asked about events, each returning a lazy DataFrame."""
+"""The questions that can be asked about events.
+
+Each returns a DataFrame. A funnel and a page first run a small job that decides how
+the rows are spread; everything else is lazy.
+"""
 
 from footfall.operators.breakdowns import breakdown
 from footfall.operators.events import event_types, events_page

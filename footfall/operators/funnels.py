@@ -28,13 +28,15 @@ def funnel(
     end: Instant | None = None,
     filters: Iterable[str] | None = None,
     now: Instant | None = None,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """One row per step: ``step, event_type, actors, conversion_from_previous,
     conversion_from_first, median_seconds_from_previous``.
 
     A person enters with the first event of step one. Each later step is the earliest
     event of its type strictly after the step before it, and counts if it happened no
-    later than ``window`` after entry.
+    later than ``window`` after entry. A job counts the events taking part; more than
+    ``small_rows`` of them (SMALL_ROWS by default) are spread out further.
     """
     spec = FunnelSpec.parse(steps, window)
     span = TimeRange.resolve(start, end, now)
@@ -51,7 +53,7 @@ def funnel(
         spread_by=["occurred_at", "event_type"],
         heavy=heavy,
     ).select("actor", "event_type", F.unix_micros("occurred_at").alias("at"))
-    if count <= SMALL_ROWS:
+    if count <= (SMALL_ROWS if small_rows is None else small_rows):
         return report(measured(walks(rows, spec), spec), spec)
     return report(measured_apart(walks(thinned(rows, spec, span), spec), spec), spec)
 
