@@ -60,6 +60,17 @@ def one_row_per_document(docs: DataFrame) -> DataFrame:
     )
 
 
+def by_id(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with every id once: :func:`one_row_per_document`.
+
+    Where the ids are unique already, as a count of ids tells, texts are not moved for it.
+    """
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if odd.limit(1).count():
+        return one_row_per_document(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def words_of(text: str = "text"):
     """Words of a text column, in order; none of a null or blank text."""
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), lambda w: w != "")
@@ -109,6 +120,28 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Ranges:
+    """64-bit hashes of ranges of a sequence of hashes, from sums of powers."""
+
+    powers = np.ones(1, np.uint64)
+    inverses = np.ones(1, np.uint64)
+    BASE = np.uint64(0xD6E8FEB86659FD93)
+    INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes) + 1
+        while len(Ranges.powers) < n:
+            p, q = Ranges.powers, Ranges.inverses
+            Ranges.powers = np.concatenate((p, p * (p[-1:] * self.BASE)))
+            Ranges.inverses = np.concatenate((q, q * (q[-1:] * self.INVERSE)))
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(hashes * Ranges.powers[: n - 1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.sums[ends] - self.sums[starts]) * Ranges.inverses[starts]
+        return mixed(raw + (ends - starts).astype(np.uint64))
+
+
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` consecutive hashes, order included."""
     n = len(hashes) - width + 1

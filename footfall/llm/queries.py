@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from footfall.llm import toxicity
 from footfall.llm.common import table
+from footfall.llm.near_duplicates import near_duplicates
 from footfall.llm.quality import judge_quality
 from footfall.llm.secrets import as_text, find_secrets
+from footfall.llm.substrings import remove_repeats
 from footfall.llm.token_counts import count_tokens
 
 
@@ -40,6 +42,15 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), width=2)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.learn(docs, table(spark, folder, "labels"))
@@ -52,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
 }
 
