@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from footfall.llm import toxicity
 from footfall.llm.common import table
 from footfall.llm.near_duplicates import near_duplicates
+from footfall.llm.packing import pack
 from footfall.llm.quality import judge_quality
 from footfall.llm.secrets import as_text, find_secrets
 from footfall.llm.substrings import remove_repeats
@@ -47,6 +48,12 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=2)
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_packing": op7_packing,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
 }
