@@ -108,10 +108,10 @@ def _validated_lists(spark: SparkSession, folder: str) -> DataFrame:
     return _errors_as_text(lists).select("list", F.coalesce("position", F.lit(-1)).alias("position"), "errors")
 
 
-def _attributed(spark: SparkSession, folder: str) -> DataFrame:
+def _attributed(spark: SparkSession, folder: str, broadcast_rows: int | None = None) -> DataFrame:
     requests = sample.sample_requests(spark, folder)
     organizations = sample.sample_organizations(spark, folder)
-    found = ingest.attribute(requests, organizations, spread_by=["offset"])
+    found = ingest.attribute(requests, organizations, ["offset"], broadcast_rows)
     return found.select("offset", F.coalesce("organization_id", F.lit(0)).alias("organization_id"))
 
 
@@ -119,6 +119,16 @@ def _classified(spark: SparkSession, folder: str) -> DataFrame:
     return classify(sample.sample_messages(spark, folder), sample.sample_organizations(spark, folder))
 
 
+def _odd_times(spark: SparkSession, folder: str) -> DataFrame:
+    rows = classify(sample.odd_time_requests(spark, folder), sample.sample_organizations(spark, folder))
+    return rows.select("offset", "outcome", F.coalesce(F.unix_micros("occurred_at"), F.lit(0)).alias("micros"))
+
+
+def _odd_requests(spark: SparkSession, folder: str) -> DataFrame:
+    checked = ingest.validate(ingest.decode(sample.odd_time_requests(spark, folder), REQUEST))
+    return _errors_as_text(checked).select("offset", "errors")
+
+
 def _fresh(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that the messages add to a table which holds every event but the clicks."""
     valid = _classified(spark, folder).where("outcome = 'valid'")
@@ -161,6 +171,17 @@ def _keys(spark: SparkSession, folder: str) -> DataFrame:
                       api_key_prefix(F.concat(F.lit("st_"), "c_name")).alias("api_key_prefix"))
 
 
+# Steps, window and filters; each is asked in both ways that a funnel may be worked out.
+FUNNELS = {
+    "funnel_3step": ((STEPS, "7d"), {}),
+    "funnel_short_window": ((STEPS, "90m"), {}),
+    "funnel_4step_filtered": ((["click", *STEPS], "365d"), {"filters": ["plan:free"]}),
+    "funnel_repeat_step": ((["view", "view", "purchase"], "3d"), {}),
+    "funnel_8step": ((["view", "click", "error", "view", "signup", "click", "purchase", "error"], "24h"), {}),
+    "funnel_no_entrants": ((["never", "view"], None), {}),
+}
+
+
 def _queries() -> dict[str, Query]:
     orders = sample.sample_orders
     return {
@@ -191,14 +212,16 @@ def _queries() -> dict[str, Query]:
         "filter_type_strict": _per_tenant(lambda e, t: op.summary(e, t, *MONTH, filters=["beta:true"])),
         "identity_map": _per_tenant(lambda e, t: op.identities(e, t, *MONTH)),
         # Funnel
-        "funnel_3step": _funnel(STEPS, "7d"),
-        "funnel_3step_spread": _funnel(STEPS, "7d", small_rows=0),
-        "funnel_short_window": _funnel(STEPS, "90m"),
-        "funnel_4step_filtered": _funnel(["click", *STEPS], "365d", filters=["plan:free"]),
-        "funnel_repeat_step": _funnel(["view", "view", "purchase"], "3d"),
-        "funnel_8step": _funnel(["view", "click", "error", "view", "signup", "click", "purchase", "error"], "24h"),
-        "funnel_no_entrants": _funnel(["never", "view"], None),
+        **{name: _funnel(*asked, **more) for name, (asked, more) in FUNNELS.items()},
         "funnel_totals": _per_tenant(_funnel_totals),
+        **{f"{name}_spread": _funnel(*asked, small_rows=0, **more) for name, (asked, more) in FUNNELS.items()},
+        "funnel_3step_salted": _funnel(STEPS, "7d", small_rows=0, heavy_rows=20),
+        # What answers are about
+        "series_header": _per_tenant(lambda e, t: op.series_header(
+            op.time_series(e, t, *MONTH, interval="Week"), *MONTH, interval="Week")),
+        "breakdown_header": _per_tenant(lambda e, t: op.breakdown_header(
+            op.breakdown(e, t, *MONTH, group_by="metadata.plan"), *MONTH, group_by="metadata.plan")),
+        "funnel_header": _per_tenant(lambda e, t: op.funnel_header(_funnel_totals(e, t), *MONTH)),
         # Raw events and catalogue
         "events_page": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH)),
         "events_page_offset": _per_tenant(lambda e, t: op.events_page(
@@ -207,10 +230,13 @@ def _queries() -> dict[str, Query]:
         # Ingest
         "validate_requests": _validated,
         "validate_request_lists": _validated_lists,
+        "validate_odd_times": _odd_requests,
         "attribute_tenant": _attributed,
+        "attribute_tenant_spread": lambda s, d: _attributed(s, d, broadcast_rows=0),
         "accept_requests": _accepted,
         "message_roundtrip": _messages,
         "classify_messages": lambda s, d: _classified(s, d).select("partition", "offset", "outcome", "reason"),
+        "classify_odd_times": _odd_times,
         "dead_letters": lambda s, d: _classified(s, d).where("outcome = 'rejected'").select(
             "topic", "partition", "offset", "key", "reason"),
         "dedup_events": lambda s, d: ingest.first_deliveries(_classified(s, d).where("outcome = 'valid'")).select(
@@ -227,6 +253,7 @@ def _queries() -> dict[str, Query]:
         "purge_event_types": _on(lambda e: maintenance.purge_event_types(e, ["click", "view"])),
         "remove_tenant": _without_tenant,
         "erase_person": _on(lambda e: maintenance.erase_person(e, 1, "u-3")),
+        "erase_person_resolved": _on(lambda e: maintenance.erase_person_resolved(e, 1, "u-3")),
     }
 
 
@@ -268,9 +295,18 @@ TENANTS = "tenants as (select unnest([1, 2, 3]) as organization_id)"
 
 IDENTITY = """
 identity as (
-  select distinct on (organization_id, anonymous_id) organization_id, anonymous_id, user_id
-  from ev where anonymous_id is not null and user_id is not null
-  order by organization_id, anonymous_id, occurred_at, user_id
+  select organization_id, anonymous_id,
+    arg_min(user_id, struct_pack(since := occurred_at, who := user_id)) as user_id
+  from ev where anonymous_id is not null and user_id is not null group by organization_id, anonymous_id
+)"""
+
+# Every event that names somebody, with the person it belongs to.
+PEOPLE = """
+people as (
+  select ev.*, case when user_id is not null then user_id else coalesce(
+    (select i.user_id from identity i
+      where i.organization_id = ev.organization_id and i.anonymous_id = ev.anonymous_id), anonymous_id) end as person
+  from ev where user_id is not null or anonymous_id is not null
 )"""
 
 
@@ -282,13 +318,15 @@ def _holds(**wanted: str) -> str:
 
 
 def _series_sql(unit: str, start: str, end: str, table: str = EVENTS, where: str = "true") -> str:
-    return f"""with {table}, {TENANTS},
-      buckets as (select unnest(generate_series(date_trunc('{unit}', timestamp '{start}'),
-        date_trunc('{unit}', timestamp '{end}' - interval 1 microsecond), interval 1 {unit})) as bucket),
-      counts as (select organization_id, date_trunc('{unit}', occurred_at) as bucket, count(*) as n
-        from ev where {where} group by all)
-      select organization_id::bigint as organization_id, bucket::timestamp as bucket, coalesce(n, 0) as count
-      from tenants cross join buckets left join counts using (organization_id, bucket)"""
+    """A calendar; every entry asks how many events lie between it and the next."""
+    return f"""with {table}, {TENANTS}, chosen as (select * from ev where {where}),
+      calendar as (select opens, opens + interval 1 {unit} as closes from (
+        select unnest(generate_series(date_trunc('{unit}', timestamp '{start}'), timestamp '{end}', interval 1 {unit})) as opens)
+        where opens < timestamp '{end}')
+      select t.organization_id::bigint as organization_id, c.opens::timestamp as bucket,
+        (select count(*) from chosen x where x.organization_id = t.organization_id
+          and x.occurred_at >= c.opens and x.occurred_at < c.closes) as count
+      from tenants t, calendar c"""
 
 
 def _breakdown_sql(value: str, table: str = EVENTS, where: str = "true", limit: int = 50) -> str:
@@ -300,45 +338,52 @@ def _breakdown_sql(value: str, table: str = EVENTS, where: str = "true", limit:
 
 
 def _summary_sql(where: str = "true", table: str = EVENTS) -> str:
-    return f"""with {table}, {TENANTS}, {IDENTITY},
-      hits as (select e.*, coalesce(e.user_id, i.user_id, e.anonymous_id) as actor
-        from ev e left join identity i using (organization_id, anonymous_id) where {where})
-      select t.organization_id::bigint as organization_id, count(h.event_type) as total_events,
-        count(distinct h.actor) as unique_actors, count(distinct h.event_type) as distinct_event_types,
-        min(h.occurred_at) as first_event_at, max(h.occurred_at) as last_event_at
-      from tenants t left join hits h using (organization_id) group by t.organization_id"""
+    """Every number by a question of its own; people are listed first and then counted."""
+    return f"""with {table}, {TENANTS}, {IDENTITY}, {PEOPLE},
+      chosen as (select * from ev e where {where}),
+      persons as (select distinct organization_id, person from people e where {where})
+      select organization_id::bigint as organization_id,
+        (select count(*) from chosen c where c.organization_id = t.organization_id) as total_events,
+        (select count(*) from persons p where p.organization_id = t.organization_id) as unique_actors,
+        (select count(distinct event_type) from chosen c where c.organization_id = t.organization_id) as distinct_event_types,
+        (select min(occurred_at) from chosen c where c.organization_id = t.organization_id) as first_event_at,
+        (select max(occurred_at) from chosen c where c.organization_id = t.organization_id) as last_event_at
+      from tenants t"""
 
 
 def _funnel_ctes(steps: list[str], seconds: int, where: str = "true") -> str:
-    parts = [EVENTS.strip(), TENANTS, IDENTITY, f"""base as (
-        select e.organization_id, e.event_type, e.occurred_at as happened,
-          coalesce(e.user_id, i.user_id, e.anonymous_id) as actor
-        from ev e left join identity i using (organization_id, anonymous_id)
-        where coalesce(e.user_id, e.anonymous_id) is not null and {where})""",
-        f"""s0 as (select organization_id, actor, min(happened) as t, min(happened) as t0, null::double as took
-        from base where event_type = '{steps[0]}' group by all)"""]
-    for n, step in enumerate(steps[1:], start=1):
-        parts.append(f"""s{n} as (select p.organization_id, p.actor, min(b.happened) as t, p.t0,
-          epoch_us(min(b.happened) - p.t) / 1e6 as took
-          from s{n - 1} p join base b on b.organization_id = p.organization_id and b.actor = p.actor
-            and b.event_type = '{step}' and b.happened > p.t and b.happened <= p.t0 + interval {seconds} second
-          group by p.organization_id, p.actor, p.t, p.t0)""")
-    listed = " union all ".join(
-        f"""select organization_id, {n + 1} as step, '{step}' as event_type,
-          (select count(*) from s{n} s where s.organization_id = t.organization_id) as actors,
-          (select quantile_cont(took, 0.5) from s{n} s where s.organization_id = t.organization_id) as median
-        from tenants t""" for n, step in enumerate(steps))
-    return "with " + ",\n".join(parts) + f", steps as ({listed})"
+    """Each person goes through their own events in order, one at a time, and notes the
+    time of an event that is the step they wait for and comes in time."""
+    return f"""with recursive {EVENTS.strip()}, {TENANTS}, {IDENTITY}, {PEOPLE},
+      diaries as (
+        select organization_id, person, list(struct_pack(at := occurred_at, kind := event_type) order by occurred_at) as diary
+        from people where {where} group by organization_id, person),
+      walk as (
+        select organization_id, person, diary, 1 as page, []::timestamp[] as reached from diaries
+        union all
+        select organization_id, person, diary, page + 1,
+          case when diary[page].kind = ({steps!r})[len(reached) + 1]
+              and (len(reached) = 0 or diary[page].at > reached[-1] and diary[page].at <= reached[1] + interval {seconds} second)
+            then list_append(reached, diary[page].at) else reached end
+        from walk where page <= len(diary)),
+      walked as (select organization_id, reached from walk where page > len(diary)),
+      steps as (
+        select t.organization_id, s.step, ({steps!r})[s.step] as event_type,
+          (select count(*) from walked w where w.organization_id = t.organization_id and len(w.reached) >= s.step) as actors,
+          (select median(epoch_us(w.reached[s.step]) - epoch_us(w.reached[s.step - 1])) / 1e6 from walked w
+            where w.organization_id = t.organization_id and len(w.reached) >= s.step and s.step > 1) as median
+        from tenants t, (select unnest(range(1, {len(steps) + 1}))::integer as step) s)"""
 
 
 def _funnel_sql(steps: list[str], seconds: int, where: str = "true") -> str:
-    return _funnel_ctes(steps, seconds, where) + """
-      select organization_id::bigint as organization_id, step, event_type, actors,
-        round(case when step = 1 then 1.0 else coalesce(actors / nullif(previous, 0), 0) end, 7)::double as conversion_from_previous,
-        round(coalesce(actors / nullif(entered, 0), 0), 7)::double as conversion_from_first,
-        round(median, 7) as median_seconds_from_previous
-      from (select *, lag(actors) over w as previous, first_value(actors) over w as entered from steps
-        window w as (partition by organization_id order by step))"""
+    share = "round(case when {0} > 0 then a.actors / {0} else 0 end, 7)::double"
+    return _funnel_ctes(steps, seconds, where) + f"""
+      select a.organization_id::bigint as organization_id, a.step, a.event_type, a.actors,
+        case when a.step = 1 then 1.0::double else {share.format("b.actors")} end as conversion_from_previous,
+        {share.format("f.actors")} as conversion_from_first,
+        round(a.median, 7) as median_seconds_from_previous
+      from steps a join steps f on f.organization_id = a.organization_id and f.step = 1
+        left join steps b on b.organization_id = a.organization_id and b.step = a.step - 1"""
 
 
 def _page_sql(limit: int, offset: int, where: str = "true") -> str:
@@ -391,6 +436,15 @@ msg as (
 )"""
 
 
+SPAN = "timestamp '2024-01-01' as range_start, timestamp '2024-02-01' as range_end"
+
+# The microseconds that the time of a record stands for, by the list that the sample follows.
+ODD_MICROS = """
+  case event_id % 12 when 0 then epoch_us(ts) when 1 then -62167219200000000 when 2 then -62184456000000000
+    when 3 then 316516204800000000 when 4 then 1714521600000000 when 5 then 1714521600000000000
+    when 6 then 1714521600250000 when 7 then 9223372036854000000 end"""
+
+
 def oracle_sql() -> dict[str, str]:
     named = _oracle_sql()
     if pipeline:
@@ -403,6 +457,22 @@ def oracle_sql() -> dict[str, str]:
 def _oracle_sql() -> dict[str, str]:
     plan_free = _holds(plan="free")
     eight = ["view", "click", "error", "view", "signup", "click", "purchase", "error"]
+    funnels = {
+        "funnel_3step": _funnel_sql(STEPS, 7 * 86400),
+        "funnel_short_window": _funnel_sql(STEPS, 90 * 60),
+        "funnel_4step_filtered": _funnel_sql(["click", *STEPS], 365 * 86400, plan_free),
+        "funnel_repeat_step": _funnel_sql(["view", "view", "purchase"], 3 * 86400),
+        "funnel_8step": _funnel_sql(eight, 86400),
+        "funnel_no_entrants": _funnel_sql(["never", "view"], 7 * 86400),
+    }
+    attributed = f"""select n as "offset", coalesce({REQUEST_TENANT}, 0) as organization_id
+        from (select event_id as n, user_id from events)"""
+    funnel_totals = _funnel_ctes(STEPS, 5 * 3600) + """
+      select organization_id::bigint as organization_id, '300m' as conversion_window,
+        max(actors) filter (step = 1) as entered, max(actors) filter (step = 3) as completed,
+        round(coalesce(max(actors) filter (step = 3) / nullif(max(actors) filter (step = 1), 0), 0), 7)::double
+          as overall_conversion
+      from steps group by organization_id"""
     return {
         "timeseries_hour": _series_sql("hour", *MONTH),
         "timeseries_day": _series_sql("day", *MONTH),
@@ -426,19 +496,15 @@ def _oracle_sql() -> dict[str, str]:
         "summary_orders": _summary_sql(table=ORDERS),
         "filter_type_strict": _summary_sql(_holds(beta="true")),
         "identity_map": f"with {EVENTS}, {IDENTITY} select organization_id, anonymous_id, user_id from identity",
-        "funnel_3step": _funnel_sql(STEPS, 7 * 86400),
-        "funnel_3step_spread": _funnel_sql(STEPS, 7 * 86400),
-        "funnel_short_window": _funnel_sql(STEPS, 90 * 60),
-        "funnel_4step_filtered": _funnel_sql(["click", *STEPS], 365 * 86400, plan_free),
-        "funnel_repeat_step": _funnel_sql(["view", "view", "purchase"], 3 * 86400),
-        "funnel_8step": _funnel_sql(eight, 86400),
-        "funnel_no_entrants": _funnel_sql(["never", "view"], 7 * 86400),
-        "funnel_totals": _funnel_ctes(STEPS, 5 * 3600) + """
-            select organization_id::bigint as organization_id, '300m' as conversion_window,
-              max(actors) filter (step = 1) as entered, max(actors) filter (step = 3) as completed,
-              round(coalesce(max(actors) filter (step = 3) / nullif(max(actors) filter (step = 1), 0), 0), 7)::double
-                as overall_conversion
-            from steps group by organization_id""",
+        **funnels,
+        **{f"{name}_spread": text for name, text in funnels.items()},
+        "funnel_3step_salted": funnels["funnel_3step"],
+        "series_header": f"""with {EVENTS} select organization_id, {SPAN}, 'week' as interval, count(*) as total
+            from ev group by organization_id""",
+        "breakdown_header": f"""with {EVENTS} select organization_id, {SPAN}, 'metadata.plan' as group_by, count(*) as total
+            from ev group by organization_id""",
+        "funnel_header": f"select {SPAN}, * from ({funnel_totals})",
+        "funnel_totals": funnel_totals,
         "events_page": _page_sql(100, 0),
         "events_page_offset": _page_sql(50, 60, _holds(country="US")),
         "event_types": f"""with {EVENTS} select organization_id, event_type, count(*) as count,
@@ -455,8 +521,12 @@ def _oracle_sql() -> dict[str, str]:
             select list, position::integer, concat_ws('; ',
               case when refused then 'events hold an event that is not acceptable' end, nullif(own, '')) as errors
             from single join lists l using (list) where list % 13 <> 0 and not l.broken""",
-        "attribute_tenant": f"""select n as "offset", coalesce({REQUEST_TENANT}, 0) as organization_id
-            from (select event_id as n, user_id from events)""",
+        "validate_odd_times": f"""select event_id as "offset",
+            case when {ODD_MICROS} is null then 'occurredAt must be an ISO-8601 instant' else '' end as errors from events""",
+        "classify_odd_times": f"""select event_id as "offset",
+            case when {ODD_MICROS} is null then 'invalid' else 'valid' end as outcome, coalesce({ODD_MICROS}, 0) as micros from events""",
+        "attribute_tenant": attributed,
+        "attribute_tenant_spread": attributed,
         "accept_requests": f"""with r as (
               select event_id as n, user_id, event_type, ts, event_id % 53 as flaw,
                 {REQUEST_TENANT.replace("n %", "event_id %")} as tenant,
@@ -506,4 +576,7 @@ def _oracle_sql() -> dict[str, str]:
             from nation where n_nationkey + 1 <> 2""",
         "erase_person": f"""with {EVENTS} select *, coalesce(user_id, anonymous_id) as actor_id from ev
             where not (organization_id = 1 and coalesce(user_id, '') = 'u-3')""",
+        "erase_person_resolved": f"""with {EVENTS}, {IDENTITY} select ev.*, coalesce(ev.user_id, ev.anonymous_id) as actor_id
+            from ev left join identity i on i.organization_id = ev.organization_id and i.anonymous_id = ev.anonymous_id
+            where not (ev.organization_id = 1 and coalesce(ev.user_id, i.user_id, '') = 'u-3')""",
     }

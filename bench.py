@@ -58,15 +58,13 @@ def messages_of(events):
 def ingest(spark, root: Path, name: str, store: Store, organizations) -> float:
     stream = file_messages(spark, str(root / "messages"))
     started = time.perf_counter()
-    # The session may name a folder for checkpoints that outlives this run.
-    name = f"{root.name}-{name}"
     consume(stream, lambda: organizations, store, name, str(root), availableNow=True).awaitTermination()
     return time.perf_counter() - started
 
 
 def main() -> None:
     spark = local_session("bench", **{"spark.driver.memory": "16g"})
-    root = Path(tempfile.mkdtemp(prefix="bench-", dir="/tmp"))
+    root = Path(tempfile.mkdtemp(prefix="bench-", dir=os.environ.get("BENCH_DIR")))
     events, organizations = sample_events(spark, SF_DIR), sample_organizations(spark, SF_DIR)
     write_files(messages_of(events).repartition(8), str(root / "messages"))
     sent = spark.read.schema(MESSAGES).json(str(root / "messages")).count()

@@ -13,7 +13,8 @@ from footfall.plans.selection import middle_values
 from footfall.plans.skew import survey
 from footfall.sources.events import scope
 
-# Slices the time range is cut into when a person's events are thinned out.
+# Slices the time range is cut into when a person's events are thinned out; and each of
+# those, before.
 SLICES = 4096
 # With no more events than this taking part, one person may as well have all of them.
 SMALL_ROWS = 1_000_000
@@ -29,6 +30,7 @@ def funnel(
     filters: Iterable[str] | None = None,
     now: Instant | None = None,
     small_rows: int | None = None,
+    heavy_rows: int | None = None,
 ) -> DataFrame:
     """One row per step: ``step, event_type, actors, conversion_from_previous,
     conversion_from_first, median_seconds_from_previous``.
@@ -36,7 +38,8 @@ def funnel(
     A person enters with the first event of step one. Each later step is the earliest
     event of its type strictly after the step before it, and counts if it happened no
     later than ``window`` after entry. A job counts the events taking part; more than
-    ``small_rows`` of them (SMALL_ROWS by default) are spread out further.
+    ``small_rows`` of them (SMALL_ROWS by default) are spread out further, and an anonymous
+    id with ``heavy_rows`` or more is split for the identity join.
     """
     spec = FunnelSpec.parse(steps, window)
     span = TimeRange.resolve(start, end, now)
@@ -44,21 +47,25 @@ def funnel(
     taking_part = (
         scope(events, organization_id, span, None, parse_filters(filters))
         .where(F.col("event_type").isin(*sorted(set(spec.steps))) & identified)
-        .select("event_type", "occurred_at", "user_id", "anonymous_id")
+        .select("event_type", "occurred_at", "user_id", "anonymous_id", "event_id")
     )
-    count, heavy = survey(taking_part, unnamed())
+    count, heavy = survey(taking_part, unnamed(), heavy_rows)
     rows = with_actor(
         taking_part,
         linked(scope(events, organization_id, span)),
-        spread_by=["occurred_at", "event_type"],
+        spread_by=["occurred_at", "event_type", "user_id", "event_id"],
         heavy=heavy,
     ).select("actor", "event_type", F.unix_micros("occurred_at").alias("at"))
     if count <= (SMALL_ROWS if small_rows is None else small_rows):
         return report(measured(walks(rows, spec), spec), spec)
-    return report(measured_apart(walks(thinned(rows, spec, span), spec), spec), spec)
+    for slices in (SLICES * SLICES, SLICES):
+        rows = thinned(rows, spec, span, slices)
+    return report(measured_apart(walks(rows, spec), spec), spec)
 
 
-def thinned(rows: DataFrame, spec: FunnelSpec, span: TimeRange) -> DataFrame:
+def thinned(
+    rows: DataFrame, spec: FunnelSpec, span: TimeRange, slices: int = SLICES
+) -> DataFrame:
     """The rows that can be a step of somebody's walk, at most 36 per person and slice.
 
     However a walk stands when a slice of time begins, it goes on with the earliest
@@ -66,9 +73,10 @@ def thinned(rows: DataFrame, spec: FunnelSpec, span: TimeRange) -> DataFrame:
     that. There is one such run for each step it may be waiting for, and events
     outside all of those runs are never chosen. A person with a great share of all
     events is thereby spread over the slices, and only a bounded number of rows is
-    gathered per person afterwards.
+    gathered per person afterwards. Thinning is exact for slices of any width, so very
+    narrow ones come first: a burst of one person is not gathered either.
     """
-    width = -(-(span.end_micros - span.start_micros) // SLICES)
+    width = -(-(span.end_micros - span.start_micros) // slices)
     sliced = _with_step_times(rows, spec).withColumn(
         "slice", F.expr(f"(at - {span.start_micros}) div {width}")
     )

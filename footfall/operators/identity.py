@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +46,13 @@ def unnamed() -> Column:
 
 
 def with_actor(
-    rows: DataFrame, links: DataFrame, spread_by: list[str], heavy: Sequence[str] = ()
+    rows: DataFrame, links: DataFrame, spread_by: list[str], heavy: DataFrame | None = None
 ) -> DataFrame:
     """``rows`` with ``actor``: its user, else the user its anonymous id led to, else
     the anonymous id itself, else NULL.
 
     A row that names its user needs no lookup and takes part without a key. ``heavy``
-    are anonymous ids with very many such rows.
+    are anonymous ids with very many such rows, see ``plans.skew.survey``.
     """
     found = spread_left_join(
         rows.withColumn("_unnamed", unnamed()),

@@ -26,6 +26,8 @@ ISO_INSTANT = (
     r"^[+-]?\d{4,6}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d{0,9})?([Zz]|[+-]\d\d(:?\d\d(:?\d\d)?)?)$"
 )
 EPOCH_SECONDS = r"^-?\d+(\.\d+)?$"
+# The storable range: instants whose microseconds since 1970 fit a 64-bit number, that is, the
+# years -290308 to 294247. Anything else is a wrong value of its field and no more than that.
 
 # Strict JSON: no single quotes, no NaN.
 STRICT_JSON = {
@@ -105,11 +107,10 @@ def _given(value: Column) -> Column:
 
 
 def instant_of(text: Column) -> Column:
-    """The instant a text or number stands for, or NULL."""
-    seconds = text.try_cast("decimal(30,9)")
+    """The instant a text or number stands for; NULL for any other and beyond the range."""
+    micros = (text.try_cast("decimal(30,9)") * 1_000_000).try_cast("long")
     return F.when(text.rlike(ISO_INSTANT), text.try_cast("timestamp")).when(
-        text.rlike(EPOCH_SECONDS),
-        F.timestamp_micros((seconds * 1_000_000).cast("long")),
+        text.rlike(EPOCH_SECONDS), F.timestamp_micros(micros)
     )
 
 
@@ -183,6 +184,7 @@ def attribute(
     requests: DataFrame,
     organizations: DataFrame,
     spread_by: list[str],
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """``organization_id`` from the key in ``api_key``; NULL for an unknown or missing
     one. Nothing in the body can name a tenant."""
@@ -195,6 +197,7 @@ def attribute(
         keys,
         "_key_hash",
         spread_by,
+        broadcast_rows,
     ).drop("_key_hash")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.operators.identity import linked
+
 
 def audit(events: DataFrame) -> DataFrame:
     """``(organization_id, event_type, count)``, largest first: look before deleting."""
@@ -43,6 +45,25 @@ def erase_person(events: DataFrame, organization_id: int, user_id: str) -> DataF
     return without(events, of_user(organization_id, user_id))
 
 
+def erase_person_resolved(events: DataFrame, organization_id: int, user_id: str) -> DataFrame:
+    """Also without the rows of the person's anonymous ids that name no user.
+
+    Those are the ids whose earliest link, over everything the tenant ever sent, is to this
+    user; as in every question, an id that led to somebody else first is not theirs.
+    """
+    theirs = (
+        linked(events.where(of_tenant(organization_id)))
+        .where(F.col("user_id") == user_id)
+        .select(F.lit(organization_id).cast("long").alias("_tenant"), F.col("anonymous_id").alias("_anonymous_id"))
+    )
+    nameless = (
+        (F.col("organization_id") == F.col("_tenant"))
+        & (F.col("anonymous_id") == F.col("_anonymous_id"))
+        & F.col("user_id").isNull()
+    )
+    return erase_person(events, organization_id, user_id).join(theirs, nameless, "left_anti")
+
+
 def remove_tenant(
     organizations: DataFrame, events: DataFrame, organization_id: int
 ) -> tuple[DataFrame, DataFrame]:

@@ -2,45 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is worth splitting from this many rows on; below it one task copes.
+# A key is split from this many rows on, into as many parts as it has times that many.
 HEAVY_ROWS = 1_000_000
-# Keys that may be split at a time. Any further key holds less than 1/4096 of the rows.
-HEAVY_KEYS = 4096
-# Counters of the sketch that finds them: it misses no key with more than about 1/18000.
-SKETCH_COUNTERS = 65_536
-SALTS = 256
 # Rows of a lookup side that may be sent to every executor, some 100 MB at most.
 BROADCAST_ROWS = 500_000
 
 
-def survey(rows: DataFrame, key: Column) -> tuple[int, list[str]]:
-    """How many rows there are, and at most HEAVY_KEYS keys that hold very many of
-    them; usually there is none.
+def survey(
+    rows: DataFrame, key: Column, heavy_rows: int | None = None
+) -> tuple[int, DataFrame | None]:
+    """How many rows there are, and the keys with ``heavy_rows`` or more of them (HEAVY_ROWS
+    by default): ``(heavy_key, parts)``, or None if there is no such key, as is usual.
 
-    Runs one job over ``rows``: a count and a mergeable sketch, of which tasks send on
-    only the counters. The sketch's estimates decide where rows travel and never what
-    they join with, so a key named needlessly costs a little and changes nothing.
+    Rows are counted per key, in partial counts first, and no list of keys reaches the driver.
+    There are at most ``rows / heavy_rows`` heavy keys.
     """
-    top = F.call_function("approx_top_k", key, F.lit(HEAVY_KEYS), F.lit(SKETCH_COUNTERS))
-    found = rows.agg(F.count(F.lit(1)).alias("rows"), top.alias("top")).first()
-    heavy = [key for key, held in found.top if key is not None and held >= HEAVY_ROWS]
-    return found.rows, heavy
+    least = HEAVY_ROWS if heavy_rows is None else heavy_rows
+    counts = rows.groupBy(key.alias("heavy_key")).agg(F.count(F.lit(1)).alias("held"))
+    most = F.max(F.when(F.col("heavy_key").isNotNull(), F.col("held")))
+    total, largest = counts.agg(F.coalesce(F.sum("held"), F.lit(0)), F.coalesce(most, F.lit(0))).first()
+    if largest < least:
+        return total, None
+    heavy = counts.where((F.col("held") >= least) & F.col("heavy_key").isNotNull())
+    parts = F.ceil(F.col("held") / least).cast("int")
+    return total, heavy.select("heavy_key", parts.alias("parts"))
 
 
 def spread_left_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: list[str], heavy: Sequence[str] = ()
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: list[str],
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on a string ``key`` that is unique in ``right``.
 
     Left rows without a key match nothing; hashed as they are they would all meet in
     one task, so they travel under a stand-in key made from ``spread_by``. The rows of
-    a ``heavy`` key are dealt out over SALTS tasks, and its single right row is
-    repeated for each of them.
+    a ``heavy`` key are dealt out in its parts, and its single right row is repeated for
+    each of them.
     """
     scattered = F.xxhash64(*spread_by)
     left_side = {
@@ -49,23 +52,25 @@ def spread_left_join(
     }
     right = right.withColumnRenamed(key, "_right_key")
     match = (F.col("_key") == F.col("_right_key")) & F.col("_keyed")
-    if heavy:
-        salts = F.lit(SALTS)
-        left_side["_salt"] = F.when(F.col(key).isin(*heavy), F.pmod(scattered, salts)).otherwise(0)
-        dealt = F.when(F.col("_right_key").isin(*heavy), F.sequence(F.lit(0), salts - 1))
-        every_salt = F.explode(F.coalesce(dealt, F.array(F.lit(0))))
-        right = right.select("*", every_salt.alias("_right_salt"))
+    if heavy is not None:
+        # One short row for each HEAVY_ROWS rows of the left side, at most.
+        named = F.broadcast(heavy)
+        left = left.join(named, F.col(key) == F.col("heavy_key"), "left").drop("heavy_key")
+        left_side["_salt"] = F.coalesce(F.pmod(scattered, F.col("parts")), F.lit(0).cast("long"))
+        right = right.join(named, F.col("_right_key") == F.col("heavy_key"), "left").drop("heavy_key")
+        every_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+        right = right.select("*", every_salt.alias("_right_salt")).drop("parts")
         match &= F.col("_salt") == F.col("_right_salt")
     return (
         left.withColumns(left_side)
         .join(right, match, "left")
-        .drop("_key", "_keyed", "_right_key", "_salt", "_right_salt")
+        .drop("_key", "_keyed", "_right_key", "_salt", "_right_salt", "parts")
     )
 
 
-def fits_broadcast(rows: DataFrame) -> bool:
+def fits_broadcast(rows: DataFrame, most: int | None = None) -> bool:
     """Whether ``rows`` is small enough to broadcast. Counted, as an estimate may err."""
-    return rows.count() <= BROADCAST_ROWS
+    return rows.count() <= (BROADCAST_ROWS if most is None else most)
 
 
 def lookup(
@@ -73,9 +78,10 @@ def lookup(
     dimension: DataFrame,
     key: str,
     spread_by: list[str],
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """LEFT JOIN with a dimension: broadcast if its counted size allows, else spread."""
-    if fits_broadcast(dimension):
+    if fits_broadcast(dimension, broadcast_rows):
         return left.join(F.broadcast(dimension), key, "left")
     _, heavy = survey(left, F.col(key))
     return spread_left_join(left, dimension, key, spread_by, heavy)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The fact table. `event_date` is its partition column, `ingest_batch` names the
-# micro-batch that stored the row.
+# The fact table. `event_date` and `generation` are its partition columns, `ingest_batch`
+# names the micro-batch that stored the row.
 EVENT_FIELDS = [
     T.StructField("event_id", T.StringType(), False),
     T.StructField("organization_id", T.LongType(), False),
@@ -23,8 +23,13 @@ STORED_EVENTS = T.StructType(
     + [
         T.StructField("ingest_batch", T.StringType(), True),
         T.StructField("event_date", T.DateType(), False),
+        T.StructField("generation", T.LongType(), False),
     ]
 )
+# Dates that were rewritten, and the last generation of each that no longer counts.
+REWRITTEN = T.StructType(
+    [T.StructField("event_date", T.DateType(), False), T.StructField("dead", T.LongType(), False)]
+)
 
 ORGANIZATIONS = T.StructType(
     [

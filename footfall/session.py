@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from hashlib import sha256
 
 from pyspark.sql import SparkSession
 
@@ -31,16 +32,23 @@ def check_session(spark: SparkSession) -> None:
             )
 
 
-def checkpoint_location(spark: SparkSession, name: str, fallback: str | None = None) -> str:
-    """Folder for the offsets of stream ``name``.
+def checkpoint_location(
+    spark: SparkSession, name: str, target: str, folder: str | None = None
+) -> str:
+    """Folder for the offsets of stream ``name`` that writes to ``target``.
 
-    Lives under the shared folder the cluster names in ``spark.checkpoint.dir``;
-    ``fallback`` counts only where that setting is absent, as in local tests.
+    A ``folder`` that is given holds. Else the offsets lie under the shared folder that the
+    cluster names in ``spark.checkpoint.dir``, in a place of this target's own, as two targets
+    that shared offsets would each miss what the other has read; and where that setting is
+    absent, next to what the stream writes.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return f"{root.rstrip('/')}/{name}"
+        return f"{target.rstrip('/')}/_offsets/{name}"
+    own = sha256(target.rstrip("/").encode()).hexdigest()[:16]
+    return f"{root.rstrip('/')}/{own}/{name}"
 
 
 def local_session(app: str = "footfall", cores: str | None = None, **settings: str) -> SparkSession:

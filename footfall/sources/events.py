@@ -50,25 +50,33 @@ def with_event_date(events: DataFrame) -> DataFrame:
     return events.withColumn("event_date", F.to_date("occurred_at"))
 
 
-def append_events(events: DataFrame, path: str, ingest_batch: str | None = None) -> None:
+def append_events(
+    events: DataFrame,
+    path: str,
+    ingest_batch: str | None = None,
+    generation: int = 0,
+    by_range: bool = False,
+) -> None:
     """Add rows to the table.
 
     The rebalance gathers the rows of a date, and adaptive execution cuts a date that
     is much larger than the rest into several writers, so that a busy day does not
-    wait for one task.
+    wait for one task. ``by_range`` deals rows out by date, tenant and time instead: files
+    then hold few tenants each, at the price of a pass that looks where to cut.
     """
-    rows = with_event_date(events)
+    rows = with_event_date(events).withColumn("generation", F.lit(generation).cast("long"))
     if ingest_batch is not None:
         rows = rows.withColumn("ingest_batch", F.lit(ingest_batch))
     elif "ingest_batch" not in rows.columns:
         rows = rows.withColumn("ingest_batch", F.lit(None).cast("string"))
+    order = ["event_date", "organization_id", "occurred_at"]
+    rows = rows.select(STORED_EVENTS.names)
+    dealt = rows.repartitionByRange(*order) if by_range else rows.hint("rebalance", "event_date")
     (
-        rows.select(STORED_EVENTS.names)
-        .hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "organization_id", "occurred_at")
+        dealt.sortWithinPartitions(*order)
         .write.mode("append")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
-        .partitionBy("event_date")
+        .partitionBy("event_date", "generation")
         .parquet(path)
     )
 

@@ -11,14 +11,15 @@ MESSAGES = (
     "key string, value string, topic string, partition int, offset long, timestamp timestamp"
 )
 TOPIC = "analytics-events"
-DEAD_LETTER_SUFFIX = ".DLT"
+# Bounds of a trigger unless others are asked for: a backlog is worked off in pieces.
+MAX_MESSAGES, MAX_FILES = 1_000_000, 1_000
 
 
 def kafka_messages(
     spark: SparkSession,
     servers: str,
     topic: str = TOPIC,
-    max_per_trigger: int | None = None,
+    max_per_trigger: int = MAX_MESSAGES,
     min_partitions: int | None = None,
 ) -> DataFrame:
     """A topic from its earliest message on.
@@ -30,9 +31,8 @@ def kafka_messages(
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "earliest",
+        "maxOffsetsPerTrigger": str(max_per_trigger),
     }
-    if max_per_trigger is not None:
-        options["maxOffsetsPerTrigger"] = str(max_per_trigger)
     if min_partitions is not None:
         options["minPartitions"] = str(min_partitions)
     stream = spark.readStream.format("kafka").options(**options).load()
@@ -56,13 +56,11 @@ def write_kafka(messages: DataFrame, servers: str, topic: str = TOPIC) -> None:
 
 
 def file_messages(
-    spark: SparkSession, folder: str, max_files_per_trigger: int | None = None
+    spark: SparkSession, folder: str, max_files_per_trigger: int = MAX_FILES
 ) -> DataFrame:
     """Messages from JSON files that keep appearing in ``folder``."""
     reader = spark.readStream.schema(MESSAGES)
-    if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(folder)
+    return reader.option("maxFilesPerTrigger", max_files_per_trigger).json(folder)
 
 
 def write_files(messages: DataFrame, folder: str) -> None:

@@ -188,3 +188,37 @@ def sample_messages(spark: SparkSession, folder: str) -> DataFrame:
         "event_id * 4 + delivery as offset",
         "cast(ts as timestamp) + interval 5 seconds as timestamp",
     )
+
+
+# Times that are unusual or wrong, as they stand in a record. The last ones are numbers beyond
+# the storable range.
+ODD_TIMES = (
+    '"0000-01-01T00:00:00Z"',
+    '"-0001-06-15T12:00:00Z"',
+    '"+12000-01-01T00:00:00Z"',
+    "1714521600",
+    "1714521600000",
+    "1714521600.25",
+    '"9223372036854"',
+    "9223372036855",
+    "-9223372036855",
+    "12345678901234567",
+    "12345678901234567890123456789",
+)
+
+
+def odd_time_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of `events` as a record; eleven of twelve have an unusual time."""
+    raw = spark.read.parquet(f"{folder}/events.parquet")
+    odd = F.get(F.array(*map(F.lit, ODD_TIMES)), (F.col("event_id") % 12 - 1).cast("int"))
+    usual = F.date_format("ts", "'\"'yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z\"'")
+    value = F.concat(
+        F.lit('{"eventId":"'), F.expr(UUID_TEXT.format(id="event_id")),
+        F.lit('","organizationId":1,"eventType":"'), F.col("event_type"),
+        F.lit('","occurredAt":'), F.coalesce(odd, usual), F.lit(',"metadata":{}}'),
+    )
+    return raw.select(
+        F.lit("1").alias("key"), value.alias("value"), F.lit(TOPIC_NAME).alias("topic"),
+        (F.col("event_id") % 8).cast("int").alias("partition"), F.col("event_id").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )

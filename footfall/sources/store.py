@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import re
 from dataclasses import dataclass
-from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.operators.maintenance import without
-from footfall.schema import AUDIT
+from footfall.plans.skew import fits_broadcast
+from footfall.schema import AUDIT, REWRITTEN
 from footfall.sources.events import append_events, read_events
 
 
@@ -20,7 +19,10 @@ class Store:
     """Events, dead letters and the audit, each a Parquet table below ``root``.
 
     The event table has one writer at a time: one ingest stream, or one rewrite while
-    the stream is stopped.
+    the stream is stopped. A rewrite adds the rows that stay as a new generation and then
+    one version of the list of rewritten dates; a reader sees the generations up to the
+    version it finds, hence the old rows or the new ones and never a mixture. No file is
+    renamed.
     """
 
     root: str
@@ -38,11 +40,38 @@ class Store:
         return f"{self.root}/audit"
 
     @property
-    def rewrite(self) -> str:
-        return f"{self.root}/_rewrite"
+    def rewrites(self) -> str:
+        return f"{self.root}/rewrites"
+
+    def version(self, spark: SparkSession) -> int:
+        """The number of the last completed rewrite."""
+        done = _Files(spark).found(f"{self.rewrites}/version=*/_SUCCESS")
+        return max((int(re.search(r"version=(\d+)/_SUCCESS$", path)[1]) for path in done), default=0)
+
+    def rewritten(self, spark: SparkSession, version: int) -> DataFrame:
+        if not version:
+            return spark.createDataFrame([], REWRITTEN)
+        return spark.read.schema(REWRITTEN).parquet(f"{self.rewrites}/version={version}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return read_events(spark, self.events)
+        version = self.version(spark)
+        events = read_events(spark, self.events)
+        if not version:
+            return events.where("generation = 0")
+        dates = self.rewritten(spark, version)
+        if fits_broadcast(dates):
+            dates = F.broadcast(dates)
+        live = F.col("generation") > F.coalesce("dead", F.lit(-1))
+        return (
+            events.where(F.col("generation") <= version)
+            .join(dates, "event_date", "left")
+            .where(live)
+            .select(events.columns)
+        )
+
+    def append(self, events: DataFrame, ingest_batch: str) -> None:
+        spark = events.sparkSession
+        append_events(events, self.events, ingest_batch, self.version(spark))
 
     def read_audit(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(AUDIT).parquet(self.audit)
@@ -64,61 +93,66 @@ class Outbox:
 
 
 def replace_batch(rows: DataFrame, folder: str, batch: str) -> None:
-    """Write the rows of one micro-batch; running the batch again replaces them."""
+    """Write the rows of one micro-batch, if there are any; running it again replaces them."""
+    if rows.isEmpty():
+        return
     rows.write.mode("overwrite").parquet(f"{folder}/ingest_batch={batch}")
 
 
 def delete_events(spark: SparkSession, store: Store, doomed: Column) -> int:
     """Delete the rows for which ``doomed`` holds; returns the number of dates rewritten.
 
-    Only dates that hold such rows are rewritten. An interrupted deletion is completed
-    by ``finish_rewrite``.
+    Only dates that hold such rows are rewritten. An interrupted deletion has no effect and
+    may be called again.
+    """
+    touched = store.read(spark).where(doomed).select("event_date").distinct()
+    return _rewrite(spark, store, touched, doomed)
+
+
+def compact_events(spark: SparkSession, store: Store, dates: Column) -> int:
+    """Put the many files that micro-batches left in some dates into few sorted ones.
+
+    ``dates`` is a condition on ``event_date``.
     """
-    finish_rewrite(spark, store)
-    # One row per date.
-    touched = store.read(spark).where(doomed).select("event_date").distinct().collect()
-    return _rewrite(spark, store, [row.event_date for row in touched], doomed)
-
-
-def compact_events(spark: SparkSession, store: Store, dates: Sequence[date]) -> int:
-    """Put the many files that micro-batches left in some dates into few sorted ones."""
-    finish_rewrite(spark, store)
-    return _rewrite(spark, store, list(dates), F.lit(False))
-
-
-def _rewrite(spark: SparkSession, store: Store, dates: list[date], doomed: Column) -> int:
-    """What remains of the dates is written aside in full, then put in place date by date."""
-    if not dates:
-        return 0
-    left = without(store.read(spark).where(F.col("event_date").isin(dates)), doomed)
-    append_events(left, store.rewrite)
-    kept = read_events(spark, store.rewrite).select("event_date").distinct().collect()
-    kept_dates = {row.event_date for row in kept}
-    plan = [(day.isoformat(), day in kept_dates) for day in dates]
-    spark.createDataFrame([(json.dumps(plan),)], "value string").coalesce(1).write.text(
-        f"{store.rewrite}/_plan"
-    )
-    finish_rewrite(spark, store)
-    return len(dates)
-
-
-def finish_rewrite(spark: SparkSession, store: Store) -> None:
-    """Put rewritten dates in place; does nothing if there are none, or the rest of it
-    if it was interrupted. A rewrite that never completed is thrown away."""
+    touched = store.read(spark).where(dates).select("event_date").distinct()
+    return _rewrite(spark, store, touched, F.lit(False))
+
+
+def _rewrite(spark: SparkSession, store: Store, dates: DataFrame, doomed: Column) -> int:
+    """What remains of the dates becomes a generation of its own; then the dates are listed
+    as rewritten, which is one write and makes the new rows count and the old ones not."""
+    old = store.version(spark)
+    new = old + 1
     files = _Files(spark)
-    if files.exists(f"{store.rewrite}/_plan/_SUCCESS"):
-        plan = spark.read.text(f"{store.rewrite}/_plan").first()[0]
-        for day, survives in json.loads(plan):
-            source, target = (
-                f"{folder}/event_date={date.fromisoformat(day)}"
-                for folder in (store.rewrite, store.events)
-            )
-            if not survives:
-                files.delete(target)
-            elif files.exists(source):
-                files.delete(target)
-                files.rename(source, target)
-    files.delete(store.rewrite)
+    # What an interrupted rewrite has left counts nowhere.
+    files.delete(f"{store.rewrites}/version={new}")
+    for path in files.found(f"{store.events}/event_date=*/generation={new}"):
+        files.delete(path)
+    dates.withColumn("dead", F.lit(old).cast("long")).write.mode("overwrite").parquet(f"{store.rewrites}/_dates")
+    listed = spark.read.schema(REWRITTEN).parquet(f"{store.rewrites}/_dates")
+    number = listed.count()
+    if number:
+        stay = store.read(spark).join(listed.select("event_date"), "event_date", "left_semi")
+        append_events(without(stay, doomed), store.events, generation=new, by_range=True)
+        others = store.rewritten(spark, old).join(listed, "event_date", "left_anti")
+        others.unionByName(listed).coalesce(1).write.parquet(f"{store.rewrites}/version={new}")
+        remove_dead(spark, store)
+    return number
+
+
+def remove_dead(spark: SparkSession, store: Store) -> None:
+    """Delete the files of generations that no longer count; may be repeated at any time.
+
+    A query that began before the rewrite and is still reading them fails and is asked again.
+    """
+    files, version = _Files(spark), store.version(spark)
+    # As text, which has every year; a line for each date that was ever rewritten.
+    dead = store.rewritten(spark, version).selectExpr("cast(event_date as string) as day", "dead")
+    upto = {row.day: row.dead for row in dead.collect()}
+    for path in files.found(f"{store.events}/event_date=*/generation=*"):
+        day, generation = re.search(r"event_date=([^/]+)/generation=(\d+)$", path).groups()
+        if int(generation) <= upto.get(day, -1):
+            files.delete(path)
 
 
 class _Files:
@@ -132,15 +166,10 @@ class _Files:
         there = self.path(path)
         return there.getFileSystem(self.conf), there
 
-    def exists(self, path: str) -> bool:
-        system, there = self._on(path)
-        return system.exists(there)
+    def found(self, pattern: str) -> list[str]:
+        system, there = self._on(pattern)
+        return [str(status.getPath().toString()) for status in system.globStatus(there) or []]
 
     def delete(self, path: str) -> None:
         system, there = self._on(path)
         system.delete(there, True)
-
-    def rename(self, source: str, target: str) -> None:
-        system, there = self._on(source)
-        if not system.rename(there, self.path(target)):
-            raise OSError(f"could not rename {source} to {target}")

@@ -30,7 +30,6 @@ from footfall.operators.ingest import (
 from footfall.plans.skew import BROADCAST_ROWS
 from footfall.schema import REQUEST
 from footfall.session import check_session, checkpoint_location
-from footfall.sources.events import append_events
 from footfall.sources.store import Outbox, Store, replace_batch
 
 
@@ -78,7 +77,8 @@ def publish(
         finally:
             judged.unpersist()
 
-    return _start(requests, run, name, checkpoints, trigger)
+    place = checkpoint_location(requests.sparkSession, name, outbox.root, checkpoints)
+    return _start(requests, run, name, place, trigger)
 
 
 def consume(
@@ -98,7 +98,8 @@ def consume(
     def run(batch: DataFrame, batch_id: int) -> None:
         store_batch(batch, organizations(), store, _batch_name(name, batch_id))
 
-    return _start(messages, run, name, checkpoints, trigger)
+    place = checkpoint_location(messages.sparkSession, name, store.root, checkpoints)
+    return _start(messages, run, name, place, trigger)
 
 
 def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, batch: str) -> None:
@@ -110,16 +111,17 @@ def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, bat
         valid = classified.where(F.col("outcome") == "valid")
         small = valid.count() <= BROADCAST_ROWS
         fresh = unseen(first_deliveries(valid), store.read(spark), keys=valid, small=small)
-        append_events(as_stored(fresh), store.events, batch)
+        store.append(as_stored(fresh), batch)
         rejected = classified.where(F.col("outcome") == "rejected")
         replace_batch(
             rejected.select("topic", *POSITION, "key", "value", "reason"), store.dead_letters, batch
         )
         # Counted in the table and not while writing: after a crash the second run
-        # writes only what the first did not. One row per date of the batch.
-        dates = [row[0] for row in valid.select(F.to_date("occurred_at")).distinct().collect()]
-        mine = store.read(spark).where(
-            F.col("event_date").isin(dates) & (F.col("ingest_batch") == batch)
+        # writes only what the first did not. Dates stay in Spark, which has more years
+        # than Python; a small batch's dates are sent along and prune the folders.
+        dates = valid.select(F.to_date("occurred_at").alias("event_date")).distinct()
+        mine = store.read(spark).where(F.col("ingest_batch") == batch).join(
+            F.broadcast(dates) if small else dates, "event_date", "left_semi"
         )
         replace_batch(audit_counts(classified, F.lit(mine.count())), store.audit, batch)
     finally:
@@ -149,7 +151,7 @@ def _start(stream, run, name, checkpoints, trigger) -> StreamingQuery:
     return (
         stream.writeStream.queryName(name)
         .foreachBatch(run)
-        .option("checkpointLocation", checkpoint_location(spark, name, checkpoints))
+        .option("checkpointLocation", checkpoints)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )

@@ -12,7 +12,8 @@ entry = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(entry)
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = entry._oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in entry._queries()}
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,5 @@
 import json
 from types import SimpleNamespace
-from uuid import uuid4
 
 import pytest
 from conftest import T0
@@ -12,7 +11,8 @@ from footfall.plans import skew
 from footfall.schema import ORGANIZATIONS, REQUEST
 from footfall.session import checkpoint_location
 from footfall.sources.messages import MESSAGES, backlog, file_messages, write_files
-from footfall.sources.store import Outbox, Store
+from footfall.sources.sample_tables import ODD_TIMES
+from footfall.sources.store import Outbox, Store, delete_events
 from footfall.streaming.ingest import accept, classify, consume, publish, store_batch
 
 UUID = "11111111-2222-3333-4444-{:012d}"
@@ -209,8 +209,6 @@ def test_streams_end_to_end(spark, organizations, store, tmp_path):
     )
     numbered.write.json(inbox)
     positions = iter(range(0, 10**9, 10**6))
-    # The session may name a folder for checkpoints that outlives this test.
-    run = uuid4().hex
 
     def send(rows):
         start = next(positions)
@@ -219,12 +217,12 @@ def test_streams_end_to_end(spark, organizations, store, tmp_path):
         write_files(sent, topic)
 
     publish(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(inbox), organizations, send,
-            outbox, f"requests-{run}", str(tmp_path / "offsets"), availableNow=True).awaitTermination()
+            outbox, "requests", str(tmp_path / "offsets"), availableNow=True).awaitTermination()
     assert spark.read.parquet(outbox.refusals).count() == 12
     sent = spark.read.parquet(outbox.audit).agg(F.sum("received"), F.sum("published")).first()
     assert tuple(sent) == (400, 388)
     for _ in range(2):
-        query = consume(file_messages(spark, topic, 1), lambda: organizations, store, f"events-{run}",
+        query = consume(file_messages(spark, topic, 1), lambda: organizations, store, "events",
                         str(tmp_path / "offsets"), availableNow=True)
         query.awaitTermination()
         # Files do not tell how far behind a reader is; Kafka does.
@@ -234,11 +232,37 @@ def test_streams_end_to_end(spark, organizations, store, tmp_path):
     assert store.read(spark).select("organization_id", "event_id").distinct().count() == 194
 
 
-def test_checkpoint_folder_is_the_clusters():
+def test_every_target_has_its_own_offsets():
     def session(**settings):
         return SimpleNamespace(conf={f"spark.{name}.dir": folder for name, folder in settings.items()})
 
-    assert checkpoint_location(session(checkpoint="/shared/y"), "s", "/x") == "/shared/y/s"
-    assert checkpoint_location(session(), "s", "/x/") == "/x/s"
-    with pytest.raises(ValueError):
-        checkpoint_location(session(), "s")
+    shared = session(checkpoint="/shared/y")
+    assert checkpoint_location(shared, "s", "/store", "/x/") == "/x/s"
+    one, two = (checkpoint_location(shared, "s", target) for target in ("/store", "/other"))
+    assert one != two and one.startswith("/shared/y/") and one.endswith("/s")
+    assert checkpoint_location(shared, "s", "/store/") == one
+    assert checkpoint_location(session(), "s", "/store") == "/store/_offsets/s"
+
+
+def test_two_stores_of_one_cluster_both_get_everything(spark, organizations, tmp_path):
+    topic = str(tmp_path / "topic")
+    write_files(messages(spark, [message(n) for n in range(6)]), topic)
+    for name in ("one", "two"):
+        store = Store(str(tmp_path / name))
+        consume(file_messages(spark, topic), lambda: organizations, store, availableNow=True).awaitTermination()
+        assert store.read(spark).count() == 6
+
+
+def test_odd_times_stop_nothing(spark, organizations, store):
+    odd = [json.loads(t) if t.startswith('"') else ... for t in ODD_TIMES]
+    values = [message(n, occurredAt=o) for n, o in enumerate(odd) if o is not ...]
+    values += [message(20 + n).replace('"2026-05-01T00:00:00Z"', t) for n, t in enumerate(ODD_TIMES) if not t.startswith('"')]
+    values += [message(50), message(51)]
+    for _ in range(2):
+        store_batch(messages(spark, values), organizations, store, "b0")
+        # Four numbers are beyond the range.
+        assert store.read(spark).count() == 9 and audit(spark, store) == (13, 4, 0, 9, 0)
+    store_batch(messages(spark, [message(60), message(50)], 100), organizations, store, "b1")
+    assert store.read(spark).count() == 10 and audit(spark, store) == (15, 4, 0, 10, 1)
+    delete_events(spark, store, F.col("event_id").isin(UUID.format(50), UUID.format(2)))
+    assert store.read(spark).count() == 8

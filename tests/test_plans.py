@@ -90,12 +90,16 @@ def test_duplicates_are_dropped_before_the_shuffle(spark):
 
 def test_survey_names_the_busy_keys(spark):
     rows = spark.range(3_000_000).selectExpr("if(id % 3 = 0, 'busy', if(id % 3 = 1, null, cast(id as string))) as k")
-    assert survey(rows, F.col("k")) == (3_000_000, ["busy"])
-    assert survey(rows.limit(0), F.col("k")) == (0, [])
+    total, heavy = survey(rows, F.col("k"))
+    assert total == 3_000_000 and [tuple(r) for r in heavy.collect()] == [("busy", 1)]
+    total, heavy = survey(rows, F.col("k"), 300_000)
+    assert [tuple(r) for r in heavy.collect()] == [("busy", 4)]
+    assert survey(rows.limit(0), F.col("k")) == (0, None)
 
 
-@pytest.mark.parametrize("heavy", [[], ["busy"], ["busy", "absent", "k3"]])
-def test_spread_join_equals_a_plain_one(spark, heavy):
+@pytest.mark.parametrize("parts", [{}, {"busy": 7}, {"busy": 3, "absent": 2, "k3": 1}])
+def test_spread_join_equals_a_plain_one(spark, parts):
+    heavy = spark.createDataFrame(list(parts.items()), "heavy_key string, parts int") if parts else None
     left = spark.range(2_000).selectExpr(
         "id", "case id % 3 when 0 then 'busy' when 1 then null else concat('k', id % 50) end as k")
     right = spark.range(30).selectExpr("if(id = 0, 'busy', concat('k', id)) as k", "id as found")
@@ -110,7 +114,8 @@ def test_busy_and_missing_keys_are_spread(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = spread_left_join(left, right, "k", ["id"], ["busy"])
+        heavy = spark.createDataFrame([("busy", 64)], "heavy_key string, parts int")
+        joined = spread_left_join(left, right, "k", ["id"], heavy)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -146,6 +151,24 @@ def test_thinning_keeps_few_rows_of_a_busy_person(spark, make):
     assert funnels.thinned(rows, spec, span).count() <= 6
 
 
+def test_rows_of_one_instant_are_spread(spark):
+    from footfall.operators.identity import with_actor
+
+    rows = spark.range(80_000).selectExpr(
+        "'view' as event_type", "timestamp'2026-05-01' as occurred_at", "concat('u-', id % 997) as user_id",
+        "cast(null as string) as anonymous_id", "cast(id as string) as event_id")
+    links = spark.createDataFrame([("a", "u-1")], "anonymous_id string, user_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = with_actor(rows, links, ["occurred_at", "event_type", "user_id", "event_id"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 80_000 and max(sizes) < 1.2 * 80_000 / 8
+
+
 def test_load_events_have_known_shares(spark):
     rows = load_events(spark.range(200), "id").collect()
     plans = [r.metadata.split('"plan":"')[1].split('"')[0] for r in rows]
