@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@lru_cache(maxsize=1)
+def own_folder() -> str:
+    """For sessions without a shared folder, as in tests."""
+    return tempfile.mkdtemp(prefix="footfall-")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder for intermediate tables in the shared folder that the cluster names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="footfall-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or own_folder()
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

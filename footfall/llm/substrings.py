@@ -120,13 +120,19 @@ def _labelled(found: DataFrame, frequent: DataFrame | None) -> DataFrame:
         .when(F.col("frequent"), F.xxhash64("one", "two"))
         .otherwise(F.col("one"))
     )
-    dealt = found.withColumn("route", spread).repartition("route")
-    earlier = Window.partitionBy("route", "one", "two").orderBy("repeat", "doc_id", "start")
+    # Three small numbers travel as one: row fields take eight bytes each.
+    flags = F.col("repeat").cast("long") * 2 + F.coalesce("frequent", F.lit(False)).cast("long")
+    place = F.shiftleft("start", 16) + F.col("windows") * 4 + flags
+    dealt = found.select("doc_id", place.alias("place"), "one", "two", spread.alias("route")).repartition("route")
+    known = F.col("place").bitwiseAND(2) > 0
+    earlier = Window.partitionBy("route", "one", "two").orderBy(known, "doc_id", "place")
     anchor = Window.partitionBy("route", "one")
     return dealt.select(
-        "doc_id", "start", "windows",
-        (F.col("repeat") | (F.row_number().over(earlier) > 1)).alias("repeat"),
-        (F.coalesce("frequent", F.lit(False)) | (F.min("two").over(anchor) != F.max("two").over(anchor))).alias("contested"),
+        "doc_id",
+        F.shiftright("place", 16).alias("start"),
+        F.shiftright(F.col("place").bitwiseAND(0xFFFF), 2).cast("int").alias("windows"),
+        (known | (F.row_number().over(earlier) > 1)).alias("repeat"),
+        ((F.col("place").bitwiseAND(1) > 0) | (F.min("two").over(anchor) != F.max("two").over(anchor))).alias("contested"),
     )
 
 
