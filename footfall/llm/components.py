@@ -29,11 +29,11 @@ def components(links: DataFrame) -> DataFrame:
         # Larger neighbours of each id go below its least neighbour (or itself).
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both).select("a", F.least("a", "least").alias("least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = written(large.distinct())
         # Smaller neighbours, and the id itself, go below the least of them.
         least = _least(large)
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         new = written(down(small.unionAll(least.select("a", F.col("least").alias("b")))))
         # Settled: every id hangs below one other, and none of those hangs below another.
         shape = new.agg(F.count("*"), F.count_distinct("a")).first()

@@ -101,7 +101,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``wanted`` (with ``id``) with each text's set as bytes."""
-    rows = wanted.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    rows = wanted.join(docs.withColumnRenamed("doc_id", "id").hint("merge"), "id")
 
     def kernel(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -210,20 +210,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = written(sets.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")))
 
     # Buckets of two or more representatives, each hung below its least member.
-    bands = sets.select(F.col("doc_id").alias("id"), "bands").join(classes.select("id"), "id", "left_semi")
+    bands = sets.select(F.col("doc_id").alias("id"), "bands").join(classes.select("id").hint("merge"), "id", "left_semi")
     buckets = bands.select("id", F.explode("bands").alias("key"))
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail")
-    mates = written(buckets.join(heads.select("key", "head"), "key"))
+    # Merged whatever the sizes: what is sent grows with the input, and skewed keys are split.
+    mates = written(buckets.join(heads.select("key", "head").hint("merge"), "key"))
     groups = components(mates.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
 
-    members = groups.join(classes.select("id", "n"), "id").select("id", F.col("component").alias("group"), "n")
+    members = groups.join(classes.select("id", "n").hint("merge"), "id").select("id", F.col("component").alias("group"), "n")
     members = written(members)
     choice = [F.min(F.struct(F.xxhash64("id", F.lit(i)), F.col("id"))).alias(f"leader{i}") for i in range(LEADERS)]
     shape = members.groupBy("group").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), *choice)
     shape = written(shape.select(
         "group", "blocks", F.array_distinct(F.array(*(F.col(f"leader{i}.id") for i in range(LEADERS)))).alias("leaders")))
-    placed = written(members.join(shape, "group").select(
+    placed = written(members.join(shape.hint("merge"), "group").select(
         "id", "group", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
     # A leader visits every block of its group; one row carries the blocks of an id.
     leaders = shape.where("blocks > 1").select(
@@ -252,9 +253,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = links.unionAll(written(_across_blocks(met, percent)))
         parts = components(links)
 
-    united = classes.join(parts, "id", "left").select(
+    united = classes.join(parts.hint("merge"), "id", "left").select(
         "one", "two", F.coalesce("component", "id").alias("component"))
-    return signed.select("doc_id", "n", "one", "two").join(united, ["one", "two"], "left").select(
+    return signed.select("doc_id", "n", "one", "two").join(united.hint("merge"), ["one", "two"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
