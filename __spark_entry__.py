@@ -171,6 +171,12 @@ def _keys(spark: SparkSession, folder: str) -> DataFrame:
                       api_key_prefix(F.concat(F.lit("st_"), "c_name")).alias("api_key_prefix"))
 
 
+def _monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that all claim to have happened, and to have come, at the turn of the month."""
+    month = F.date_trunc("month", "occurred_at")
+    return sample.sample_events(spark, folder).withColumns({"occurred_at": month, "received_at": month})
+
+
 # Steps, window and filters; each is asked in both ways that a funnel may be worked out.
 FUNNELS = {
     "funnel_3step": ((STEPS, "7d"), {}),
@@ -226,6 +232,7 @@ def _queries() -> dict[str, Query]:
         "events_page": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH)),
         "events_page_offset": _per_tenant(lambda e, t: op.events_page(
             e, t, *MONTH, filters=["country:US"], limit=50, offset=60, shallow=20)),
+        "events_page_ties": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH, limit=50, offset=900, shallow=20), _monthly),
         "event_types": _per_tenant(op.event_types),
         # Ingest
         "validate_requests": _validated,
@@ -386,8 +393,8 @@ def _funnel_sql(steps: list[str], seconds: int, where: str = "true") -> str:
         left join steps b on b.organization_id = a.organization_id and b.step = a.step - 1"""
 
 
-def _page_sql(limit: int, offset: int, where: str = "true") -> str:
-    return f"""with {EVENTS}, placed as (select *,
+def _page_sql(limit: int, offset: int, where: str = "true", table: str = EVENTS) -> str:
+    return f"""with {table}, placed as (select *,
         row_number() over (partition by organization_id order by occurred_at desc, received_at desc, event_id desc) as place,
         count(*) over (partition by organization_id) as available from ev where {where})
       select organization_id, event_id, event_type, occurred_at, received_at, metadata,
@@ -506,6 +513,8 @@ def _oracle_sql() -> dict[str, str]:
         "funnel_header": f"select {SPAN}, * from ({funnel_totals})",
         "funnel_totals": funnel_totals,
         "events_page": _page_sql(100, 0),
+        "events_page_ties": _page_sql(50, 900, table=EVENTS.replace("t.ts as occurred_at", "date_trunc('month', t.ts) as occurred_at")
+            .replace("t.ts + interval 1 second", "date_trunc('month', t.ts)::timestamp")),
         "events_page_offset": _page_sql(50, 60, _holds(country="US")),
         "event_types": f"""with {EVENTS} select organization_id, event_type, count(*) as count,
             max(occurred_at) as last_seen_at from ev group by organization_id, event_type""",

@@ -4,21 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.operators.identity import linked, unnamed, with_actor
 from footfall.params import Instant, TimeRange, parse_filters
-from footfall.sources.events import scope
-
-SUMMARY_COLUMNS = [
-    "total_events",
-    "unique_actors",
-    "distinct_event_types",
-    "first_event_at",
-    "last_event_at",
-]
-
+from footfall.sources.events import scope, wanted
 
 def summary(
     events: DataFrame,
@@ -32,32 +22,39 @@ def summary(
     """One row: ``total_events, unique_actors, distinct_event_types, first_event_at,
     last_event_at``.
 
-    Totals come from one small row per event type. For the people the events are first
-    reduced to their distinct ids, so no id is busy any more when the identity join
-    shuffles. Two narrow scans cost less than one distinct count over both columns,
-    for which Spark would copy every row.
+    The table is read once: rows become one per user, anonymous id and event type, combined
+    before they are sent, with the numbers of the rows that match and the first time of all.
+    Everything else works on those few rows: the owner of an anonymous id is its earliest
+    user, and the first row of each person counts the person.
     """
     span = TimeRange.resolve(start, end, now)
-    hits = scope(events, organization_id, span, event_type, parse_filters(filters))
-    ids = hits.select("user_id", unnamed().alias("anonymous_id")).distinct()
-    links = linked(scope(events, organization_id, span))
-    people = with_actor(ids, links, spread_by=["user_id"]).agg(
-        F.count_distinct("actor").alias("unique_actors")
+    hit = wanted(event_type, parse_filters(filters))
+    ids = scope(events, organization_id, span).groupBy("user_id", "anonymous_id", "event_type").agg(
+        F.count_if(hit).alias("events"),
+        F.min(F.when(hit, F.col("occurred_at"))).alias("first_at"),
+        F.max(F.when(hit, F.col("occurred_at"))).alias("last_at"),
+        F.min("occurred_at").alias("since"),
     )
-    totals = (
-        hits.groupBy("event_type")
+    # Rows without an anonymous id need no owner and go by their user.
+    visitor = Window.partitionBy(F.coalesce("anonymous_id", "user_id"), F.col("anonymous_id").isNull())
+    linked = F.when(F.col("user_id").isNotNull() & F.col("anonymous_id").isNotNull(), F.struct("since", "user_id"))
+    owner = F.min(linked).over(visitor)["user_id"]
+    owned = ids.withColumn("actor", F.coalesce("user_id", owner, "anonymous_id")).where("events > 0")
+    place = F.row_number().over(Window.partitionBy("actor").orderBy("event_type"))
+    return (
+        owned.withColumn("person", F.when(F.col("actor").isNotNull() & (place == 1), 1))
+        .groupBy("event_type")
         .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.min("occurred_at").alias("first_at"),
-            F.max("occurred_at").alias("last_at"),
+            F.sum("events").alias("events"),
+            F.count("person").alias("people"),
+            F.min("first_at").alias("first_at"),
+            F.max("last_at").alias("last_at"),
         )
         .agg(
             F.coalesce(F.sum("events"), F.lit(0).cast("long")).alias("total_events"),
+            F.coalesce(F.sum("people"), F.lit(0).cast("long")).alias("unique_actors"),
             F.count(F.lit(1)).alias("distinct_event_types"),
             F.min("first_at").alias("first_event_at"),
             F.max("last_at").alias("last_event_at"),
         )
     )
-    # Two rows, each with the numbers the other lacks.
-    both = totals.unionByName(people, allowMissingColumns=True)
-    return both.agg(*(F.max(name).alias(name) for name in SUMMARY_COLUMNS))

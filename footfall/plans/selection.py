@@ -14,6 +14,9 @@ from footfall.params import TimeRange
 SHALLOW = 10_000
 # Slices of time per counting pass, and so the rows the driver sees of each.
 SLICES = 4096
+DAY_MICROS = 86_400_000_000
+# By how much more each further look back reaches, and characters of an id looked at a time.
+FURTHER, PREFIX_STEP = 4, 2
 # Bands per e-fold of duration: a band spans a ten-thousandth of its values.
 BANDS = 10_000
 
@@ -22,39 +25,95 @@ def around_page(
     rows: DataFrame, span: TimeRange, skip: int, take: int, shallow: int = SHALLOW
 ) -> tuple[DataFrame, int]:
     """Only those rows, newest first, among which a page lies, and how many of them to
-    skip still.
+    skip still: ``shallow`` at most, unless rows are equal in the whole order.
 
     Sorting reads every column of every row and keeps all that is skipped in memory.
-    Counting rows per slice of time reads one column and returns at most SLICES counts;
-    from these follow the slices in which the page starts and ends. If much is left to
-    skip in the first slice, it is cut up in turn, down to a single microsecond.
+    Counting reads one column. Days are counted from the newest back until they hold the
+    page, then slices of time within them, at most SLICES counts a pass, down to a single
+    microsecond; if rows of that instant are still too many they are cut in turn by the time
+    they were received, and then by their ids, from prefix to prefix.
     """
-    low, high, oldest = span.start_micros, span.end_micros, None
+    low = _far_enough(rows, span, skip + take)
+    at = F.unix_micros("occurred_at")
+    inside = rows.where(F.col("occurred_at").between(instant(low), instant(span.end_micros - 1)))
+    if "event_date" in rows.columns:
+        inside = inside.where(F.col("event_date") >= F.to_date(instant(low)))
+    newest, skip, found = _newest_slice(inside, at, low, span.end_micros, skip, shallow)
+    if not found:
+        # The page lies behind the last row.
+        return rows.where(F.lit(False)), 0
+    first, width = newest
+    page = F.col("occurred_at") <= instant(first)
+    if width == 1 and skip > shallow:
+        ties = inside.where(F.col("occurred_at") == instant(first))
+        tie, skip = _within_an_instant(ties, skip, shallow)
+        page = (F.col("occurred_at") < instant(first)) | (F.col("occurred_at") == instant(first)) & tie
+    return inside.where(page), skip
+
+
+def _far_enough(rows: DataFrame, span: TimeRange, wanted: int) -> int:
+    """The start of the newest part of the range that holds so many rows, or of the range.
+
+    Each count reads only what the ones before it have not.
+    """
+    high, step = span.end_micros, DAY_MICROS
+    while high > span.start_micros and wanted > 0:
+        low = max(span.start_micros, high - step)
+        if low == span.start_micros:
+            return low
+        part = rows.where(F.col("occurred_at").between(instant(low), instant(high - 1)))
+        if "event_date" in rows.columns:
+            part = part.where(F.col("event_date").between(F.to_date(instant(low)), F.to_date(instant(high - 1))))
+        wanted -= part.count()
+        high, step = low, step * FURTHER
+    return high
+
+
+def _newest_slice(
+    rows: DataFrame, key: Column, low: int, high: int, skip: int, shallow: int
+) -> tuple[tuple[int, int], int, bool]:
+    """The slice of ``key``, largest first, in which the row after ``skip`` others lies: its
+    highest value and its width; what is to be skipped inside; whether there is such a row."""
+    width = high - low
     while high > low:
         width = -(-(high - low) // SLICES)
-        age = F.expr(f"({high - 1} - unix_micros(occurred_at)) div {width}")
-        inside = rows.where(F.col("occurred_at").between(instant(low), instant(high - 1)))
-        counts = inside.groupBy(age.alias("age")).agg(F.count(F.lit(1)).alias("rows"))
-        counts = sorted(map(tuple, counts.collect()))
+        age = F.floor((F.lit(high - 1) - key) / F.lit(width)) if width > 1 else F.lit(high - 1) - key
+        counts = rows.where(key.between(low, high - 1)).groupBy(age.alias("age")).agg(F.count(F.lit(1)).alias("rows"))
+        counts = sorted((int(age), held) for age, held in counts.collect())
         up_to = list(accumulate(held for _, held in counts))
         starts = next((n for n, newer in enumerate(up_to) if newer > skip), None)
         if starts is None:
-            # The page lies behind the last row.
-            return rows.where(F.lit(False)), 0
-        if oldest is None:
-            ends = next((n for n, newer in enumerate(up_to) if newer >= skip + take), None)
-            oldest = low if ends is None else max(low, high - (counts[ends][0] + 1) * width)
+            return (low, width), 0, False
         skip -= up_to[starts] - counts[starts][1]
         high -= counts[starts][0] * width
         low = max(low, high - width)
         if skip <= shallow or width == 1:
-            break
-    page = F.col("occurred_at").between(instant(oldest), instant(high - 1))
-    if "event_date" in rows.columns:
-        page &= F.col("event_date").between(
-            F.to_date(instant(oldest)), F.to_date(instant(high - 1))
-        )
-    return rows.where(page), skip
+            return (high - 1, width), skip, True
+    return (low, width), 0, False
+
+
+def _within_an_instant(ties: DataFrame, skip: int, shallow: int) -> tuple[Column, int]:
+    """Which of the rows of one instant do not come before the page, and what to skip."""
+    received = F.unix_micros("received_at")
+    low, high = ties.agg(F.min(received), F.max(received)).first()
+    (last, width), skip, _ = _newest_slice(ties, received, low, high + 1, skip, shallow)
+    here = received <= last
+    if width > 1 or skip <= shallow:
+        return here, skip
+    ties = ties.where(received == last)
+    prefix, more = "", True
+    while skip > shallow and more:
+        length = len(prefix) + PREFIX_STEP
+        cut = F.substring("event_id", 1, length)
+        counts = ties.where(F.col("event_id").startswith(prefix)).groupBy(cut.alias("cut")).agg(F.count(F.lit(1)).alias("rows"))
+        for name, held in sorted(map(tuple, counts.collect()), reverse=True):
+            if held > skip:
+                more, prefix = len(name) == length, name
+                break
+            skip -= held
+    # Ids that begin with the prefix, and those below it.
+    return (received < last) | (received == last) & (
+        F.col("event_id").startswith(prefix) | (F.col("event_id") < prefix)), skip
 
 
 def middle_values(tally: DataFrame, group: str) -> DataFrame:

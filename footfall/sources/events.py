@@ -27,17 +27,21 @@ def scope(
 ) -> DataFrame:
     """Rows of one tenant, narrowed as asked. The tenant is never optional."""
     check_session(events.sparkSession)
-    wanted = F.col("organization_id") == F.lit(organization_id).cast("long")
+    inside = F.col("organization_id") == F.lit(organization_id).cast("long")
     if span is not None:
-        wanted &= F.col("occurred_at") >= instant(span.start)
-        wanted &= F.col("occurred_at") < instant(span.end)
+        inside &= F.col("occurred_at") >= instant(span.start)
+        inside &= F.col("occurred_at") < instant(span.end)
         if "event_date" in events.columns:
-            wanted &= dates_of(span)
-    if not is_blank(event_type):
-        wanted &= F.col("event_type") == event_type
-    if filters:
-        wanted &= contains(F.col("metadata"), filters)
-    return events.where(wanted)
+            inside &= dates_of(span)
+    if not is_blank(event_type) or filters:
+        inside &= wanted(event_type, filters)
+    return events.where(inside)
+
+
+def wanted(event_type: str | None, filters: dict[str, str] | None) -> Column:
+    """What a question narrows a tenant's rows by; true where it does not."""
+    found = F.lit(True) if is_blank(event_type) else F.col("event_type") == event_type
+    return found & contains(F.col("metadata"), filters) if filters else found
 
 
 def dates_of(span: TimeRange) -> Column:

@@ -62,11 +62,22 @@ def test_top_entries_are_not_sorted_as_a_whole(events):
     assert "TakeOrderedAndProject(limit=101" in initial_plan(op.events_page(events, 1, *MONTH))
 
 
-def test_summary_reduces_before_it_joins(events):
-    text = initial_plan(op.summary(events, 1, *MONTH))
-    joined = text.index("Join")
-    # Ids are made distinct below the join, and no row is copied for a second distinct.
-    assert "HashAggregate(keys=[user_id" in text[joined:] and "Expand" not in text
+def test_pages_over_equal_times_stay_shallow(events):
+    month = F.date_trunc("month", "occurred_at")
+    tied = events.withColumns({"occurred_at": month, "received_at": month})
+    for offset in (0, 15, 200, 300):
+        text = initial_plan(op.events_page(tied, 1, *MONTH, limit=10, offset=offset, shallow=20))
+        limits = [int(n) for n in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", text)]
+        assert limits and max(limits) <= 20 + 11
+
+
+@pytest.mark.parametrize("filters", [None, ["plan:pro"]])
+def test_summary_reads_once_and_reduces_first(events, filters):
+    text = final_plan(op.summary(events, 1, *MONTH, filters=filters))
+    assert text.count("FileScan") == 1 and "Join" not in text and "Expand" not in text
+    # The scan's rows are combined before anything is sent.
+    scan = text.index("FileScan")
+    assert "HashAggregate(keys=[user_id" in text[text.rindex("Exchange", 0, scan):scan]
 
 
 def test_small_funnel_shuffles_people_once(events):
