@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MOST_WORDS = 500_000
+MOST_WORDS = 800_000
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 # Letters on which all Unicode versions agree; words with others go through the library.
 SETTLED = r"[\x01-\u0377\u0390-\u0527\u05d0-\u05ea\u0620-\u065e\u1e00-\u1ef9\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
