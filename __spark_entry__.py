@@ -232,7 +232,7 @@ def _queries() -> dict[str, Query]:
         "events_page": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH)),
         "events_page_offset": _per_tenant(lambda e, t: op.events_page(
             e, t, *MONTH, filters=["country:US"], limit=50, offset=60, shallow=20)),
-        "events_page_ties": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH, limit=50, offset=900, shallow=20), _monthly),
+        "events_page_ties": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH, limit=50, offset=250, shallow=20), _monthly),
         "event_types": _per_tenant(op.event_types),
         # Ingest
         "validate_requests": _validated,
@@ -513,7 +513,7 @@ def _oracle_sql() -> dict[str, str]:
         "funnel_header": f"select {SPAN}, * from ({funnel_totals})",
         "funnel_totals": funnel_totals,
         "events_page": _page_sql(100, 0),
-        "events_page_ties": _page_sql(50, 900, table=EVENTS.replace("t.ts as occurred_at", "date_trunc('month', t.ts) as occurred_at")
+        "events_page_ties": _page_sql(50, 250, table=EVENTS.replace("t.ts as occurred_at", "date_trunc('month', t.ts) as occurred_at")
             .replace("t.ts + interval 1 second", "date_trunc('month', t.ts)::timestamp")),
         "events_page_offset": _page_sql(50, 60, _holds(country="US")),
         "event_types": f"""with {EVENTS} select organization_id, event_type, count(*) as count,
