@@ -14,10 +14,15 @@ from footfall.llm.packing import pack
 from footfall.llm.queries import tokenizer
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """Ids and texts with the whole row in ``row``, so that no name clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     model = toxicity.learn(docs, table(spark, folder, "labels"))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_toxicity(_aside(docs), model).where("predicted = 0").select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -25,9 +30,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
 
     ``n_chars`` follows the text.
     """
-    left = remove_repeated_chunks(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", chars).select(*docs.columns)
+    left = remove_repeated_chunks(_aside(docs)).where(
+        (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = F.col("n_removed") > 0
+    new = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+           if "n_chars" in docs.columns else None}
+    return left.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
