@@ -74,3 +74,18 @@ def test_pipeline(spark):
         ids.setdefault(p.doc_id, []).extend(np.frombuffer(bytes(p.ids), "<u4").tolist())
     assert all(ids[d] == [*library.encode(t, add_special_tokens=False).ids, 2] for d, t in texts.items())
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+@pytest.mark.parametrize("some", [True, False], ids=["odd", "empty"])
+def test_stages_take_odd_rows(spark, some):
+    rows = [(1, None, None, "a", None), (2, "", "en", None, 0), (None, "words without an id", "en", "b", 3), (4, "one", "en", "b", 3),
+            (4, "one", "en", "b", 3), (5, "long " * 30_000, None, "b", 150_000), (6, "it is vile\nit is so\nand more", "en", "c", None)]
+    docs = spark.createDataFrame(rows if some else [], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(7) for c in ("score", "predicted", "n_lines", "n_removed", "n", "key", "row", "spans", "label")})
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, FOLDER)
+        assert kept.columns == docs.columns and kept.where("score <> 7 or n_lines <> 7 or row <> 7").count() == 0
+    # A repeated id is one document; nothing else goes.
+    assert kept.count() == (7 if some else 0)
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, FOLDER).agg(F.sum("length")).first()[0] or not some
