@@ -83,8 +83,48 @@ select doc_id, sum(lines)::bigint as n_lines, coalesce(sum(lines) filter (gone),
 from judged group by doc_id
 """
 
+SUBSTRING_DEDUP = r"""
+with worded as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+windows as (
+  select doc_id, unnest(k) as k, generate_subscripts(k, 1) as i
+  from (select doc_id, list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i : i + 19], ' ')) as k
+    from worded where len(w) >= 20)),
+again as (select doc_id, i from windows qualify row_number() over (partition by k order by doc_id, i) > 1),
+gone as (select distinct doc_id, i from (select doc_id, unnest(range(i, i + 20)) as i from again)),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from worded),
+kept as (
+  select doc_id, count(*) as n, string_agg(x, ' ' order by i) as t
+  from words anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(k.n, 0))::bigint as n_removed,
+  sha256(coalesce(k.t, '')) as kept_sha256
+from worded d left join kept k using (doc_id)
+"""
+
+NEAR_DUPLICATES = r"""
+with recursive worded as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 1 then w
+    else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from worded),
+links as (
+  select a.doc_id as a, b.doc_id as b from sets a join sets b on a.doc_id < b.doc_id
+    and 100 * least(len(a.s), len(b.s)) >= 80 * greatest(len(a.s), len(b.s)) and len(a.s) > 0
+  where 180 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s))),
+both_ways as (select a, b from links union all select b, a from links),
+reached as (
+  select doc_id as a, doc_id as b from sets
+  union
+  select r.a, l.b from reached r join both_ways l on l.a = r.b)
+select a as doc_id, any_value(len(s.s))::bigint as n_shingles, min(b) as component_id, min(b) = a as kept
+from reached join sets s on s.doc_id = a group by a
+"""
+
 SQL = {
     "op2_decontamination": DECONTAMINATION,
     "op3_url_filters": URL_FILTERS,
+    "op6_substring_dedup": SUBSTRING_DEDUP,
+    "op8_near_duplicates": NEAR_DUPLICATES,
     "op10_line_dedup": LINE_DEDUP,
 }
