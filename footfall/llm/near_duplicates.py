@@ -167,25 +167,27 @@ def _inside_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _across_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of visitors to the members of a block."""
+    """Links ``(a, b)`` that join visitors and the members of a block to their parts: one for
+    each of them at most, however many of a block's members a visitor is linked with."""
 
     def kernel(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("id").to_pylist(), np.int64)
         visits = np.array(group.column("visits").to_pylist(), bool)
         shingles = group.column("shingles")
-        read = lambda which: [np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in np.flatnonzero(which)]
-        guests, own, members = ids[visits], ids[~visits], read(~visits)
-        found = []
-        for start in range(0, len(guests), BLOCK_MEMBERS):
-            some = np.flatnonzero(visits)[start : start + BLOCK_MEMBERS]
-            which = np.zeros(len(ids), bool)
-            which[some] = True
-            linked = links_between(read(which), members, percent) if len(own) else np.zeros((len(some), 0), bool)
-            # One link for each part of the block that a guest meets would do; the first few
-            # links of a guest are distinct members, and any one of a part unites it.
-            g, m = np.nonzero(linked)
-            found.append(np.stack([ids[some][g], own[m]], axis=1))
-        pairs = np.concatenate([*found, np.empty((0, 2), np.int64)])
+        read = lambda which: [np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in which]
+        guests, own = np.flatnonzero(visits), np.flatnonzero(~visits)
+        members, found = read(own), [np.empty((0, 2), np.int64)]
+        for start in range(0, len(guests) if len(own) else 0, BLOCK_MEMBERS):
+            some = guests[start : start + BLOCK_MEMBERS]
+            between = links_between(read(some), members, percent)
+            linked = np.zeros((len(some) + len(own),) * 2, bool)
+            linked[: len(some), len(some) :] = between
+            linked[len(some) :, : len(some)] = between.T
+            both = ids[np.concatenate([some, own])]
+            label = parts_of(linked)
+            joined = label != np.arange(len(label))
+            found.append(np.stack([both[joined], both[label[joined]]], axis=1))
+        pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return rows.groupBy("group", "block").applyInArrow(kernel, "a long, b long")
@@ -242,10 +244,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     apart = written(of_part.join(largest.where("n_parts > 1"), "group").select(
         "id", "group", "block", "part", (F.col("part") != F.col("top.part")).alias("outside")))
     if apart.limit(1).count():
+        # A block is visited if the visitor's bucket has a member of another part there.
         there = mates.select("id", "key").join(apart.select("id", "group", "block", "part"), "id")
-        at_key = there.select("key", "group", "block", F.col("part").alias("there")).distinct()
+        at_key = there.groupBy("key", "group", "block").agg(F.min("part").alias("least"), F.max("part").alias("most"))
         guests = mates.select("id", "key").join(apart.where("outside").select("id", "part", F.col("block").alias("home")), "id")
-        visits = guests.join(at_key, "key").where("part <> there and block <> home").select("id", "group", "block").distinct()
+        visits = guests.join(at_key, "key").where("(part <> least or part <> most) and block <> home").select(
+            "id", "group", "block").distinct()
         visits = visits.groupBy("id", "group").agg(F.collect_list("block").alias("at")).withColumn("visits", F.lit(True))
         hosts = apart.select("id", "group", F.array("block").alias("at"), F.lit(False).alias("visits"))
         met = _with_sets(docs, visits.unionByName(hosts), width).select(
