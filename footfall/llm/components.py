@@ -43,3 +43,20 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(
                 roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
     raise RuntimeError(f"links did not settle in {MOST_ROUNDS} rounds")
+
+
+def star_components(links: DataFrame) -> DataFrame:
+    """The same for links ``(a, b)``, ``b`` the smaller, of which an ``a`` has a bounded number.
+
+    Ids that are nobody's smaller neighbour are taken out first: each hangs below its least
+    neighbour, and only what its neighbours are to one another goes through the rounds.
+    """
+    stars = written(links.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("near")))
+    heads = stars.select(F.explode("near").alias("a")).distinct()
+    between = stars.select(F.explode("near").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    own = stars.select("a", F.col("least").alias("b")).join(heads.hint("merge"), "a", "left_semi")
+    core = written(components(between.unionAll(own)))
+    names = core.select(F.col("id").alias("least"), "component").hint("merge")
+    roots = heads.join(stars.select("a").hint("merge"), "a", "left_anti").select("a", F.col("a").alias("least"))
+    return stars.select("a", "least").unionAll(roots).join(names, "least", "left").select(
+        F.col("a").alias("id"), F.coalesce("component", "least").alias("component"))

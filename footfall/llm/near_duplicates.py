@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import WordHashes, batches, by_id, cells, mixed, rolled, small_batches, written
-from footfall.llm.components import components
+from footfall.llm.components import components, star_components
 
 SLOTS, ROWS = 512, 8
 LEADERS = 8
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail")
     # Merged whatever the sizes: what is sent grows with the input, and skewed keys are split.
     mates = written(buckets.join(heads.select("key", "head").hint("merge"), "key"))
-    groups = components(mates.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    # An id has a link for each of its bands at most.
+    groups = star_components(mates.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
 
     members = groups.join(classes.select("id", "n").hint("merge"), "id").select("id", F.col("component").alias("group"), "n")
     members = written(members)

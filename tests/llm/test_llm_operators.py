@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from footfall.llm import near_duplicates as near
 from footfall.llm import packing, quality, substrings, token_counts, toxicity
-from footfall.llm.components import components
+from footfall.llm.components import components, star_components
 from footfall.llm.decontamination import contaminated, decontaminate
 from footfall.llm.line_dedup import remove_repeated_chunks
 from footfall.llm.secrets import as_text, find_secrets
@@ -400,9 +400,12 @@ def test_components(spark):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
     found = components(spark.createDataFrame(links, "a long, b long"))
-    got = {r.id: r.component for r in found.collect()}
-    linked = {x for a, b in links if a != b for x in (a, b)}
-    assert got == {x: label[x] for x in linked}
+    linked = {x: label[x] for a, b in links if a != b for x in (a, b)}
+    assert {r.id: r.component for r in found.collect()} == linked
+    down = [(max(a, b), min(a, b)) for a, b in links if a != b]
+    rows = star_components(spark.createDataFrame(down, "a long, b long")).collect()
+    assert {r.id: r.component for r in rows} == linked and len(rows) == len(linked)
+    assert star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # --- toxicity -----------------------------------------------------------------
