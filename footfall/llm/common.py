@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 # in bytes.split(), so kernels split the UTF-8 form.
 SPACES = r"[\x20\x09-\x0D]+"
 # Python kernels hold a batch, its words and their hashes at once.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,6 +80,20 @@ def words_of(text: str = "text"):
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), lambda w: w != "")
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What ``make`` gives, kept in this worker until another operator keeps something.
+
+    Workers serve one operator after the other; tables of two would not fit their memory.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def cells(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -106,7 +120,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered while there are few enough."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, seed: int = 0):
         super().__init__()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import toxicity
@@ -15,14 +15,20 @@ from footfall.llm.queries import tokenizer
 
 
 def _aside(docs: DataFrame) -> DataFrame:
-    """Ids and texts with the whole row in ``row``, so that no name clashes with an operator's."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    """Ids and texts with all other columns in ``row``, so that none clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+
+
+def _back(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` again, from rows that were put aside."""
+    from_row = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("text")} | new
+    return [from_row[c].alias(c) for c in docs.columns]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     model = toxicity.learn(docs, table(spark, folder, "labels"))
-    return toxicity.score_toxicity(_aside(docs), model).where("predicted = 0").select("row.*")
+    return toxicity.score_toxicity(_aside(docs), model).where("predicted = 0").select(*_back(docs))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -32,10 +38,10 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
     """
     left = remove_repeated_chunks(_aside(docs)).where(
         (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    cut = F.col("n_removed") > 0
-    new = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
-           if "n_chars" in docs.columns else None}
-    return left.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    if "n_chars" not in docs.columns:
+        return left.select(*_back(docs))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return left.select(*_back(docs, n_chars=chars))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

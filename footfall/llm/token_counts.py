@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import small_batches
+from footfall.llm.common import held, small_batches
 
 CHUNK = 1 << 16
 GROUP = 1 << 20
@@ -244,9 +244,8 @@ def piece_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return starts
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("token counts", path), lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame:

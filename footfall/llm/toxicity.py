@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.llm.common import small_batches
+from footfall.llm.common import held, small_batches
 
-MOST_TOXIC, MOST_CLEAN = 2_500, 4_500
+MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
 SWAP_WEIGHT = 4.0
 THRESHOLD = 0.7
 # Groups of one kind, whose names may stand for one another.
@@ -39,8 +38,8 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("extranjeros", "españoles"),
 )
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…¡¿–—"
-PREFIXES = (3, 4, 5, 6, 7, 8)
-MOST_WORDS = 500_000
+PREFIXES = (4, 5, 6, 7)
+MOST_WORDS = 200_000
 
 
 def swaps() -> dict[str, str]:
@@ -213,7 +212,6 @@ class Scorer:
         return float(1 / (1 + np.exp(-max(-40.0, min(40.0, z)))))
 
 
-@lru_cache(maxsize=2)
 def scorer(features: bytes, weights: bytes, start: float, constant: float | None) -> Scorer:
     return Scorer(Model(np.frombuffer(features, np.int64), np.frombuffer(weights), start, constant))
 
@@ -228,7 +226,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     parts = (model.features.tobytes(), model.weights.tobytes(), model.start, model.constant)
 
     def kernel(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(*parts)
+        score = held(("toxicity", *parts), lambda: scorer(*parts))
         for batch in rows:
             scores = pa.array([score(t or "") for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
-MOST_WORDS = 800_000
+from footfall.llm.common import held
+
+MOST_WORDS = 500_000
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 # Letters on which all Unicode versions agree; words with others go through the library.
 SETTLED = r"[\x01-\u0377\u0390-\u0527\u05d0-\u05ea\u0620-\u065e\u1e00-\u1ef9\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
@@ -84,6 +85,5 @@ class WordTokens:
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
-@lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return held(("word tokens", path), lambda: WordTokens(path))
