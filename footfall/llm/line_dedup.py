@@ -4,6 +4,10 @@ A text's lines are cut into chunks where a rolling hash over the hashes of three
 multiple of ``EVERY``. Borders depend on the lines around them alone, so a passage that is
 shifted, or stands between other lines, is cut in the same places. Chunks of two lines or more
 are grouped by hash and then by their bytes; the first occurrence of each stays.
+
+Chunks miss passages whose borders fall with the lines around them. ``remove_repeated_runs``
+misses none: any run of two written lines or more that occurs earlier is made of pairs of
+neighbouring written lines that occur earlier, and every such pair is looked up.
 """
 
 from __future__ import annotations
@@ -76,6 +80,60 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return found.where(F.struct("doc_id", "first") != F.col("earliest")).select("doc_id", "first", "n")
 
 
+def _pairs(lines: Column) -> Column:
+    """``(first, last)`` of each written line, counted from 0, and the next written one."""
+    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
+    return _bound(places, lambda p: F.filter(
+        F.transform(p, lambda i, k: F.struct(i.alias("first"), F.get(p, k + 1).alias("last"))),
+        lambda pair: pair["last"].isNotNull()))
+
+
+def _joined(lines: Column, pair: Column) -> Column:
+    """The lines of a pair and the blank ones between them."""
+    return F.array_join(F.slice(lines, pair["first"] + 1, pair["last"] - pair["first"] + 1), "\n")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, mark, first, n)`` of pairs of written lines that occur earlier: in a smaller
+    id, or above; ``mark`` is a hash of the row's text.
+
+    Only pairs whose 64-bit hash occurs again are brought together with their text, by which
+    they are compared. Pairs of one run overlap, and a pair may overlap its earlier occurrence.
+    """
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    lines = F.split("text", "\n")
+    hashed = _bound(lines, lambda all_lines: F.transform(_pairs(all_lines), lambda pair: F.struct(
+        pair["first"].alias("first"), pair["last"].alias("last"), F.xxhash64(_joined(all_lines, pair)).alias("hash"))))
+    places = written(texts.select("doc_id", "mark", F.inline(hashed)))
+    again = places.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1").select("hash")
+    suspect = places.join(again.hint("merge"), "hash").groupBy("doc_id", "mark").agg(
+        F.collect_set(F.struct("first", "last")).alias("pairs"))
+    shown = texts.join(suspect.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", F.inline(_bound(
+        lines, lambda all_lines: F.transform("pairs", lambda pair: F.struct(
+            pair["first"].alias("first"), pair["last"].alias("last"), _joined(all_lines, pair).alias("pair_text"))))))
+    shown = written(shown)
+    same = shown.groupBy("pair_text").agg(
+        F.min(F.struct("doc_id", "mark", "first")).alias("earliest"), F.count("*").alias("copies")).where("copies > 1")
+    found = shown.join(same.hint("merge"), "pair_text").where(F.struct("doc_id", "mark", "first") != F.col("earliest"))
+    return found.select("doc_id", "mark", "first", (F.col("last") - F.col("first") + 1).alias("n"))
+
+
+def remove_repeated_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` without lines in runs of two written lines or more that occur earlier, wherever
+    a run begins or ends and whatever stands around it; ``n_lines`` and ``n_removed`` as in
+    :func:`remove_repeated_chunks`.
+
+    Every line that goes has an equal one that stays. Blank lines go inside of a run only. A
+    row gives a row; rows of one id and one text count as one occurrence.
+    """
+    docs = docs.drop("n_lines", "n_removed")
+    cuts = repeated_runs(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("_cuts"))
+    cuts = cuts.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
+    here = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
+    return _without(docs.columns, docs.join(cuts, here, "left"))
+
+
 def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     """``docs`` with their repeated chunks cut out of ``text``, and ``n_lines``, ``n_removed``.
 
@@ -87,17 +145,21 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed")
     cuts = repeated_chunks(docs).groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("first", "n"))).alias("_cuts"))
-    joined = docs.join(cuts.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    return _without(docs.columns, docs.join(cuts.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left"))
+
+
+def _without(columns: list[str], joined: DataFrame) -> DataFrame:
+    """``columns`` of rows whose ``_cuts`` list the ``(first, n)`` that go from ``text``."""
     lines = F.split("text", "\n")
     # Line numbers that go, in one list; a text keeps what lies outside of it.
-    gone = F.flatten(F.transform("_cuts", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))
+    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1))))
     left = _bound(lines, lambda all_lines: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone), lambda i: F.get(all_lines, i)), "\n"))
     n_lines = F.coalesce(F.size(lines).cast("long"), F.lit(0))
-    removed = F.coalesce(F.aggregate("_cuts", F.lit(0).cast("long"), lambda total, c: total + c["n"]), F.lit(0).cast("long"))
+    removed = F.when(F.col("_cuts").isNotNull(), F.size(gone)).otherwise(0).cast("long")
     return joined.select(
         *(F.when(F.col("_cuts").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
-          for c in docs.columns),
+          for c in columns),
         F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
         removed.alias("n_removed"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footfall.llm import toxicity
 from footfall.llm.common import table
 from footfall.llm.decontamination import decontaminate
-from footfall.llm.line_dedup import remove_repeated_chunks
+from footfall.llm.line_dedup import remove_repeated_runs
 from footfall.llm.near_duplicates import near_duplicates
 from footfall.llm.packing import pack
 from footfall.llm.queries import tokenizer
@@ -32,11 +32,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without line chunks that occur earlier; those left without a word go.
+    """Documents without runs of lines that occur earlier; those left without a word go.
 
     ``n_chars`` follows the text.
     """
-    left = remove_repeated_chunks(_aside(docs)).where(
+    left = remove_repeated_runs(_aside(docs)).where(
         (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" not in docs.columns:
         return left.select(*_back(docs))

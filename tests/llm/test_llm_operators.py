@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from footfall.llm import near_duplicates as near
-from footfall.llm import packing, quality, substrings, token_counts, toxicity
+from footfall.llm import packing, quality, stages, substrings, token_counts, toxicity
 from footfall.llm.components import components, star_components
 from footfall.llm.decontamination import contaminated, decontaminate
 from footfall.llm.line_dedup import remove_repeated_chunks
@@ -491,3 +491,36 @@ def test_line_chunks(spark):
         want[doc] = ("\n".join(left), text.count("\n") + 1, gone)
     found = {r.doc_id: tuple(r[1:]) for r in remove_repeated_chunks(docs(spark, rows)).collect()}
     assert found == want and sum(g for *_, g in want.values()) > 50
+
+
+def test_the_stage_removes_every_repeated_run(spark):
+    rng = random.Random(9)
+    lines = [f"line {i}" for i in range(400)] + [""] * 40
+    passages = [rng.choices(lines, k=rng.randint(2, 5)) for _ in range(8)]
+    rows = []
+    for doc in range(80):
+        text = [f"only {doc}"]
+        for _ in range(rng.randint(0, 4)):
+            text += rng.choice(passages) if rng.random() < 0.5 else rng.choices(lines, k=rng.randint(1, 6))
+        rows.append((doc, "\n".join(text)))
+    rows += [(90, "x y\nx y\nx y\nx y\nend"), (91, "a 1\n\nb 2"), (92, "head\na 1\n\nb 2\n\ntail"), (93, "a 1\nb 2")]
+    seen, want = set(), {}
+    for doc, text in rows:
+        own, gone = text.split("\n"), set()
+        full = [i for i, x in enumerate(own) if x.strip(" ")]
+        for a, b in zip(full, full[1:]):
+            key = "\n".join(own[a : b + 1])
+            if key in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(key)
+        want[doc] = "\n".join(x for i, x in enumerate(own) if i not in gone)
+    assert want[90] == "x y\nend" and want[92] == "head\n\ntail" and want[93] == "a 1\nb 2"
+    found = stages.without_repeated_lines(spark, docs(spark, rows), "")
+    assert {r.doc_id: r.text for r in found.collect()} == want
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nend"), (2, "other\ntext\nhere"), (3, None), (None, "a\nb")]
+    found = stages.without_repeated_lines(spark, docs(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in found) == [
+        (0, "a\nb"), (1, "a\nb\nc"), (2, "end"), (2, "other\ntext\nhere"), (3, "")]
