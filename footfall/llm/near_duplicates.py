@@ -12,7 +12,9 @@ joins candidates without forming pairs. Inside a group of candidates, cut into b
 bounded size, sets are compared as a whole: intersections of all members of a block at once,
 by a product of 0/1 matrices, and with a few leaders of the group that every block gets. Where
 a group falls into several parts that way, members outside its largest part are compared with
-the blocks in which they have bucket mates of another part. Linked texts are united.
+the blocks in which they have bucket mates of another part, if sizes and rarest shingles allow
+a link there; the visitors of a block are dealt into slices of bounded size. Linked texts are
+united.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.common import WordHashes, batches, by_id, cells, mixed, rolled, small_batches, written
@@ -31,6 +33,8 @@ SLOTS, ROWS = 512, 8
 LEADERS = 8
 # A block has about so many members, and so many shingles, at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 1_000_000
+# Visitors of a block that one task takes.
+SLICE_VISITORS = 768
 COLUMNS = 4_096
 
 
@@ -167,8 +171,8 @@ def _inside_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _across_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` that join visitors and the members of a block to their parts: one for
-    each of them at most, however many of a block's members a visitor is linked with."""
+    """Links ``(a, b)`` that join the visitors in a slice and the members of their block to their
+    parts: one for each of them at most, however many of the members a visitor is linked with."""
 
     def kernel(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("id").to_pylist(), np.int64)
@@ -190,7 +194,46 @@ def _across_blocks(rows: DataFrame, percent: int) -> DataFrame:
         pairs = np.concatenate(found)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("group", "block").applyInArrow(kernel, "a long, b long")
+    return rows.groupBy("group", "block", "slice").applyInArrow(kernel, "a long, b long")
+
+
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each row's set, by their number of sets in its group.
+
+    Two sets are linked only if one of the ``n - ceil(percent * n / 100) + 1`` rarest shingles
+    of the larger is one of the ``n - ceil(2 * percent * n / (100 + percent)) + 1`` rarest
+    (``short``) of the smaller: those beyond them are too few for the overlap that is needed.
+    """
+    def kernel(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(rows, 100):
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            rest = batch.drop_columns(["shingles"]).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+            yield pa.RecordBatch.from_arrays(
+                [*rest.columns, pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], [*rest.schema.names, "shingle"])
+
+    fields = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes if name != "shingles")
+    ordered = rows.select(*(c for c in rows.columns if c != "shingles"), "shingles")
+    single = written(ordered.mapInArrow(kernel, f"{fields}, shingle long"))
+    held = single.groupBy("group", "shingle").agg(F.count("*").alias("held"))
+    # A shingle of one set only meets nothing, but takes its place in the order.
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle"))
+    ranked = single.join(held.hint("merge"), ["group", "shingle"]).withColumn("rank", rank)
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    return ranked.where((F.col("rank") <= most) & (F.col("held") > 1)).withColumn("short", F.col("rank") <= short).drop("rank", "held")
+
+
+def _visits(prefixes: DataFrame, percent: int) -> DataFrame:
+    """``(id, group, block)``: the blocks in which a member of another part may be linked with
+    an id that is ``outside``, by sizes and by their rarest shingles."""
+    at = prefixes.groupBy("group", "shingle", "block").agg(
+        F.min("part").alias("least"), F.max("part").alias("most"), F.min("n").alias("small"), F.max("n").alias("large"),
+        F.min(F.when(F.col("short"), F.col("n"))).alias("small_short"))
+    guests = prefixes.where("outside").select("id", "group", "shingle", "part", "n", "short", F.col("block").alias("home"))
+    return guests.join(at.hint("merge"), ["group", "shingle"]).where(
+        "block <> home and (part <> least or part <> most)").where(
+        f"100 * small <= {10_000 / percent} * n and {percent} * n <= 100 * large").where(
+        "(short and large >= n) or small_short <= n").select("id", "group", "block").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -251,10 +294,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         guests = mates.select("id", "key").join(apart.where("outside").select("id", "part", F.col("block").alias("home")), "id")
         visits = guests.join(at_key, "key").where("(part <> least or part <> most) and block <> home").select(
             "id", "group", "block").distinct()
-        visits = visits.groupBy("id", "group").agg(F.collect_list("block").alias("at")).withColumn("visits", F.lit(True))
-        hosts = apart.select("id", "group", F.array("block").alias("at"), F.lit(False).alias("visits"))
-        met = _with_sets(docs, visits.unionByName(hosts), width).select(
-            "id", "group", "visits", F.explode("at").alias("block"), "shingles")
+        own = apart.join(members.select("id", "n").hint("merge"), "id")
+        able = _visits(_prefixes(_with_sets(docs, own, width), percent), percent)
+        visits = written(visits.join(able.hint("merge"), ["id", "group", "block"], "left_semi"))
+        # A task holds a block and a slice of its visitors; the block's members are in each slice.
+        slices = written(visits.groupBy("group", "block").agg(F.ceil(F.count("*") / SLICE_VISITORS).alias("slices")))
+        place = lambda slice: F.struct("block", slice.alias("slice"))
+        dealt = visits.join(slices.hint("merge"), ["group", "block"]).select(
+            "id", "group", place(F.pmod(F.xxhash64("id"), F.col("slices"))).alias("place"))
+        dealt = dealt.groupBy("id", "group").agg(F.collect_list("place").alias("at")).withColumn("visits", F.lit(True))
+        hosts = apart.join(slices.hint("merge"), ["group", "block"]).select(
+            "id", "group", F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), place).alias("at"),
+            F.lit(False).alias("visits"))
+        met = _with_sets(docs, dealt.unionByName(hosts), width).select(
+            "id", "group", "visits", F.explode("at").alias("place"), "shingles").select(
+            "id", "group", "visits", "place.block", "place.slice", "shingles")
         links = links.unionAll(written(_across_blocks(met, percent)))
         parts = components(links)
 

@@ -381,6 +381,49 @@ def test_groups(spark, width, members, monkeypatch):
     assert got == want
 
 
+def test_visitors_of_a_block_are_bounded(spark, monkeypatch):
+    # Texts on one template: bands are shared, few are linked.
+    monkeypatch.setattr(near, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(near, "SLICE_VISITORS", 8, raising=False)
+    monkeypatch.setattr(near, "LEADERS", 1)
+    rng = random.Random(3)
+    template, rows = [f"t{i}" for i in range(60)], []
+    for i in range(160):
+        text = list(template)
+        for at in rng.sample(range(60), 6):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+        if i % 20 == 0:
+            rows.append((1_000 + i, " ".join([*text, "more"])))
+    most, across = [], near._across_blocks
+
+    def counted(met, percent):
+        keys = [c for c in ("group", "block", "slice") if c in met.columns]
+        most.append(met.where("visits").groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first())
+        return across(met, percent)
+
+    monkeypatch.setattr(near, "_across_blocks", counted)
+    found = near.near_duplicates(docs(spark, rows), 2)
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == groups_by_hand(rows, 2)
+    print(most)
+    # Slices are drawn by hash: their sizes scatter around the bound.
+    assert most and (most[0][0] or 0) <= 3 * 8
+
+
+def test_prefixes_keep_every_link(spark):
+    rng = random.Random(12)
+    sets = []
+    for i in range(60):
+        base = rng.sample(range(40), 25) if i % 3 == 0 else sets[-1]
+        sets.append(sorted({*rng.sample(base, len(base) - rng.randint(0, 2)), *(rng.randrange(60) for _ in range(rng.randint(0, 2)))}))
+    rows = [(i, 0, i, i, True, len(s), bytearray(np.array(s, np.int64).tobytes())) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "id long, group long, block long, part long, outside boolean, n long, shingles binary")
+    visits = {(r.id, r.block) for r in near._visits(near._prefixes(table, 80), 80).collect()}
+    linked = {(a, b) for a in range(60) for b in range(60) if a != b
+              and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert len(linked) > 20 and linked <= visits and len(visits) < 60 * 59
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3_000).astype(np.uint64)
