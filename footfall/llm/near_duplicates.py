@@ -3,8 +3,9 @@
 Signatures: each shingle visits the slots of a signature in an order of its own, one slot a
 level, and offers ``level + chance`` there; a slot keeps the least offer. As a shingle's places
 are a permutation, slots are spread evenly over shingles, which lowers the variance; a text is
-done as soon as its slots are all below the level reached. The permutations here are affine
-(``a * level + b`` over a power of two, ``a`` odd), so no shuffled arrays are kept.
+done as soon as its slots are all below the level reached. A shingle's permutation is a few
+rounds of steps that can be undone (an odd factor, a sum, high bits into low ones) with
+factors of the shingle's own, so no shuffled arrays are kept.
 
 Texts with one and the same set form a class, which only its least id represents from there
 on. Representatives that share a band of slots are hung below the least of the bucket, which
@@ -30,6 +31,7 @@ from footfall.llm.common import WordHashes, batches, by_id, cells, mixed, rolled
 from footfall.llm.components import components, star_components
 
 SLOTS, ROWS = 512, 8
+PLACE_ROUNDS = 4
 LEADERS = 8
 # A block has about so many members, and so many shingles, at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 1_000_000
@@ -46,6 +48,24 @@ def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarra
     return np.unique(rolled(hashes.of(words), width) + np.uint64(width))
 
 
+def place_keys(members: np.ndarray) -> np.ndarray:
+    """An odd factor and a sum for each round of each member's permutation."""
+    one = mixed(members + np.uint64(0x632BE59BD9B4E019))
+    two = mixed(members ^ np.uint64(0x2545F4914F6CDD1D))
+    cut = lambda x, k: (x >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.uint32)
+    return np.stack([f(cut(x, k)) for k in range(PLACE_ROUNDS) for f, x in ((lambda v: v | np.uint32(1), one), (lambda v: v, two))])
+
+
+def places(keys: np.ndarray, level: int, slots: int) -> np.ndarray:
+    """Each member's slot of a level; over all levels a permutation of the slots."""
+    half, low = np.uint32((slots.bit_length() - 1) // 2 or 1), np.uint32(slots - 1)
+    at = np.full(keys.shape[1], level, np.uint32)
+    for k in range(0, len(keys), 2):
+        at = at * keys[k] + keys[k + 1] & low
+        at ^= at >> half
+    return at.astype(np.int64)
+
+
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """One row of slots for each non-empty set; rows of empty sets stay at the largest value."""
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -53,21 +73,20 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     flat = out.reshape(-1)
     members = np.concatenate([*sets, np.empty(0, np.uint64)])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = mixed(members + np.uint64(0x632BE59BD9B4E019))
-    step, first = order & np.uint64(slots - 1) | np.uint64(1), (order >> np.uint64(32)) & np.uint64(slots - 1)
+    keys = place_keys(members)
     for level in range(slots):
         if not len(members):
             break
-        slot = (step * np.uint64(level) + first) & np.uint64(slots - 1)
+        slot = places(keys, level, slots)
         chance = mixed(members ^ np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(32)
-        np.minimum.at(flat, owner * slots + slot.astype(np.int64), chance | np.uint64(level << 32))
+        np.minimum.at(flat, owner * slots + slot, chance | np.uint64(level << 32))
         if level % 4 == 3 or len(members) > 4 * slots:
             # A text whose slots are all below the next level cannot change any more.
             open_texts = np.unique(owner)
             done = np.zeros(len(sets), bool)
             done[open_texts] = out[open_texts].max(axis=1) < np.uint64((level + 1) << 32)
             left = ~done[owner]
-            members, owner, step, first = members[left], owner[left], step[left], first[left]
+            members, owner, keys = members[left], owner[left], keys[:, left]
     return out
 
 
@@ -245,8 +264,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reach; it is kept. Rows of one id, and rows without: see
     :func:`footfall.llm.common.one_row_per_document`.
 
-    Candidates share one of 64 bands of 8 slots: two texts whose similarity is exactly 0.8 are
-    missed with a chance of 8 in a million, and more similar ones far more seldom.
+    Candidates share one of 64 bands of 8 slots: with independent slots two texts whose
+    similarity is exactly 0.8 would be missed with a chance of 8 in a million. In a simulation
+    60,000 pairs of 4 and 5 shingles, 20,000 of 8 and 10 and 10,000 of 24 and 30 had no miss.
+    There is no exact search for small sets besides.
     """
     docs = by_id(docs)
     small_batches(docs.sparkSession)

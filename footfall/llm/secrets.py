@@ -4,8 +4,9 @@ Candidate strings are runs of letters, digits and ``+/_=-``, cut into runs of on
 class: hexadecimal or base 64. A window of fixed width slides over each; the counts of its
 characters are carried along, one entering and one leaving at each step, and with them the
 sum of ``c * log2(c)`` that Shannon entropy needs. Windows over the class's threshold are joined
-to spans. The allow-list suppresses candidates that are known to be harmless: see
-``HARMLESS``. Spans that touch a base span are not given again.
+to spans. The allow-list suppresses what is known to be harmless: dates and stand-ins
+(``HARMLESS_PARTS``) by themselves, what is left of a candidate as a whole (``HARMLESS``). Of
+spans that touch a base span, what lies outside of it is given if it is as long as a window.
 """
 
 from __future__ import annotations
@@ -43,14 +44,19 @@ CLASSES = (
     Class("entropy_base64", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])"
           r"[A-Za-z0-9+/_=-]{20,}", f"{LOWER}{LOWER.upper()}0123456789+/_=-", 20, 3.7),
 )
-# UUIDs, dates and times, numbers, words joined by signs, runs of the alphabet,
-# stand-ins for secrets in instructions.
+# UUIDs, numbers, words joined by signs.
 HARMLESS = (
-    r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
-    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_+-]*|[0-9+/_=-]+"
-    r"|(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*"
-    r"|.*(?i:example|sample|placeholder|changeme|dummy|xxxx|abcdefgh|01234567|12345678).*)$"
+    r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9+/_=-]+"
+    r"|(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*)$"
 )
+# Dates and times; what stands between signs and holds a run of the alphabet or a
+# stand-in for secrets in instructions, with at most 32 characters on either side of it.
+HARMLESS_PARTS = (
+    r"(?<![A-Za-z0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2,6}(?:Z|[+-][0-9]{2,4})?)?"
+    r"|[A-Za-z0-9]{0,32}(?i:example|sample|placeholder|changeme|dummy|xxxx|abcdefgh|01234567|12345678)[A-Za-z0-9]{0,32})"
+    r"(?![A-Za-z0-9])"
+)
+SIGNS = r"^[+/_=-]+|[+/_=-]+$"
 
 
 # Entropies are compared as whole numbers of such parts of a bit, so that every engine agrees.
@@ -95,6 +101,43 @@ def _matches(text: Column, pattern: str, kind: str, ok=None) -> Column:
     return _bound(found, lambda f: F.when(F.size(f) == 0, none).otherwise(placed(f)))
 
 
+def _suspect(of: Class, candidate: Column) -> Column:
+    """What a candidate ``(start, text)`` holds beside harmless parts, as far as it is a candidate
+    and not harmless itself."""
+    text = candidate["text"]
+
+    def left(found: Column) -> Column:
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("gaps"))
+        steps = F.arrays_zip(F.split(text, HARMLESS_PARTS, -1).alias("gap"), found.alias("part"))
+
+        def step(held: Column, s: Column) -> Column:
+            gap = F.struct((candidate["start"] + held["at"]).alias("start"), s["gap"].alias("text"))
+            after = held["at"] + F.length(s["gap"]) + F.coalesce(F.length(s["part"]), F.lit(0))
+            return F.struct(after.alias("at"), F.concat(held["gaps"], F.array(gap)).alias("gaps"))
+
+        return F.aggregate(steps, state, step, lambda held: held["gaps"])
+
+    gaps = _bound(F.regexp_extract_all(text, F.lit(HARMLESS_PARTS), F.lit(0)), left)
+    # Signs beside a part that was cut out belong to neither.
+    bare = lambda g: F.when(g["text"] == text, text).otherwise(F.regexp_replace(g["text"], SIGNS, ""))
+    return F.filter(gaps, lambda g: g["text"].rlike(of.pattern) & ~bare(g).rlike(HARMLESS))
+
+
+def _outside(span: Column, base: Column, width: int) -> Column:
+    """The parts of a span between the base spans, sorted by start, of ``width`` or more."""
+    state = F.struct(span["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("parts"))
+
+    def until(held: Column, end: Column) -> Column:
+        part = F.struct(held["at"].alias("start"), end.alias("end"))
+        return F.when(end - held["at"] >= width, F.concat(held["parts"], F.array(part))).otherwise(held["parts"])
+
+    def step(held: Column, b: Column) -> Column:
+        return F.struct(F.greatest(held["at"], b["end"]).alias("at"), until(held, b["start"]).alias("parts"))
+
+    near = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.aggregate(near, state, step, lambda held: until(held, span["end"]))
+
+
 def _random_spans(of: Class, candidate: Column) -> Column:
     """Spans of a candidate's windows that reach the entropy threshold, joined where they meet.
 
@@ -172,14 +215,17 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     )
 
     def added(of: Class) -> Column:
+        sorted_base = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+
         def spans(c: Column) -> Column:
             return F.transform(_random_spans(of, c["text"]), lambda s: F.struct(
-                F.lit(of.kind).alias("kind"), (c["start"] + s["start"]).alias("start"),
-                (c["start"] + s["end"]).alias("end"), F.lit("").alias("text")))
+                (c["start"] + s["start"]).alias("start"), (c["start"] + s["end"]).alias("end")))
 
-        suspect = F.filter(F.col(of.kind), lambda c: ~c["text"].rlike(HARMLESS))
-        fresh = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.filter(F.flatten(F.transform(suspect, spans)), fresh)
+        suspect = F.flatten(F.transform(F.col(of.kind), lambda c: _suspect(of, c)))
+        found = F.flatten(F.transform(suspect, spans))
+        fresh = _bound(sorted_base, lambda base: F.flatten(F.transform(found, lambda s: _outside(s, base, of.width))))
+        return F.transform(fresh, lambda s: F.struct(
+            F.lit(of.kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("text")))
 
     def listed(spans: Column) -> Column:
         rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])

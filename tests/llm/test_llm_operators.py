@@ -435,6 +435,16 @@ def test_signatures_estimate_similarity():
         assert abs((one == two).mean() - true) < 4 * math.sqrt(true * (1 - true) / near.SLOTS)
 
 
+def test_small_sets_share_a_band():
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(8_000):
+        x = rng.integers(0, 1 << 63, 5).astype(np.uint64)
+        sets += [x[:4], x]
+    bands = np.concatenate([near.band_hashes(near.signatures(sets[i : i + 2_000])) for i in range(0, len(sets), 2_000)])
+    assert (bands[0::2] == bands[1::2]).any(axis=1).all()
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1_000 + i, 1_001 + i) for i in range(60)]
