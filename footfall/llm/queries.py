@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import toxicity
+from footfall.llm.centroids import cluster
 from footfall.llm.common import table
+from footfall.llm.conversation_trie import prefix_trie
 from footfall.llm.decontamination import contaminated
 from footfall.llm.line_dedup import remove_repeated_chunks
 from footfall.llm.near_duplicates import near_duplicates
@@ -130,6 +132,14 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster(table(spark, folder, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
@@ -141,4 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -121,10 +121,84 @@ select a as doc_id, any_value(len(s.s))::bigint as n_shingles, min(b) as compone
 from reached join sets s on s.doc_id = a group by a
 """
 
+_NEAREST = """
+d{n} as (
+  select v.vec_id, v.copy, v.p, c.c,
+    list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as distance
+  from v, c{n} c),
+a{n} as (select * from d{n} qualify row_number() over (partition by vec_id, copy order by distance, c) = 1),"""
+
+_MOVED = """
+m{n} as (
+  select c, i, floor(sum(x) / count(*))::bigint as x from (
+    select c, unnest(p)::hugeint as x, generate_subscripts(p, 1) as i from a{n}) group by c, i),
+c{next} as (
+  select o.c, coalesce(w.p, o.p) as p from c{n} o
+  left join (select c, list(x order by i) as p from m{n} group by c) w on w.c = o.c),"""
+
+CENTROIDS = (
+    """
+with v as materialized (
+  select vec_id, row_number() over (partition by vec_id order by embedding) as copy,
+    list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as p
+  from embeddings
+  where vec_id is not null and len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (
+  select row_number() over (order by sha256('1:' || vec_id::varchar), copy) - 1 as c, p
+  from v qualify row_number() over (order by sha256('1:' || vec_id::varchar), copy) <= 16),"""
+    + "".join(_NEAREST.format(n=n) + _MOVED.format(n=n, next=n + 1) for n in range(3))
+    + _NEAREST.format(n=3)
+    + """
+named as (select c, sha256(array_to_string(p, ',')) as centroid_sha256 from c3)
+select a.vec_id, a.c::int as cluster, a.distance,
+  (sum(a.distance) over (partition by a.c))::bigint as cluster_inertia,
+  (sum(a.distance) over ())::bigint as inertia, n.centroid_sha256
+from a3 a join named n on n.c = a.c
+"""
+)
+
+# The CRC-32 of a text of ASCII characters, a bit at a time.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+      lambda c, z: xor(c >> 1, (c & 1) * 3988292384::bigint + z))), 4294967295::bigint)"""
+
+CONVERSATION_TRIE = f"""
+with whole as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+  from conversations where conv_id is not null group by conv_id),
+cut as (select *, {CRC32.format("conv_id::varchar")} % 9 as h from whole),
+rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.turns, [])[1 : c.h], c.turns[c.h + 1 :]) as turns
+  from cut c left join whole b on b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes as (
+  select conv_id, d as depth, turns[1 : d] as path, turns[1 : d - 1] as parent, d = len(turns) as ends
+  from (select *, unnest(range(len(turns) + 1)) as d from rebuilt)),
+nodes as (
+  select depth, path, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ends
+  from prefixes group by depth, path),
+child as (select parent as path, count(*) as n from nodes where depth > 0 group by parent),
+weighed as (
+  select n.*, coalesce(c.n, 0) as n_children,
+    case when depth = 0 then 0 else (n_convs - 1) * strlen(n.path[-1].text) end as saved
+  from nodes n left join child c on c.path = n.path),
+below as (
+  select a.path, sum(b.saved) as saved, count(*) filter (b.n_children = 0) as leaves
+  from weighed a join weighed b on b.depth >= a.depth and b.path[1 : a.depth] = a.path group by a.path)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, b.leaves as n_leaves,
+  b.saved::bigint as saved_tokens, sha256(n.ends) as ends_sha256
+from weighed n join below b on b.path = n.path
+left join weighed p on n.depth > 0 and p.path = n.parent
+"""
+
 SQL = {
     "op2_decontamination": DECONTAMINATION,
     "op3_url_filters": URL_FILTERS,
     "op6_substring_dedup": SUBSTRING_DEDUP,
     "op8_near_duplicates": NEAR_DUPLICATES,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_centroid_clustering": CENTROIDS,
+    "op13_prefix_trie": CONVERSATION_TRIE,
 }
