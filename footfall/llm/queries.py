@@ -13,6 +13,7 @@ from footfall.llm.centroids import cluster
 from footfall.llm.common import table
 from footfall.llm.conversation_trie import prefix_trie
 from footfall.llm.decontamination import contaminated
+from footfall.llm.html_text import extract_text
 from footfall.llm.line_dedup import remove_repeated_chunks
 from footfall.llm.near_duplicates import near_duplicates
 from footfall.llm.packing import pack
@@ -136,6 +137,10 @@ def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     return cluster(table(spark, folder, "embeddings"))
 
 
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(table(spark, folder, "conversations"))
 
@@ -152,5 +157,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_html_text": op12_html_text,
     "op13_prefix_trie": op13_prefix_trie,
 }
