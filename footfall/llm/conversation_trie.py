@@ -94,22 +94,26 @@ def _hashed_lists(members: DataFrame, key: list[str]) -> DataFrame:
     kinds = ", ".join(f"{k} long" for k in key)
 
     def joined(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids = None, []
+        at, ids, done = None, [], []
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array([k], pa.int64()) for k in at), pa.array([ids[0]]), pa.array([",".join(map(str, ids))])],
-                [*key, "least", "ids"])
+        def out() -> pa.RecordBatch:
+            kinds = [pa.int64()] * (len(key) + 1) + [pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], [*key, "least", "ids"])
 
         for batch in rows:
             for *name, conv in zip(*(batch.column(c).to_pylist() for c in (*key, "conv_id"))):
                 if ids and (name != at or len(ids) == IDS_A_ROW):
-                    yield row()
+                    done.append((*at, ids[0], ",".join(map(str, ids))))
                     ids = []
+                    if len(done) == 200:
+                        yield out()
+                        done = []
                 at = name
                 ids.append(conv)
         if ids:
-            yield row()
+            done.append((*at, ids[0], ",".join(map(str, ids))))
+        if done:
+            yield out()
 
     def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, digest, done = None, None, []
