@@ -26,11 +26,14 @@ def identities(
     return linked(scope(events, organization_id, TimeRange.resolve(start, end, now)))
 
 
+def both_ids() -> Column:
+    return F.col("anonymous_id").isNotNull() & F.col("user_id").isNotNull()
+
+
 def linked(scoped: DataFrame) -> DataFrame:
-    both = F.col("anonymous_id").isNotNull() & F.col("user_id").isNotNull()
     # Reducing to pairs first takes a hash aggregation; choosing among the few pairs of
     # an anonymous id compares texts, for which Spark has to sort.
-    pairs = scoped.where(both).groupBy("anonymous_id", "user_id")
+    pairs = scoped.where(both_ids()).groupBy("anonymous_id", "user_id")
     first = F.min(F.struct("since", "user_id"))
     return (
         pairs.agg(F.min("occurred_at").alias("since"))

@@ -33,11 +33,16 @@ def time_series(
     ones = hits.select(
         bucket(unit, F.col("occurred_at")).alias("bucket"), F.lit(1).cast("long").alias("hit")
     )
-    zeros = buckets(events.sparkSession, unit, span).select(
+    return with_gaps(ones, span, unit)
+
+
+def with_gaps(hits: DataFrame, span: TimeRange, unit: str) -> DataFrame:
+    """The sum of ``hit`` for every bucket of the range, also for those without any."""
+    zeros = buckets(hits.sparkSession, unit, span).select(
         "bucket", F.lit(0).cast("long").alias("hit")
     )
     return (
-        ones.unionByName(zeros)
+        hits.unionByName(zeros)
         .groupBy("bucket")
         .agg(F.sum("hit").alias("count"))
         .orderBy("bucket")

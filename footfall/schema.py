@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The fact table. `event_date` and `generation` are its partition columns, `ingest_batch`
-# names the micro-batch that stored the row.
+# The fact table. `event_date` is its partition column, `ingest_batch` names the micro-batch
+# that stored the row.
 EVENT_FIELDS = [
     T.StructField("event_id", T.StringType(), False),
     T.StructField("organization_id", T.LongType(), False),
@@ -23,12 +23,30 @@ STORED_EVENTS = T.StructType(
     + [
         T.StructField("ingest_batch", T.StringType(), True),
         T.StructField("event_date", T.DateType(), False),
-        T.StructField("generation", T.LongType(), False),
     ]
 )
-# Dates that were rewritten, and the last generation of each that no longer counts.
-REWRITTEN = T.StructType(
-    [T.StructField("event_date", T.DateType(), False), T.StructField("dead", T.LongType(), False)]
+# No tenant has this number; a row with it stands in for a date without any other.
+NOBODY = -(1 << 63)
+
+# What one batch adds to a day: events of a type, and links of anonymous ids.
+DAILY = T.StructType(
+    [
+        T.StructField("organization_id", T.LongType(), False),
+        T.StructField("event_type", T.StringType(), False),
+        T.StructField("ingest_batch", T.StringType(), True),
+        T.StructField("count", T.LongType(), False),
+        T.StructField("last_at", T.TimestampType(), False),
+        T.StructField("event_date", T.DateType(), False),
+    ]
+)
+LINKS = T.StructType(
+    [
+        T.StructField("organization_id", T.LongType(), False),
+        T.StructField("anonymous_id", T.StringType(), True),
+        T.StructField("since", T.TimestampType(), False),
+        T.StructField("user_id", T.StringType(), True),
+        T.StructField("event_date", T.DateType(), False),
+    ]
 )
 
 ORGANIZATIONS = T.StructType(
@@ -67,3 +85,26 @@ AUDIT = T.StructType(
         T.StructField("deduplicated", T.LongType(), False),
     ]
 )
+BATCH_AUDIT = T.StructType(AUDIT.fields + [T.StructField("ingest_batch", T.StringType(), False)])
+
+# A message on its way from the stream that reads it to the stream that stores it (`kind` is
+# `event`, or `rejected` with its text), the counts of a batch of them (`counts`), or an id that
+# is stored already (`known`).
+ARRIVALS = T.StructType(
+    [T.StructField(field.name, field.dataType) for field in EVENT_FIELDS if field.name not in ("received_at", "actor_id")]
+    + [
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("value", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("arrived_in", T.StringType()),
+        T.StructField("received", T.LongType()),
+        T.StructField("invalid", T.LongType()),
+        T.StructField("rejected", T.LongType()),
+        T.StructField("valid", T.LongType()),
+    ]
+)

@@ -16,6 +16,7 @@ from footfall.session import check_session
 # A reader prunes row groups by tenant and time, so a file should hold long runs of
 # one tenant; a file that outgrows this is cut.
 ROWS_PER_FILE = 20_000_000
+ORDER = ["event_date", "organization_id", "occurred_at"]
 
 
 def scope(
@@ -54,33 +55,37 @@ def with_event_date(events: DataFrame) -> DataFrame:
     return events.withColumn("event_date", F.to_date("occurred_at"))
 
 
-def append_events(
-    events: DataFrame,
-    path: str,
-    ingest_batch: str | None = None,
-    generation: int = 0,
-    by_range: bool = False,
-) -> None:
+def append_events(events: DataFrame, path: str, ingest_batch: str | None = None) -> None:
     """Add rows to the table.
 
     The rebalance gathers the rows of a date, and adaptive execution cuts a date that
     is much larger than the rest into several writers, so that a busy day does not
-    wait for one task. ``by_range`` deals rows out by date, tenant and time instead: files
-    then hold few tenants each, at the price of a pass that looks where to cut.
+    wait for one task.
     """
-    rows = with_event_date(events).withColumn("generation", F.lit(generation).cast("long"))
+    rows = with_event_date(events)
     if ingest_batch is not None:
         rows = rows.withColumn("ingest_batch", F.lit(ingest_batch))
     elif "ingest_batch" not in rows.columns:
         rows = rows.withColumn("ingest_batch", F.lit(None).cast("string"))
-    order = ["event_date", "organization_id", "occurred_at"]
-    rows = rows.select(STORED_EVENTS.names)
-    dealt = rows.repartitionByRange(*order) if by_range else rows.hint("rebalance", "event_date")
+    _write(rows.select(STORED_EVENTS.names).hint("rebalance", "event_date"), path, "append")
+
+
+def write_dates(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in place of all that the table has of their dates.
+
+    Rows are dealt out by date, tenant and time, so that files hold few tenants each, at the
+    price of a pass that looks where to cut.
+    """
+    _write(rows.select(STORED_EVENTS.names).repartitionByRange(*ORDER), path, "overwrite")
+
+
+def _write(dealt: DataFrame, path: str, mode: str) -> None:
     (
-        dealt.sortWithinPartitions(*order)
-        .write.mode("append")
+        dealt.sortWithinPartitions(*ORDER)
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
-        .partitionBy("event_date", "generation")
+        .partitionBy("event_date")
         .parquet(path)
     )
 
@@ -94,5 +99,3 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], STORED_EVENTS)
-
-

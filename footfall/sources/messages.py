@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from footfall.streaming.watch import lag_of
+
 # What the Kafka source delivers, with key and value as text.
 MESSAGES = (
     "key string, value string, topic string, partition int, offset long, timestamp timestamp"
@@ -70,10 +72,4 @@ def write_files(messages: DataFrame, folder: str) -> None:
 def backlog(query: StreamingQuery) -> int | None:
     """How many messages the slowest topic partition is behind, if the source tells."""
     progress = query.lastProgress
-    lags = [
-        source["metrics"].get("maxOffsetsBehindLatest")
-        for source in (progress["sources"] if progress else [])
-        if source.get("metrics")
-    ]
-    known = [int(lag) for lag in lags if lag is not None]
-    return max(known) if known else None
+    return lag_of(source["metrics"] for source in progress["sources"]) if progress else None

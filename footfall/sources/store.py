@@ -1,28 +1,47 @@
-"""One folder with everything the ingest keeps."""
+"""One folder with everything the ingest keeps, each part a plain Parquet table."""
 
 from __future__ import annotations
 
-import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from footfall.operators.ingest import POSITION
 from footfall.operators.maintenance import without
-from footfall.plans.skew import fits_broadcast
-from footfall.schema import AUDIT, REWRITTEN
-from footfall.sources.events import append_events, read_events
+from footfall.operators.partials import daily_counts, daily_links
+from footfall.schema import AUDIT, BATCH_AUDIT, DAILY, LINKS, NOBODY, STORED_EVENTS
+from footfall.sources.events import append_events, read_events, write_dates
+
+
+def read_table(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFrame:
+    """A Parquet table; one that was never written to is empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def at_once(*jobs) -> list:
+    """What the jobs give; they are small and wait for storage, so they run side by side."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [result.result() for result in [pool.submit(job) for job in jobs]]
 
 
 @dataclass(frozen=True)
 class Store:
-    """Events, dead letters and the audit, each a Parquet table below ``root``.
+    """Events, what is added up from them by day, dead letters and the audit, below ``root``.
 
-    The event table has one writer at a time: one ingest stream, or one rewrite while
-    the stream is stopped. A rewrite adds the rows that stay as a new generation and then
-    one version of the list of rewritten dates; a reader sees the generations up to the
-    version it finds, hence the old rows or the new ones and never a mixture. No file is
-    renamed.
+    The tables have one writer at a time: one ingest stream, or one rewrite while the stream
+    is stopped. A rewrite is Spark's dynamic overwrite of the dates it touches, from a table
+    that holds what those dates will be. While that has begun and is not finished, readers take
+    these dates from that table, so they see the rows after the rewrite and never a part of
+    them; the next writer finishes it.
     """
 
     root: str
@@ -31,6 +50,22 @@ class Store:
     def events(self) -> str:
         return f"{self.root}/events"
 
+    @property
+    def daily(self) -> str:
+        return f"{self.root}/daily"
+
+    @property
+    def links(self) -> str:
+        return f"{self.root}/links"
+
+    @property
+    def arrivals(self) -> str:
+        return f"{self.root}/arrivals"
+
+    @property
+    def known(self) -> str:
+        return f"{self.root}/known"
+
     @property
     def dead_letters(self) -> str:
         return f"{self.root}/dead_letters"
@@ -40,41 +75,64 @@ class Store:
         return f"{self.root}/audit"
 
     @property
-    def rewrites(self) -> str:
-        return f"{self.root}/rewrites"
+    def rewrite(self) -> str:
+        return f"{self.root}/rewrite"
+
+    def pending(self, spark: SparkSession) -> DataFrame | None:
+        """What a rewrite that has begun and not ended puts in place of the dates in it."""
+        state = read_table(spark, "pending boolean", f"{self.rewrite}/state").first()
+        return spark.read.schema(STORED_EVENTS).parquet(f"{self.rewrite}/rows") if state and state.pending else None
+
+    def _current(self, spark: SparkSession, stored: DataFrame, instead) -> DataFrame:
+        pending = self.pending(spark)
+        if pending is not None:
+            dates = pending.select("event_date").distinct()
+            stored = stored.join(dates, "event_date", "left_anti").unionByName(instead(pending))
+        # Stands in for the rows of a date that has none left.
+        return stored.where(F.col("organization_id") != NOBODY)
 
-    def version(self, spark: SparkSession) -> int:
-        """The number of the last completed rewrite."""
-        done = _Files(spark).found(f"{self.rewrites}/version=*/_SUCCESS")
-        return max((int(re.search(r"version=(\d+)/_SUCCESS$", path)[1]) for path in done), default=0)
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._current(spark, read_events(spark, self.events), lambda rows: rows)
 
-    def rewritten(self, spark: SparkSession, version: int) -> DataFrame:
-        if not version:
-            return spark.createDataFrame([], REWRITTEN)
-        return spark.read.schema(REWRITTEN).parquet(f"{self.rewrites}/version={version}")
+    def read_daily(self, spark: SparkSession) -> DataFrame:
+        """Counts and last times by tenant, type and day, as batches added them."""
+        return self._current(spark, read_table(spark, DAILY, self.daily), daily_counts)
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        version = self.version(spark)
-        events = read_events(spark, self.events)
-        if not version:
-            return events.where("generation = 0")
-        dates = self.rewritten(spark, version)
-        if fits_broadcast(dates):
-            dates = F.broadcast(dates)
-        live = F.col("generation") > F.coalesce("dead", F.lit(-1))
-        return (
-            events.where(F.col("generation") <= version)
-            .join(dates, "event_date", "left")
-            .where(live)
-            .select(events.columns)
+    def read_links(self, spark: SparkSession) -> DataFrame:
+        """Earliest links of anonymous ids by tenant and day, as batches added them."""
+        return self._current(spark, read_table(spark, LINKS, self.links), daily_links)
+
+    def read_audit(self, spark: SparkSession) -> DataFrame:
+        """One row for each batch, however often it ran."""
+        rows = read_table(spark, BATCH_AUDIT, self.audit)
+        return rows.groupBy("ingest_batch").agg(*(F.max(name).alias(name) for name in AUDIT.names)).select(AUDIT.names)
+
+    def read_dead_letters(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.dead_letters).dropDuplicates(["ingest_batch", "topic", *POSITION])
+
+    def append(self, events: DataFrame, ingest_batch: str, of_batch: DataFrame | None = None) -> None:
+        """Add a batch's rows, and what they add to the days they belong to.
+
+        ``of_batch`` are all rows of the batch where part of them is stored already.
+        """
+        finish_rewrite(events.sparkSession, self)
+        whole = events if of_batch is None else of_batch
+        at_once(
+            lambda: append_events(events, self.events, ingest_batch),
+            lambda: _by_date(daily_counts(whole.withColumn("ingest_batch", F.lit(ingest_batch))), self.daily),
+            lambda: _by_date(daily_links(whole), self.links),
         )
 
-    def append(self, events: DataFrame, ingest_batch: str) -> None:
-        spark = events.sparkSession
-        append_events(events, self.events, ingest_batch, self.version(spark))
+    def add_audit(self, counts: DataFrame, ingest_batch: str) -> None:
+        """A row for the batch; its numbers are the same if it runs again."""
+        row = counts.withColumn("ingest_batch", F.lit(ingest_batch)).select(BATCH_AUDIT.names)
+        row.coalesce(1).write.mode("append").parquet(self.audit)
 
-    def read_audit(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(AUDIT).parquet(self.audit)
+    def add_dead_letters(self, letters: DataFrame, ingest_batch: str) -> None:
+        """Folders grow with days; a batch that runs again adds what readers count once."""
+        days = F.coalesce(F.to_date("timestamp"), F.current_date())
+        rows = letters.withColumns({"ingest_batch": F.lit(ingest_batch), "day": days})
+        rows.write.mode("append").partitionBy("day").parquet(self.dead_letters)
 
 
 @dataclass(frozen=True)
@@ -99,77 +157,77 @@ def replace_batch(rows: DataFrame, folder: str, batch: str) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/ingest_batch={batch}")
 
 
+def _by_date(rows: DataFrame, path: str, mode: str = "append") -> None:
+    writer = rows.coalesce(1) if mode == "append" else rows.hint("rebalance", "event_date")
+    writer.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+
+
 def delete_events(spark: SparkSession, store: Store, doomed: Column) -> int:
     """Delete the rows for which ``doomed`` holds; returns the number of dates rewritten.
 
-    Only dates that hold such rows are rewritten. An interrupted deletion has no effect and
-    may be called again.
+    Only dates that hold such rows are rewritten. A deletion that was interrupted has either
+    had no effect yet or is finished by whoever writes next; it may be called again.
     """
+    finish_rewrite(spark, store)
     touched = store.read(spark).where(doomed).select("event_date").distinct()
     return _rewrite(spark, store, touched, doomed)
 
 
 def compact_events(spark: SparkSession, store: Store, dates: Column) -> int:
-    """Put the many files that micro-batches left in some dates into few sorted ones.
+    """Put the many files that micro-batches left in some dates into few sorted ones, and what
+    they added to those days into one row for each key.
 
     ``dates`` is a condition on ``event_date``.
     """
+    finish_rewrite(spark, store)
     touched = store.read(spark).where(dates).select("event_date").distinct()
     return _rewrite(spark, store, touched, F.lit(False))
 
 
 def _rewrite(spark: SparkSession, store: Store, dates: DataFrame, doomed: Column) -> int:
-    """What remains of the dates becomes a generation of its own; then the dates are listed
-    as rewritten, which is one write and makes the new rows count and the old ones not."""
-    old = store.version(spark)
-    new = old + 1
-    files = _Files(spark)
-    # What an interrupted rewrite has left counts nowhere.
-    files.delete(f"{store.rewrites}/version={new}")
-    for path in files.found(f"{store.events}/event_date=*/generation={new}"):
-        files.delete(path)
-    dates.withColumn("dead", F.lit(old).cast("long")).write.mode("overwrite").parquet(f"{store.rewrites}/_dates")
-    listed = spark.read.schema(REWRITTEN).parquet(f"{store.rewrites}/_dates")
+    """What the dates will hold is written beside the table first; from the moment that this is
+    marked as begun it counts, and putting it in place may be repeated until it is done."""
+    dates.write.mode("overwrite").parquet(f"{store.rewrite}/dates")
+    listed = spark.read.schema("event_date date").parquet(f"{store.rewrite}/dates")
     number = listed.count()
     if number:
-        stay = store.read(spark).join(listed.select("event_date"), "event_date", "left_semi")
-        append_events(without(stay, doomed), store.events, generation=new, by_range=True)
-        others = store.rewritten(spark, old).join(listed, "event_date", "left_anti")
-        others.unionByName(listed).coalesce(1).write.parquet(f"{store.rewrites}/version={new}")
-        remove_dead(spark, store)
+        stay = store.read(spark).join(listed, "event_date", "left_semi")
+        # One row for each date, so that a date without any other is overwritten, too.
+        midnight = F.col("event_date").cast("timestamp")
+        stand_ins = {"event_id": F.lit(""), "organization_id": F.lit(NOBODY), "event_type": F.lit(""), "occurred_at": midnight,
+                     "received_at": midnight, "metadata": F.lit("{}")}
+        empty = listed.withColumns(stand_ins | {
+            name: F.lit(None).cast("string") for name in ("user_id", "anonymous_id", "actor_id", "ingest_batch")})
+        rows = without(stay, doomed).select(STORED_EVENTS.names).unionByName(empty.select(STORED_EVENTS.names))
+        rows.write.mode("overwrite").parquet(f"{store.rewrite}/rows")
+        _mark(spark, store, True)
+        finish_rewrite(spark, store)
     return number
 
 
-def remove_dead(spark: SparkSession, store: Store) -> None:
-    """Delete the files of generations that no longer count; may be repeated at any time.
+def _mark(spark: SparkSession, store: Store, pending: bool) -> None:
+    """An overwrite that stops half-way leaves no mark, which is right both before the first
+    date is touched and after the last."""
+    spark.createDataFrame([(pending,)], "pending boolean").coalesce(1).write.mode("overwrite").parquet(f"{store.rewrite}/state")
 
-    A query that began before the rewrite and is still reading them fails and is asked again.
-    """
-    files, version = _Files(spark), store.version(spark)
-    # As text, which has every year; a line for each date that was ever rewritten.
-    dead = store.rewritten(spark, version).selectExpr("cast(event_date as string) as day", "dead")
-    upto = {row.day: row.dead for row in dead.collect()}
-    for path in files.found(f"{store.events}/event_date=*/generation=*"):
-        day, generation = re.search(r"event_date=([^/]+)/generation=(\d+)$", path).groups()
-        if int(generation) <= upto.get(day, -1):
-            files.delete(path)
-
-
-class _Files:
-    """The few file operations Spark's writers do not offer, on any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession):
-        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def _on(self, path: str):
-        there = self.path(path)
-        return there.getFileSystem(self.conf), there
-
-    def found(self, pattern: str) -> list[str]:
-        system, there = self._on(pattern)
-        return [str(status.getPath().toString()) for status in system.globStatus(there) or []]
-
-    def delete(self, path: str) -> None:
-        system, there = self._on(path)
-        system.delete(there, True)
+
+def finish_rewrite(spark: SparkSession, store: Store) -> None:
+    """Put in place what a rewrite has prepared, if there is such; may be repeated."""
+    rows = store.pending(spark)
+    if rows is None:
+        return
+    write_dates(rows, store.events)
+    # As one batch, so that days whose batches were added up are not added twice.
+    _by_date(daily_counts(rows.withColumn("ingest_batch", F.lit("rewritten"))), store.daily, "overwrite")
+    _by_date(daily_links(rows), store.links, "overwrite")
+    _mark(spark, store, False)
+
+
+def fold_dead_letters(spark: SparkSession, store: Store, days: Column) -> None:
+    """Put the files of closed days into few. ``days`` is a condition on ``day``; a day must
+    not get any more letters, or wait for the next fold, while it is folded."""
+    rows = spark.read.parquet(store.dead_letters).where(days).dropDuplicates(["ingest_batch", "topic", *POSITION])
+    folder = f"{store.rewrite}/dead_letters"
+    rows.write.mode("overwrite").parquet(folder)
+    spark.read.schema(rows.schema).parquet(folder).hint("rebalance", "day").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(store.dead_letters)

@@ -1,18 +1,21 @@
-"""Two streams: requests become messages, messages become rows.
+"""Streams: requests become messages, messages become arrivals, and arrivals rows.
 
-Neither has a watermark. Events may be backdated as far as their sender likes, and an
-id is recognised again however old it is.
+None has a watermark. Events may be backdated as far as their sender likes, and an id is
+recognised again however old it is.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.operators.ingest import (
+    KEY,
     POSITION,
     as_stored,
     attribute,
@@ -27,10 +30,22 @@ from footfall.operators.ingest import (
     with_defaults,
     with_known_tenant,
 )
-from footfall.plans.skew import BROADCAST_ROWS
-from footfall.schema import REQUEST
+from footfall.plans.skew import BROADCAST_ROWS, fits_broadcast
+from footfall.schema import ARRIVALS, AUDIT, EVENTS, REQUEST
 from footfall.session import check_session, checkpoint_location
-from footfall.sources.store import Outbox, Store, replace_batch
+from footfall.sources.store import Outbox, Store, finish_rewrite, replace_batch
+from footfall.streaming.retry import BackOff, store_each
+
+LETTER = ["topic", *POSITION, "key", "value", "timestamp", "reason"]
+
+# Ids are kept in RocksDB and changes to them in a log, so a batch does not copy what is kept.
+# The check of operators knows no sort inside a partition, which is what puts first things first.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.unsupportedOperationCheck": "false",
+}
 
 
 def accept(requests: DataFrame, organizations: DataFrame) -> DataFrame:
@@ -72,8 +87,8 @@ def publish(
             counts = judged.agg(
                 F.count(F.lit(1)).alias("received"), F.count_if(accepted).alias("published")
             )
-            replace_batch(refused, outbox.refusals, _batch_name(name, batch_id))
-            replace_batch(counts, outbox.audit, _batch_name(name, batch_id))
+            replace_batch(refused, outbox.refusals, f"{name}-{batch_id:012d}")
+            replace_batch(counts, outbox.audit, f"{name}-{batch_id:012d}")
         finally:
             judged.unpersist()
 
@@ -87,43 +102,235 @@ def consume(
     store: Store,
     name: str = "events",
     checkpoints: str | None = None,
+    back_off: BackOff | None = None,
     **trigger: object,
-) -> StreamingQuery:
+) -> Ingest:
     """Store messages, each id once per tenant, and account for every one of them.
 
-    ``organizations`` is called for each batch, so that new tenants are seen. A stream
-    that starts over without its checkpoint needs a new ``name``.
+    Two streams: :func:`admit` judges messages and passes the valid ones on as arrivals,
+    :func:`remember` stores those whose id is new. ``organizations`` is called for each batch, so
+    that new tenants are seen.
     """
+    spark = messages.sparkSession
+    check_session(spark)
+    prepare(spark, store, name, checkpoints)
+    first = admit(messages, organizations, store, name, checkpoints, back_off, **trigger)
+    return Ingest(first, lambda: remember(spark, store, name, checkpoints, **trigger), "availableNow" in trigger)
+
+
+class Ingest:
+    """The two streams as one. With ``availableNow`` the second starts when the first is done."""
+
+    def __init__(self, admitting: StreamingQuery, start_storing: Callable[[], StreamingQuery], in_turn: bool):
+        self.admitting, self._start = admitting, start_storing
+        self.storing = None if in_turn else start_storing()
+
+    def awaitTermination(self) -> None:
+        """Until both have ended. One that fails stops the other: messages that are not stored
+        must not pile up unseen."""
+        try:
+            if self.storing is None:
+                self.admitting.awaitTermination()
+                self.storing = self._start()
+            while not (self.storing.awaitTermination(1) or self.admitting.exception()):
+                pass
+            self.admitting.awaitTermination()
+        finally:
+            self.stop()
+
+    def processAllAvailable(self) -> None:
+        self.admitting.processAllAvailable()
+        self.storing.processAllAvailable()
+
+    def stop(self) -> None:
+        for query in filter(None, (self.admitting, self.storing)):
+            query.stop()
+
+    @property
+    def lastProgress(self):
+        return self.admitting.lastProgress
+
+
+def admit(
+    messages: DataFrame,
+    organizations: Callable[[], DataFrame],
+    store: Store,
+    name: str = "events",
+    checkpoints: str | None = None,
+    back_off: BackOff | None = None,
+    **trigger: object,
+) -> StreamingQuery:
+    """Judge messages: valid ones become arrivals, rejected ones dead letters, all are counted.
+
+    A batch that keeps failing for its data is cut down to the records at fault, which go to the
+    dead letters; an outage fails the stream.
+    """
+    spark = messages.sparkSession
+    place = checkpoint_location(spark, f"{name}-admit", store.root, checkpoints)
+    wait = back_off or BackOff()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, organizations(), store, _batch_name(name, batch_id))
+        def reject(rows: DataFrame, part: str, why: str) -> None:
+            letters = rows.withColumn("reason", F.lit(f"cannot be stored: {why}"))
+            store.add_dead_letters(letters.select(LETTER), part.split(".")[0])
+            number = rows.count()
+            add_counts(spark, store, f"{part}.rejected", received=number, rejected=number)
+
+        step = lambda rows, part: admit_batch(rows, organizations(), store, part)
+        store_each(batch, _batch_name(spark, name, place, batch_id), step, reject, wait, ["topic", *POSITION])
+
+    return _start(messages, run, f"{name}-admit", place, trigger)
+
+
+def admit_batch(messages: DataFrame, organizations: DataFrame, store: Store, batch: str) -> None:
+    """Write the arrivals, dead letters and counts of one batch, which is read once.
+
+    It may run again: arrivals are told apart by their ids, letters by their position and
+    counts by the batch. The counts come last, so they are there only if all else is.
+    """
+    spark = messages.sparkSession
+    seen = Observation(f"admitted {batch}")
+    outcome = F.col("outcome")
+    # Counted by the tasks that write; no shuffle comes after this.
+    classified = classify(messages, organizations).observe(
+        seen,
+        F.count(F.lit(1)).alias("received"),
+        F.count_if(outcome == "invalid").alias("invalid"),
+        F.count_if(outcome == "rejected").alias("rejected"),
+        F.count_if(outcome == "valid").alias("valid"),
+    )
+    arrivals = classified.where(outcome != "invalid").withColumns(
+        {
+            "kind": F.when(outcome == "valid", "event").otherwise("rejected"),
+            "value": F.when(outcome == "rejected", F.col("value")),
+            "arrived_in": F.lit(batch),
+        }
+    )
+    _as_arrivals(arrivals).write.mode("append").parquet(f"{store.arrivals}/messages")
+    counts = seen.get
+    if counts.get("rejected"):
+        mine = (F.col("arrived_in") == batch) & (F.col("kind") == "rejected")
+        letters = spark.read.schema(ARRIVALS).parquet(f"{store.arrivals}/messages").where(mine)
+        store.add_dead_letters(letters.select(LETTER), batch.split(".")[0])
+    if counts.get("received"):
+        add_counts(spark, store, batch, **counts)
 
-    place = checkpoint_location(messages.sparkSession, name, store.root, checkpoints)
-    return _start(messages, run, name, place, trigger)
+
+def add_counts(spark: SparkSession, store: Store, batch: str, **counts: int) -> None:
+    """Send a batch's numbers after its arrivals; who stores those accounts for the batch."""
+    row = spark.createDataFrame([(batch, "counts", batch)], "event_id string, kind string, arrived_in string")
+    row = row.withColumns({name: F.lit(number).cast("long") for name, number in counts.items()})
+    _as_arrivals(row).coalesce(1).write.mode("append").parquet(f"{store.arrivals}/counts")
+
+
+def _as_arrivals(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        *(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ARRIVALS))
+
+
+def prepare(spark: SparkSession, store: Store, name: str, checkpoints: str | None = None) -> None:
+    """Before the streams run without a checkpoint, for the first time or because it was lost:
+    write down the ids that the table holds, which they take into their state. Ids come in files, and
+    the folders of arrivals must exist for a stream to read them."""
+    place = checkpoint_location(spark, f"{name}-remember", store.root, checkpoints)
+    if _checkpoint_id(spark, place) is None:
+        finish_rewrite(spark, store)
+        known = store.read(spark).select(*KEY, F.lit("known").alias("kind"))
+        _as_arrivals(known).write.mode("overwrite").parquet(f"{store.known}/{name}")
+    for folder in ("messages", "counts"):
+        _as_arrivals(spark.createDataFrame([], "kind string")).coalesce(1).write.mode("ignore").parquet(f"{store.arrivals}/{folder}")
+
+
+def remember(
+    spark: SparkSession,
+    store: Store,
+    name: str = "events",
+    checkpoints: str | None = None,
+    **trigger: object,
+) -> StreamingQuery:
+    """Store the arrivals whose id is new, first delivered first.
+
+    The ids seen are the state of the stream, so a batch costs what it holds and not what the
+    table holds. The table is read by the first batch of a run only, which may have been
+    interrupted before, and then in the dates of that batch. The number of shuffle partitions at
+    the very first run stays that of the state. Arrivals are deleted once they are stored.
+    """
+    place = checkpoint_location(spark, f"{name}-remember", store.root, checkpoints)
+
+    def stream(folder: str, clean: str) -> DataFrame:
+        options = {"ignoreMissingFiles": "true", "cleanSource": clean}
+        return spark.readStream.schema(ARRIVALS).options(**options).parquet(folder)
+
+    events = stream(f"{store.arrivals}/messages", "delete").where("kind = 'event'")
+    counts = stream(f"{store.arrivals}/counts", "delete").where("kind = 'counts'")
+    arrivals = events.unionAll(counts).unionAll(stream(f"{store.known}/{name}", "off"))
+    # Of one id, what is stored already comes before what is new, and then the first delivery.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [(F.col("kind") == "known").desc(), F.col("arrived_in"), *map(F.col, POSITION)]
+    once = arrivals.repartition(parts, *KEY).sortWithinPartitions(*order).dropDuplicates(KEY)
+    begun: list[int] = []
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        again = not begun
+        begun.append(batch_id)
+        batch.persist()
+        try:
+            store_arrivals(batch.where("kind <> 'known'"), store, _batch_name(spark, name, place, batch_id), again)
+        finally:
+            batch.unpersist()
+
+    return _start(once, run, f"{name}-remember", place, trigger, STATE_SETTINGS)
+
+
+def store_arrivals(new: DataFrame, store: Store, batch: str, again: bool) -> None:
+    """Store one batch of events with new ids. ``again``: it may have run before, whole or in
+    part, so what the table holds of it is looked up in the dates it touches."""
+    spark = new.sparkSession
+    numbers = ["received", "invalid", "rejected", "valid"]
+    # Reads every row of the batch, which is kept from here on.
+    sums = new.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in numbers), F.count_if(F.col("kind") == "event").alias("events")).first()
+    if not sums.received and not sums.events:
+        return
+    rows = as_stored(new.where("kind = 'event'")).select(EVENTS.names)
+    if again:
+        mine = of_batch(store, rows, batch).select(EVENTS.names)
+        store.append(rows.join(mine, KEY, "left_anti").select(EVENTS.names), batch, rows)
+    else:
+        store.append(rows, batch)
+    audit = spark.createDataFrame([(sums.received, sums.invalid, sums.rejected, sums.events, sums.valid - sums.events)], AUDIT)
+    store.add_audit(audit, batch)
+
+
+def of_batch(store: Store, rows: DataFrame, batch: str) -> DataFrame:
+    """What the table holds of a batch, in the dates of ``rows``. Dates stay in Spark, which has
+    more years than Python."""
+    dates = rows.select(F.to_date("occurred_at").alias("event_date")).distinct()
+    dates = F.broadcast(dates) if fits_broadcast(dates) else dates
+    return store.read(rows.sparkSession).where(F.col("ingest_batch") == batch).join(dates, "event_date", "left_semi")
 
 
 def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, batch: str) -> None:
-    """Store one micro-batch. Running it again, whole or after a crash half-way, leaves
-    the same rows, dead letters and audit."""
+    """Store one batch without a stream, as in a load: ids are looked up in the table.
+
+    Running it again, whole or after a crash half-way, leaves the same rows, dead letters and
+    audit. Its cost follows the table; a stream's does not, see :func:`consume`.
+    """
     spark = messages.sparkSession
+    finish_rewrite(spark, store)
     classified = classify(messages, organizations).persist()
     try:
         valid = classified.where(F.col("outcome") == "valid")
         small = valid.count() <= BROADCAST_ROWS
-        fresh = unseen(first_deliveries(valid), store.read(spark), keys=valid, small=small)
-        store.append(as_stored(fresh), batch)
+        fresh = as_stored(unseen(first_deliveries(valid), store.read(spark), keys=valid, small=small)).select(EVENTS.names)
+        before = of_batch(store, valid, batch).select(EVENTS.names)
+        store.append(fresh, batch, before.unionByName(fresh))
         rejected = classified.where(F.col("outcome") == "rejected")
-        replace_batch(
-            rejected.select("topic", *POSITION, "key", "value", "reason"), store.dead_letters, batch
-        )
+        if not rejected.isEmpty():
+            store.add_dead_letters(rejected.select(LETTER), batch)
         # Counted in the table and not while writing: after a crash the second run
-        # writes only what the first did not. Dates stay in Spark, which has more years
-        # than Python; a small batch's dates are sent along and prune the folders.
-        dates = valid.select(F.to_date("occurred_at").alias("event_date")).distinct()
-        mine = store.read(spark).where(F.col("ingest_batch") == batch).join(
-            F.broadcast(dates) if small else dates, "event_date", "left_semi"
-        )
-        replace_batch(audit_counts(classified, F.lit(mine.count())), store.audit, batch)
+        # writes only what the first did not.
+        counts = audit_counts(classified, F.lit(of_batch(store, valid, batch).count()))
+        store.add_audit(counts.where("received > 0"), batch)
     finally:
         classified.unpersist()
 
@@ -141,17 +348,36 @@ def classify(messages: DataFrame, organizations: DataFrame) -> DataFrame:
     ).drop("known_tenant")
 
 
-def _batch_name(name: str, batch_id: int) -> str:
-    return f"{name}-{batch_id:012d}"
+def _checkpoint_id(spark: SparkSession, place: str) -> str | None:
+    """What tells a checkpoint from one that was lost; None where there is none."""
+    try:
+        return json.loads(spark.read.text(f"{place}/metadata").first()[0])["id"][:8]
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _batch_name(spark: SparkSession, name: str, place: str, batch_id: int) -> str:
+    """Never the same for two batches, also where a checkpoint was lost and numbers begin anew."""
+    return f"{name}-{_checkpoint_id(spark, place)}-{batch_id:012d}"
 
 
-def _start(stream, run, name, checkpoints, trigger) -> StreamingQuery:
+def _start(stream, run, name, checkpoints, trigger, settings=None) -> StreamingQuery:
     spark = stream.sparkSession
     check_session(spark)
-    return (
-        stream.writeStream.queryName(name)
-        .foreachBatch(run)
-        .option("checkpointLocation", checkpoints)
-        .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .start()
-    )
+    # A query keeps the settings that hold when it starts.
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    for key, value in (settings or {}).items():
+        spark.conf.set(key, value)
+    try:
+        return (
+            stream.writeStream.queryName(name)
+            .foreachBatch(run)
+            .option("checkpointLocation", checkpoints)
+            .trigger(**(trigger or {"processingTime": "10 seconds"}))
+            .start()
+        )
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

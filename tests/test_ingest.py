@@ -134,7 +134,7 @@ def test_unknown_tenant_and_missing_fields_go_to_dead_letters(spark, organizatio
     store_batch(messages(spark, values), organizations, store, "b0")
     assert store.read(spark).count() == 2
     assert audit(spark, store) == (6, 0, 4, 2, 0)
-    letters = spark.read.parquet(store.dead_letters).orderBy("offset").collect()
+    letters = store.read_dead_letters(spark).orderBy("offset").collect()
     assert [(r.offset, r.reason) for r in letters] == [
         (1, "unknown organization"), (2, "no event_type"), (3, "no organization_id"), (4, "no event_id, occurred_at")]
     assert letters[0].value == values[1]
@@ -166,7 +166,7 @@ def test_a_batch_may_run_again(spark, organizations, store):
         store_batch(batch, organizations, store, "b0")
         assert store.read(spark).count() == 7
         assert audit(spark, store) == (22, 1, 1, 7, 13)
-        assert spark.read.parquet(store.dead_letters).count() == 1
+        assert store.read_dead_letters(spark).count() == 1
 
 
 def test_a_batch_resumes_after_a_crash_half_way(spark, organizations, store):
