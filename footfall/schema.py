@@ -85,7 +85,14 @@ AUDIT = T.StructType(
         T.StructField("deduplicated", T.LongType(), False),
     ]
 )
-BATCH_AUDIT = T.StructType(AUDIT.fields + [T.StructField("ingest_batch", T.StringType(), False)])
+# `admitted` names the batches of messages that a batch of rows accounts for.
+BATCH_AUDIT = T.StructType(
+    AUDIT.fields
+    + [
+        T.StructField("ingest_batch", T.StringType(), False),
+        T.StructField("admitted", T.ArrayType(T.StringType()), True),
+    ]
+)
 
 # A message on its way from the stream that reads it to the stream that stores it (`kind` is
 # `event`, or `rejected` with its text), the counts of a batch of them (`counts`), or an id that

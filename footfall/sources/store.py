@@ -123,9 +123,15 @@ class Store:
             lambda: _by_date(daily_links(whole), self.links),
         )
 
-    def add_audit(self, counts: DataFrame, ingest_batch: str) -> None:
+    def accounted(self, spark: SparkSession) -> DataFrame:
+        """The batches of messages that are in the audit, by name."""
+        rows = read_table(spark, BATCH_AUDIT, self.audit)
+        return rows.select(F.explode("admitted").alias("event_id")).distinct()
+
+    def add_audit(self, counts: DataFrame, ingest_batch: str, admitted: list[str] | None = None) -> None:
         """A row for the batch; its numbers are the same if it runs again."""
-        row = counts.withColumn("ingest_batch", F.lit(ingest_batch)).select(BATCH_AUDIT.names)
+        named = F.array(*map(F.lit, admitted or ())).cast("array<string>")
+        row = counts.withColumns({"ingest_batch": F.lit(ingest_batch), "admitted": named}).select(BATCH_AUDIT.names)
         row.coalesce(1).write.mode("append").parquet(self.audit)
 
     def add_dead_letters(self, letters: DataFrame, ingest_batch: str) -> None:

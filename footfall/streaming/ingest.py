@@ -230,12 +230,13 @@ def _as_arrivals(rows: DataFrame) -> DataFrame:
 
 def prepare(spark: SparkSession, store: Store, name: str, checkpoints: str | None = None) -> None:
     """Before the streams run without a checkpoint, for the first time or because it was lost:
-    write down the ids that the table holds, which they take into their state. Ids come in files, and
-    the folders of arrivals must exist for a stream to read them."""
+    write down the ids that the table holds, and the batches that the audit holds, which they take
+    into their state. The folders of arrivals must exist for a stream to read them."""
     place = checkpoint_location(spark, f"{name}-remember", store.root, checkpoints)
     if _checkpoint_id(spark, place) is None:
         finish_rewrite(spark, store)
-        known = store.read(spark).select(*KEY, F.lit("known").alias("kind"))
+        accounted = store.accounted(spark).select(F.lit(None).cast("long").alias(KEY[0]), KEY[1])
+        known = store.read(spark).select(KEY).unionByName(accounted).withColumn("kind", F.lit("known"))
         _as_arrivals(known).write.mode("overwrite").parquet(f"{store.known}/{name}")
     for folder in ("messages", "counts"):
         _as_arrivals(spark.createDataFrame([], "kind string")).coalesce(1).write.mode("ignore").parquet(f"{store.arrivals}/{folder}")
@@ -288,7 +289,11 @@ def store_arrivals(new: DataFrame, store: Store, batch: str, again: bool) -> Non
     spark = new.sparkSession
     numbers = ["received", "invalid", "rejected", "valid"]
     # Reads every row of the batch, which is kept from here on.
-    sums = new.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in numbers), F.count_if(F.col("kind") == "event").alias("events")).first()
+    sums = new.agg(
+        *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in numbers),
+        F.count_if(F.col("kind") == "event").alias("events"),
+        F.collect_list(F.when(F.col("kind") == "counts", F.col("event_id"))).alias("admitted"),
+    ).first()
     if not sums.received and not sums.events:
         return
     rows = as_stored(new.where("kind = 'event'")).select(EVENTS.names)
@@ -298,7 +303,7 @@ def store_arrivals(new: DataFrame, store: Store, batch: str, again: bool) -> Non
     else:
         store.append(rows, batch)
     audit = spark.createDataFrame([(sums.received, sums.invalid, sums.rejected, sums.events, sums.valid - sums.events)], AUDIT)
-    store.add_audit(audit, batch)
+    store.add_audit(audit, batch, sums.admitted)
 
 
 def of_batch(store: Store, rows: DataFrame, batch: str) -> DataFrame:

@@ -14,6 +14,8 @@ from footfall.sources.messages import MESSAGES, backlog, file_messages, write_fi
 from footfall.sources.sample_tables import ODD_TIMES
 from footfall.sources.store import Outbox, Store, delete_events
 from footfall.streaming.ingest import accept, classify, consume, publish, store_batch
+from footfall.streaming.retry import BackOff
+from footfall.streaming.watch import Watch, lag_of
 
 UUID = "11111111-2222-3333-4444-{:012d}"
 
@@ -266,3 +268,155 @@ def test_odd_times_stop_nothing(spark, organizations, store):
     assert store.read(spark).count() == 10 and audit(spark, store) == (15, 4, 0, 10, 1)
     delete_events(spark, store, F.col("event_id").isin(UUID.format(50), UUID.format(2)))
     assert store.read(spark).count() == 8
+
+
+# --- streams: state, faults, reports -------------------------------------------
+
+
+def ingest_files(spark, topic, organizations, store, tmp_path, **more):
+    query = consume(file_messages(spark, topic), lambda: organizations, store, "events", str(tmp_path / "offsets"),
+                    availableNow=True, **more)
+    query.awaitTermination()
+    return query
+
+
+def test_a_batch_costs_what_it_holds(spark, organizations, store, tmp_path, monkeypatch):
+    """After the first batch of a run none reads the event table, however large it is."""
+    topic, reads = str(tmp_path / "topic"), []
+    real = Store.read
+    monkeypatch.setattr(Store, "read", lambda self, session: reads.append(1) or real(self, session))
+    numbers = []
+    watch = Watch().attach(spark)
+    write_files(messages(spark, [message(n) for n in range(3)]), topic)
+    query = consume(file_messages(spark, topic), lambda: organizations, store, "events", str(tmp_path / "offsets"), processingTime="0 seconds")
+    try:
+        query.processAllAvailable()
+        for size in (20, 200):  # the table grows tenfold
+            numbers.append(len(reads))
+            write_files(messages(spark, [message(n) for n in range(size // 5, size)], size), topic)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+        spark.streams.removeListener(watch)
+    assert numbers[-1] == len(reads)
+    held = store.read(spark).count()
+    # Ids 0 to 2, 4 to 19 and 40 to 199.
+    assert held == 3 + 16 + 160 and audit(spark, store) == (179, 0, 0, 179, 0)
+    standing = watch.streams["events-remember"]
+    assert standing.remembered >= 179 and standing.error is None and watch.streams["events-admit"].input_rows >= 179
+
+
+def test_lost_checkpoints_lose_and_double_nothing(spark, organizations, store, tmp_path):
+    topic = str(tmp_path / "topic")
+    write_files(messages(spark, [message(n % 7) for n in range(10)] + ["{", message(8, org=9)]), topic)
+    for run in range(2):  # each time from the first message on, without any checkpoint
+        folder = tmp_path / f"run{run}"
+        folder.mkdir()
+        ingest_files(spark, topic, organizations, store, folder)
+        assert store.read(spark).count() == 7
+    assert audit(spark, store) == (24, 2, 2, 7, 13)
+    # An id of the table that no stream has stored is known, too.
+    store.append(store.read(spark).limit(1).withColumn("event_id", F.lit(UUID.format(50))), "load")
+    write_files(messages(spark, [message(50), message(51)], 100), topic)
+    ingest_files(spark, topic, organizations, store, tmp_path)
+    assert store.read(spark).count() == 9
+
+
+@pytest.mark.parametrize("step", ["add_audit", "append"])
+def test_a_batch_that_stopped_half_way_is_stored_once(spark, organizations, store, tmp_path, monkeypatch, step):
+    """Rows are stored, but the batch is not accounted for; or a part of the rows only."""
+    topic = str(tmp_path / "topic")
+    write_files(messages(spark, [message(n) for n in range(6)] + [message(3)]), topic)
+    real = getattr(Store, step)
+
+    def fail(self, rows, *more):
+        if step == "append":
+            real(self, rows.where(F.col("event_id") < UUID.format(3)), *more)
+        raise OSError("gone")
+
+    monkeypatch.setattr(Store, step, fail)
+    with pytest.raises(Exception, match="gone"):
+        ingest_files(spark, topic, organizations, store, tmp_path)
+    monkeypatch.undo()
+    ingest_files(spark, topic, organizations, store, tmp_path)
+    assert store.read(spark).count() == 6 and audit(spark, store) == (7, 0, 0, 6, 1)
+    assert store.read_daily(spark).groupBy().max("count").first()[0] == 6
+
+
+def test_first_delivery_wins_within_and_across_batches(spark, organizations, store, tmp_path):
+    topic = str(tmp_path / "topic")
+    write_files(messages(spark, [message(1, event_type=f"try {n}") for n in range(9)]).repartition(4), topic)
+    ingest_files(spark, topic, organizations, store, tmp_path)
+    write_files(messages(spark, [message(1, event_type="late"), message(2)], 100), topic)
+    ingest_files(spark, topic, organizations, store, tmp_path)
+    assert sorted(r.event_type for r in store.read(spark).collect()) == ["page_view", "try 0"]
+
+
+def test_a_record_that_cannot_be_stored_costs_itself_only(spark, organizations, store, tmp_path, monkeypatch):
+    from footfall.streaming import ingest as stream
+
+    topic, waits = str(tmp_path / "topic"), []
+    write_files(messages(spark, [message(n, event_type="poison" if n in (4, 11) else "fine") for n in range(16)]), topic)
+    real = stream.classify
+
+    def brittle(rows, known):
+        poison = F.raise_error(F.lit("this record is too much")).cast("string")
+        return real(rows, known).withColumn("event_type", F.when(F.col("event_type") == "poison", poison).otherwise(F.col("event_type")))
+
+    monkeypatch.setattr(stream, "classify", brittle)
+    back_off = BackOff(sleep=waits.append)
+    ingest_files(spark, topic, organizations, store, tmp_path, back_off=back_off)
+    assert waits == [1, 2, 4, 8] and {entry[0] for entry in back_off.ledger} == {back_off.ledger[0][0]}
+    assert store.read(spark).count() == 14 and audit(spark, store) == (16, 0, 2, 14, 0)
+    letters = store.read_dead_letters(spark).orderBy("offset").collect()
+    assert [r.offset for r in letters] == [4, 11] and all("too much" in r.reason for r in letters)
+
+
+def test_an_outage_rejects_nothing(spark, organizations, store, tmp_path, monkeypatch):
+    topic = str(tmp_path / "topic")
+    write_files(messages(spark, [message(n) for n in range(4)]), topic)
+    from footfall.streaming import ingest as stream
+
+    def gone(*_):
+        raise OSError("storage is away")
+
+    monkeypatch.setattr(stream, "admit_batch", gone)
+    with pytest.raises(Exception, match="storage is away"):
+        ingest_files(spark, topic, organizations, store, tmp_path, back_off=BackOff(sleep=lambda _: None))
+    monkeypatch.undo()
+    ingest_files(spark, topic, organizations, store, tmp_path)
+    assert store.read(spark).count() == 4 and audit(spark, store) == (4, 0, 0, 4, 0)
+
+
+def test_back_off_gives_up_and_succeeds():
+    waits, tries = [], []
+    BackOff(sleep=waits.append).run("b", lambda: tries.append(1) or len(tries) == 3 or 1 / 0)
+    assert waits == [1, 2]
+    with pytest.raises(ZeroDivisionError):
+        BackOff(first=1, factor=3, most=5, sleep=waits.append).run("b", lambda: 1 / 0)
+    assert waits == [1, 2, 1, 3]
+
+
+def test_lag_is_that_of_the_slowest_partition():
+    assert lag_of([{"maxOffsetsBehindLatest": "7", "minOffsetsBehindLatest": "0"}, {}, None, {"maxOffsetsBehindLatest": "19"}]) == 19
+    assert lag_of([{}]) is None
+    progress = {"sources": [{"metrics": {"maxOffsetsBehindLatest": "5"}}, {"metrics": None}]}
+    assert backlog(SimpleNamespace(lastProgress=progress)) == 5 and backlog(SimpleNamespace(lastProgress=None)) is None
+
+
+def test_watch_adds_up_reports():
+    def report(batch, rows, lag, dropped, n):
+        return SimpleNamespace(progress=SimpleNamespace(
+            name="s", batchId=batch, numInputRows=rows, processedRowsPerSecond=2.0 * rows,
+            observedMetrics={"seen": SimpleNamespace(asDict=lambda: {"valid": n})},
+            sources=[SimpleNamespace(metrics={"maxOffsetsBehindLatest": str(lag)})],
+            stateOperators=[SimpleNamespace(numRowsTotal=10 * rows, customMetrics={"numDroppedDuplicateRows": dropped})]))
+
+    watch = Watch()
+    watch.onQueryStarted(SimpleNamespace(runId="r", name="s"))
+    for event in (report(0, 5, 40, 1, 4), report(1, 7, 20, 2, 5), report(1, 7, 20, 2, 5)):  # the last is said twice
+        watch.onQueryProgress(event)
+    watch.onQueryTerminated(SimpleNamespace(runId="r", exception="gone"))
+    standing = watch.streams["s"]
+    assert (standing.input_rows, standing.lag, standing.refused, standing.remembered) == (12, 20, 3, 70)
+    assert standing.totals == {"seen.valid": 9} and standing.error == "gone"
