@@ -6,6 +6,8 @@ Queries about one tenant run for each tenant of the sample and carry its number
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,12 +17,14 @@ from pyspark.sql import functions as F
 from footfall import operators as op
 from footfall.functions.metadata import canonical
 from footfall.functions.text import api_key_hash, api_key_prefix
-from footfall.operators import ingest, maintenance
+from footfall.operators import ingest, maintenance, partials
 from footfall.schema import REQUEST
 from footfall.session import configure
 from footfall.sources import sample_tables as sample
 from footfall.sources.load import load_events
-from footfall.streaming.ingest import accept, classify
+from footfall.sources.messages import file_messages, write_files
+from footfall.sources.store import Store
+from footfall.streaming.ingest import accept, classify, consume
 
 try:  # the operators of the training-data pipeline may be left out of an installation
     import corpus_pipeline
@@ -30,6 +34,8 @@ except ImportError:
 
 MONTH = ("2024-01-01", "2024-02-01")
 YEARS = ("1995-01-01", "2001-08-02")
+# A range that begins and ends inside a day.
+UNEVEN = ("2024-01-03T07:30:00", "2024-01-20T11:00:00")
 STEPS = ["view", "signup", "purchase"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +183,43 @@ def _monthly(spark: SparkSession, folder: str) -> DataFrame:
     return sample.sample_events(spark, folder).withColumns({"occurred_at": month, "received_at": month})
 
 
+def _in_batches(events: DataFrame) -> DataFrame:
+    """The same events as three batches store them; rows of a day are in each."""
+    return events.withColumn("ingest_batch", F.concat(F.lit("b"), F.pmod(F.hash("event_id"), F.lit(3))))
+
+
+def _daily(events: DataFrame) -> DataFrame:
+    """What the batches add up to by day; one of them has run twice."""
+    daily = partials.daily_counts(_in_batches(events))
+    return daily.unionByName(daily.where("ingest_batch = 'b1'"))
+
+
+def _links_of_days(events: DataFrame, tenant: int) -> DataFrame:
+    links = reduce(DataFrame.unionByName, (
+        partials.daily_links(_in_batches(events).where(F.col("ingest_batch") == f"b{n}")) for n in (0, 1, 1, 2)))
+    return partials.identities_of_days(links, events, tenant, *UNEVEN)
+
+
+def _streamed(spark: SparkSession, folder: str) -> Store:
+    """The messages of the sample as files, and the store that the streams make of them."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="footfall-")
+    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    write_files(sample.sample_messages(spark, folder), f"{root}/messages")
+    store, organizations = Store(f"{root}/store"), sample.sample_organizations(spark, folder)
+    consume(file_messages(spark, f"{root}/messages"), lambda: organizations, store, checkpoints=f"{root}/offsets",
+            availableNow=True).awaitTermination()
+    return store
+
+
+def _stored_by_streams(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder).read(spark).select(
+        "organization_id", "event_id", "event_type", "occurred_at", "user_id", "anonymous_id", "metadata")
+
+
+def _accounts_of_streams(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.reconcile(_streamed(spark, folder).read_audit(spark))
+
+
 # Steps, window and filters; each is asked in both ways that a funnel may be worked out.
 FUNNELS = {
     "funnel_3step": ((STEPS, "7d"), {}),
@@ -234,6 +277,12 @@ def _queries() -> dict[str, Query]:
             e, t, *MONTH, filters=["country:US"], limit=50, offset=60, shallow=20)),
         "events_page_ties": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH, limit=50, offset=250, shallow=20), _monthly),
         "event_types": _per_tenant(op.event_types),
+        # The same from days, as batches added them up
+        "event_types_days": _per_tenant(lambda e, t: partials.event_types_of_days(_daily(e), t)),
+        "tenant_audit_days": _on(lambda e: partials.audit_of_days(_daily(e))),
+        "identity_map_days": _per_tenant(_links_of_days),
+        "timeseries_days": _per_tenant(lambda e, t: partials.time_series_of_days(_daily(e), e, t, *UNEVEN, event_type="view")),
+        "timeseries_weeks_of_days": _per_tenant(lambda e, t: partials.time_series_of_days(_daily(e), e, t, *UNEVEN, interval="week")),
         # Ingest
         "validate_requests": _validated,
         "validate_request_lists": _validated_lists,
@@ -250,6 +299,8 @@ def _queries() -> dict[str, Query]:
             "organization_id", "event_id", "event_type", "occurred_at", "user_id", "anonymous_id", "metadata", "offset"),
         "unseen_events": lambda s, d: _fresh(s, d).select("organization_id", "event_id", "event_type", "offset"),
         "ingest_reconciliation": _reconciled,
+        "stream_storage": _stored_by_streams,
+        "stream_accounts": _accounts_of_streams,
         "canonical_metadata": _canonical,
         "api_key_hashes": _keys,
         "load_events": _on(lambda t: load_events(t, "l_orderkey").groupBy("event_type", "metadata").agg(
@@ -452,6 +503,18 @@ ODD_MICROS = """
     when 6 then 1714521600250000 when 7 then 9223372036854000000 end"""
 
 
+def _cut_series_sql(unit: str, where: str) -> str:
+    """Counts of a range that cuts days; buckets without events come from a calendar."""
+    return f"""with {EVENTS}, {TENANTS}, buckets as (
+        select distinct date_trunc('{unit}', day) as bucket
+        from (select unnest(generate_series(timestamp '2024-01-03', timestamp '2024-01-20', interval 1 day)) as day)),
+      hits as (select organization_id, date_trunc('{unit}', occurred_at) as bucket, count(*) as n from ev
+        where occurred_at >= timestamp '2024-01-03 07:30:00' and occurred_at < timestamp '2024-01-20 11:00:00' and {where}
+        group by all)
+      select t.organization_id, b.bucket::timestamp as bucket, coalesce(h.n, 0) as count
+      from tenants t, buckets b left join hits h on h.organization_id = t.organization_id and h.bucket = b.bucket"""
+
+
 def oracle_sql() -> dict[str, str]:
     named = _oracle_sql()
     if pipeline:
@@ -518,6 +581,16 @@ def _oracle_sql() -> dict[str, str]:
         "events_page_offset": _page_sql(50, 60, _holds(country="US")),
         "event_types": f"""with {EVENTS} select organization_id, event_type, count(*) as count,
             max(occurred_at) as last_seen_at from ev group by organization_id, event_type""",
+        "event_types_days": f"""with {EVENTS} select organization_id, event_type, count(*) as count,
+            max(occurred_at) as last_seen_at from ev group by organization_id, event_type""",
+        "tenant_audit_days": f"with {EVENTS} select organization_id, event_type, count(*) as count from ev group by all",
+        "identity_map_days": f"""with {EVENTS} select organization_id, anonymous_id,
+            arg_min(user_id, struct_pack(since := occurred_at, who := user_id)) as user_id
+            from ev where anonymous_id is not null and user_id is not null
+              and occurred_at >= timestamp '2024-01-03 07:30:00' and occurred_at < timestamp '2024-01-20 11:00:00'
+            group by organization_id, anonymous_id""",
+        "timeseries_days": _cut_series_sql("day", "event_type = 'view'"),
+        "timeseries_weeks_of_days": _cut_series_sql("week", "true"),
         "validate_requests": f'select n as "offset", {REQUEST_ERRORS} as errors from (select event_id as n from events)',
         "validate_request_lists": f"""with single as (
               select n, n // 4 as list, n % 4 as position, n % 53 in (0, 13, 14) as broken, {REQUEST_ERRORS} as own
@@ -566,6 +639,14 @@ def _oracle_sql() -> dict[str, str]:
               else concat('{{"k":', n % 100, ',"plan":"pro"}}') end as metadata, "offset" from firsts""",
         "unseen_events": f"""with {MESSAGES} select tenant as organization_id, uuid as event_id, kind as event_type,
             "offset" from fresh""",
+        "stream_storage": f"""with {MESSAGES} select tenant as organization_id, uuid as event_id, kind as event_type,
+            ts as occurred_at, case when flaw = 7 then null else concat('u-', u) end as user_id,
+            concat('a-', u) as anonymous_id, case when flaw in (6, 9) then '{{}}'
+              else concat('{{"k":', n % 100, ',"plan":"pro"}}') end as metadata from firsts""",
+        "stream_accounts": f"""with {MESSAGES} select count(*) as received,
+              count(*) filter (outcome = 'invalid') as invalid, count(*) filter (outcome = 'rejected') as rejected,
+              (select count(*) from firsts) as persisted,
+              count(*) filter (outcome = 'valid') - (select count(*) from firsts) as deduplicated, true as balanced from judged""",
         "ingest_reconciliation": f"""with {MESSAGES}, c as (select count(*) as received,
               count(*) filter (outcome = 'invalid') as invalid, count(*) filter (outcome = 'rejected') as rejected,
               (select count(*) from fresh) as persisted, count(*) filter (outcome = 'valid') as valid from judged)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from footfall.functions.times import instant
 from footfall.operators.ingest import (
     KEY,
     POSITION,
@@ -30,10 +31,10 @@ from footfall.operators.ingest import (
     with_defaults,
     with_known_tenant,
 )
-from footfall.plans.skew import BROADCAST_ROWS, fits_broadcast
+from footfall.plans.skew import BROADCAST_ROWS
 from footfall.schema import ARRIVALS, AUDIT, EVENTS, REQUEST
 from footfall.session import check_session, checkpoint_location
-from footfall.sources.store import Outbox, Store, finish_rewrite, replace_batch
+from footfall.sources.store import Outbox, Store, at_once, finish_rewrite, replace_batch
 from footfall.streaming.retry import BackOff, store_each
 
 LETTER = ["topic", *POSITION, "key", "value", "timestamp", "reason"]
@@ -168,6 +169,7 @@ def admit(
     spark = messages.sparkSession
     place = checkpoint_location(spark, f"{name}-admit", store.root, checkpoints)
     wait = back_off or BackOff()
+    name_of = _batch_names(spark, name, place)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         def reject(rows: DataFrame, part: str, why: str) -> None:
@@ -177,7 +179,7 @@ def admit(
             add_counts(spark, store, f"{part}.rejected", received=number, rejected=number)
 
         step = lambda rows, part: admit_batch(rows, organizations(), store, part)
-        store_each(batch, _batch_name(spark, name, place, batch_id), step, reject, wait, ["topic", *POSITION])
+        store_each(batch, name_of(batch_id), step, reject, wait, ["topic", *POSITION])
 
     return _start(messages, run, f"{name}-admit", place, trigger)
 
@@ -233,13 +235,18 @@ def prepare(spark: SparkSession, store: Store, name: str, checkpoints: str | Non
     write down the ids that the table holds, and the batches that the audit holds, which they take
     into their state. The folders of arrivals must exist for a stream to read them."""
     place = checkpoint_location(spark, f"{name}-remember", store.root, checkpoints)
-    if _checkpoint_id(spark, place) is None:
-        finish_rewrite(spark, store)
-        accounted = store.accounted(spark).select(F.lit(None).cast("long").alias(KEY[0]), KEY[1])
-        known = store.read(spark).select(KEY).unionByName(accounted).withColumn("kind", F.lit("known"))
-        _as_arrivals(known).write.mode("overwrite").parquet(f"{store.known}/{name}")
-    for folder in ("messages", "counts"):
-        _as_arrivals(spark.createDataFrame([], "kind string")).coalesce(1).write.mode("ignore").parquet(f"{store.arrivals}/{folder}")
+
+    def folder(path: str) -> None:
+        _as_arrivals(spark.createDataFrame([], "kind string")).coalesce(1).write.mode("ignore").parquet(path)
+
+    def know() -> None:
+        if _checkpoint_id(spark, place) is None:
+            finish_rewrite(spark, store)
+            accounted = store.accounted(spark).select(F.lit(None).cast("long").alias(KEY[0]), KEY[1])
+            known = store.read(spark).select(KEY).unionByName(accounted).withColumn("kind", F.lit("known"))
+            _as_arrivals(known).write.mode("overwrite").parquet(f"{store.known}/{name}")
+
+    at_once(know, lambda: folder(f"{store.arrivals}/messages"), lambda: folder(f"{store.arrivals}/counts"))
 
 
 def remember(
@@ -270,13 +277,14 @@ def remember(
     order = [(F.col("kind") == "known").desc(), F.col("arrived_in"), *map(F.col, POSITION)]
     once = arrivals.repartition(parts, *KEY).sortWithinPartitions(*order).dropDuplicates(KEY)
     begun: list[int] = []
+    name_of = _batch_names(spark, name, place)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         again = not begun
         begun.append(batch_id)
         batch.persist()
         try:
-            store_arrivals(batch.where("kind <> 'known'"), store, _batch_name(spark, name, place, batch_id), again)
+            store_arrivals(batch.where("kind <> 'known'"), store, name_of(batch_id), again)
         finally:
             batch.unpersist()
 
@@ -289,29 +297,31 @@ def store_arrivals(new: DataFrame, store: Store, batch: str, again: bool) -> Non
     spark = new.sparkSession
     numbers = ["received", "invalid", "rejected", "valid"]
     # Reads every row of the batch, which is kept from here on.
+    at = F.unix_micros("occurred_at")
     sums = new.agg(
         *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in numbers),
+        F.min(at).alias("low"),
+        F.max(at).alias("high"),
         F.count_if(F.col("kind") == "event").alias("events"),
         F.collect_list(F.when(F.col("kind") == "counts", F.col("event_id"))).alias("admitted"),
     ).first()
     if not sums.received and not sums.events:
         return
     rows = as_stored(new.where("kind = 'event'")).select(EVENTS.names)
-    if again:
-        mine = of_batch(store, rows, batch).select(EVENTS.names)
-        store.append(rows.join(mine, KEY, "left_anti").select(EVENTS.names), batch, rows)
-    else:
+    mine = of_batch(spark, store, batch, sums.low, sums.high) if again and sums.events else None
+    if mine is None or mine.isEmpty():
         store.append(rows, batch)
+    else:
+        store.append(rows.join(mine, KEY, "left_anti").select(EVENTS.names), batch, rows)
     audit = spark.createDataFrame([(sums.received, sums.invalid, sums.rejected, sums.events, sums.valid - sums.events)], AUDIT)
     store.add_audit(audit, batch, sums.admitted)
 
 
-def of_batch(store: Store, rows: DataFrame, batch: str) -> DataFrame:
-    """What the table holds of a batch, in the dates of ``rows``. Dates stay in Spark, which has
-    more years than Python."""
-    dates = rows.select(F.to_date("occurred_at").alias("event_date")).distinct()
-    dates = F.broadcast(dates) if fits_broadcast(dates) else dates
-    return store.read(rows.sparkSession).where(F.col("ingest_batch") == batch).join(dates, "event_date", "left_semi")
+def of_batch(spark: SparkSession, store: Store, batch: str, low: int, high: int) -> DataFrame:
+    """What the table holds of a batch whose times lie between two, in microseconds."""
+    first, last = (F.to_date(instant(at)) for at in (low, high))
+    mine = (F.col("ingest_batch") == batch) & F.col("event_date").between(first, last)
+    return store.read(spark).where(mine).select(EVENTS.names)
 
 
 def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, batch: str) -> None:
@@ -325,17 +335,21 @@ def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, bat
     classified = classify(messages, organizations).persist()
     try:
         valid = classified.where(F.col("outcome") == "valid")
-        small = valid.count() <= BROADCAST_ROWS
-        fresh = as_stored(unseen(first_deliveries(valid), store.read(spark), keys=valid, small=small)).select(EVENTS.names)
-        before = of_batch(store, valid, batch).select(EVENTS.names)
+        at = F.unix_micros("occurred_at")
+        sums = valid.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(at), F.lit(0)).alias("low"), F.coalesce(F.max(at), F.lit(0)).alias("high")).first()
+        new = unseen(first_deliveries(valid), store.read(spark), keys=valid, small=sums.n <= BROADCAST_ROWS)
+        fresh = as_stored(new).select(EVENTS.names).persist()
+        # Looked up before the rows of this run are there.
+        before = of_batch(spark, store, batch, sums.low, sums.high)
         store.append(fresh, batch, before.unionByName(fresh))
         rejected = classified.where(F.col("outcome") == "rejected")
         if not rejected.isEmpty():
             store.add_dead_letters(rejected.select(LETTER), batch)
         # Counted in the table and not while writing: after a crash the second run
         # writes only what the first did not.
-        counts = audit_counts(classified, F.lit(of_batch(store, valid, batch).count()))
+        counts = audit_counts(classified, F.lit(of_batch(spark, store, batch, sums.low, sums.high).count()))
         store.add_audit(counts.where("received > 0"), batch)
+        fresh.unpersist()
     finally:
         classified.unpersist()
 
@@ -363,9 +377,16 @@ def _checkpoint_id(spark: SparkSession, place: str) -> str | None:
         return None
 
 
-def _batch_name(spark: SparkSession, name: str, place: str, batch_id: int) -> str:
-    """Never the same for two batches, also where a checkpoint was lost and numbers begin anew."""
-    return f"{name}-{_checkpoint_id(spark, place)}-{batch_id:012d}"
+def _batch_names(spark: SparkSession, name: str, place: str) -> Callable[[int], str]:
+    """Names that no two batches share, also where a checkpoint was lost and numbers begin anew."""
+    own: list[str] = []
+
+    def name_of(batch_id: int) -> str:
+        if not own:
+            own.append(_checkpoint_id(spark, place))
+        return f"{name}-{own[0]}-{batch_id:012d}"
+
+    return name_of
 
 
 def _start(stream, run, name, checkpoints, trigger, settings=None) -> StreamingQuery:
