@@ -5,7 +5,7 @@ class: hexadecimal or base 64. A window of fixed width slides over each; the cou
 characters are carried along, one entering and one leaving at each step, and with them the
 sum of ``c * log2(c)`` that Shannon entropy needs. Windows over the class's threshold are joined
 to spans. The allow-list suppresses what is known to be harmless: dates and stand-ins
-(``HARMLESS_PARTS``) by themselves, what is left of a candidate as a whole (``HARMLESS``). Of
+(``HARMLESS_PARTS``) by themselves, what is left of a candidate as a whole (``_harmless``). Of
 spans that touch a base span, what lies outside of it is given if it is as long as a window.
 """
 
@@ -44,11 +44,10 @@ CLASSES = (
     Class("entropy_base64", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])"
           r"[A-Za-z0-9+/_=-]{20,}", f"{LOWER}{LOWER.upper()}0123456789+/_=-", 20, 3.7),
 )
-# UUIDs, numbers, words joined by signs.
-HARMLESS = (
-    r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9+/_=-]+"
-    r"|(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*)$"
-)
+# UUIDs, numbers, words joined by signs. The regular expressions of Java call
+# themselves for every round of a repeated group, so words are looked at one by one.
+HARMLESS = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9+/_=-]+)$"
+JOINED_BY, WORD = r"[+/_=-]+", r"^(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})$"
 # Dates and times; what stands between signs and holds a run of the alphabet or a
 # stand-in for secrets in instructions, with at most 32 characters on either side of it.
 HARMLESS_PARTS = (
@@ -56,6 +55,8 @@ HARMLESS_PARTS = (
     r"|[A-Za-z0-9]{0,32}(?i:example|sample|placeholder|changeme|dummy|xxxx|abcdefgh|01234567|12345678)[A-Za-z0-9]{0,32})"
     r"(?![A-Za-z0-9])"
 )
+# Parts whose lengths are added up at a time.
+RUN = 256
 SIGNS = r"^[+/_=-]+|[+/_=-]+$"
 
 
@@ -78,49 +79,67 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _starts(lengths: Column) -> Column:
+    """Where each of several parts begins. Sums run inside runs of ``RUN`` parts and then over
+    runs, as a list that grows is copied at each step."""
+
+    def sums(parts: Column, first: Column) -> Column:
+        state = F.struct(first.alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(parts, state, lambda held, n: F.struct(
+            (held["at"] + n).alias("at"), F.concat(held["starts"], F.array(held["at"])).alias("starts")), lambda held: held["starts"])
+
+    def cut(parts: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda k: F.slice(parts, (k * RUN + 1).cast("int"), RUN))
+        return _bound(runs, lambda r: F.flatten(F.zip_with(
+            r, sums(F.transform(r, lambda run: F.aggregate(run, F.lit(0), lambda a, n: a + n)), F.lit(0)), sums)))
+
+    return F.when(F.size(lengths) <= RUN, sums(lengths, F.lit(0))).otherwise(_bound(lengths, cut))
+
+
 def _matches(text: Column, pattern: str, kind: str, ok=None) -> Column:
     """Spans ``(kind, start, end)`` of a pattern's matches, by the lengths of what lies between."""
 
     def placed(found: Column) -> Column:
         steps = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(
             F.length(gap).alias("gap"), m.alias("text")))
-        steps = F.filter(steps, lambda s: s["text"].isNotNull())
-        none = F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")
-        state = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        return _bound(F.filter(steps, lambda s: s["text"].isNotNull()), spans)
 
-        def step(held: Column, s: Column) -> Column:
-            start = held["at"] + s["gap"]
-            end = start + F.length(s["text"])
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), s["text"].alias("text"))
-            return F.struct(end.alias("at"), F.concat(held["spans"], F.array(span)).alias("spans"))
+    def spans(steps: Column) -> Column:
+        def span(s: Column, at: Column) -> Column:
+            start = at + s["gap"]
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(s["text"])).alias("end"), s["text"].alias("text"))
 
-        return F.aggregate(steps, state, step, lambda held: held["spans"])
+        return F.zip_with(steps, _starts(F.transform(steps, lambda s: s["gap"] + F.length(s["text"]))), span)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")
     return _bound(found, lambda f: F.when(F.size(f) == 0, none).otherwise(placed(f)))
 
 
+def _harmless(text: Column) -> Column:
+    """Whether all of a text is a UUID, a number, or words joined by signs, which may end it."""
+    words = lambda parts: (parts[0] != "") & F.forall(parts, lambda p: (p == "") | p.rlike(WORD))
+    return text.rlike(HARMLESS) | _bound(F.split(text, JOINED_BY, -1), words)
+
+
 def _suspect(of: Class, candidate: Column) -> Column:
     """What a candidate ``(start, text)`` holds beside harmless parts, as far as it is a candidate
     and not harmless itself."""
     text = candidate["text"]
 
     def left(found: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("gaps"))
         steps = F.arrays_zip(F.split(text, HARMLESS_PARTS, -1).alias("gap"), found.alias("part"))
+        return F.when(F.size(found) == 0, F.array(F.struct(candidate["start"].alias("start"), text.alias("text")))).otherwise(
+            _bound(steps, gaps_of))
 
-        def step(held: Column, s: Column) -> Column:
-            gap = F.struct((candidate["start"] + held["at"]).alias("start"), s["gap"].alias("text"))
-            after = held["at"] + F.length(s["gap"]) + F.coalesce(F.length(s["part"]), F.lit(0))
-            return F.struct(after.alias("at"), F.concat(held["gaps"], F.array(gap)).alias("gaps"))
-
-        return F.aggregate(steps, state, step, lambda held: held["gaps"])
+    def gaps_of(steps: Column) -> Column:
+        lengths = F.transform(steps, lambda s: F.length(s["gap"]) + F.coalesce(F.length(s["part"]), F.lit(0)))
+        return F.zip_with(steps, _starts(lengths), lambda s, at: F.struct((candidate["start"] + at).alias("start"), s["gap"].alias("text")))
 
     gaps = _bound(F.regexp_extract_all(text, F.lit(HARMLESS_PARTS), F.lit(0)), left)
     # Signs beside a part that was cut out belong to neither.
     bare = lambda g: F.when(g["text"] == text, text).otherwise(F.regexp_replace(g["text"], SIGNS, ""))
-    return F.filter(gaps, lambda g: g["text"].rlike(of.pattern) & ~bare(g).rlike(HARMLESS))
+    return F.filter(gaps, lambda g: g["text"].rlike(of.pattern) & ~_harmless(bare(g)))
 
 
 def _outside(span: Column, base: Column, width: int) -> Column:

@@ -598,3 +598,29 @@ def test_rows_of_one_id_keep_their_own_lines(spark):
     found = stages.without_repeated_lines(spark, docs(spark, rows), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in found) == [
         (0, "a\nb"), (1, "a\nb\nc"), (2, "end"), (2, "other\ntext\nhere"), (3, "")]
+
+
+# --- very long strings ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("text, spans, base", [
+    ("/".join(["abc"] * 100_000) + "/Ab9", 0, 0), ("example/" * 100_000 + "Ab9", 0, 0), ("x" * 1_000_000 + "9", 0, 0),
+    ("password=abcdef12 " * 50_000, 50_000, 50_000), ("/".join(["abc"] * 50_000) + " Zk8Qw3Rt7Yp1Lm5Nc9Xv2 " + "a-" * 50_000, 1, 0)],
+    ids=["words", "stand-ins", "letters", "matches", "one secret"])
+def test_very_long_candidates(spark, text, spans, base):
+    row = find_secrets(docs(spark, [(1, text)], 1)).first()
+    assert (len(row.spans), len(row.base)) == (spans, base)
+    assert [(s.start, s.end) for s in row.base[:3]] == [(18 * i, 18 * i + 17) for i in range(min(base, 3))]
+    assert not base or (row.base[-1].start, row.base[-1].end) == (18 * base - 18, 18 * base - 1)
+
+
+def test_harmless_words_by_brute_force(spark):
+    from footfall.llm.secrets import _harmless
+
+    rng = random.Random(11)
+    parts = ["ab", "Ab", "A", "AB", "1", "12345", "/", "-", "_", "+", "=", "aB", "z9", "0", "12"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(3_000)] + ["", "/", "a/", "/a"]
+    word = "(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})"
+    rule = re.compile(rf"(?:[0-9+/_=-]+|{word}(?:[+/_=-]+{word})*[+/_=-]*)")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _harmless(F.col("t")).alias("h")).collect()
+    assert [r.t for r in rows if r.h != bool(rule.fullmatch(r.t))] == []
