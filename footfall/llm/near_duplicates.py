@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import WordHashes, batches, by_id, cells, mixed, rolled, small_batches, written
@@ -38,6 +38,8 @@ BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 1_000_000
 # Visitors of a block that one task takes.
 SLICE_VISITORS = 768
 COLUMNS = 4_096
+# Buckets in which shingles are counted.
+SKETCH = 1 << 15
 
 
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -216,30 +218,55 @@ def _across_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("group", "block", "slice").applyInArrow(kernel, "a long, b long")
 
 
+def _buckets(shingles: np.ndarray) -> np.ndarray:
+    return (mixed(shingles.view(np.uint64)) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def _sketch(rows: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of a fixed number of buckets."""
+
+    def kernel(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SKETCH, np.int64)
+        for batch in batches(rows, 500):
+            joined = b"".join(batch.column("shingles").to_pylist())
+            held += np.bincount(_buckets(np.frombuffer(joined, np.int64)), minlength=SKETCH)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["bucket", "held"])
+
+    counted = rows.select("shingles").mapInArrow(kernel, "bucket long, held long").groupBy("bucket").agg(F.sum("held").alias("held"))
+    sketch = np.zeros(SKETCH, np.int64)
+    for row in counted.collect():  # SKETCH rows at most
+        sketch[row.bucket] = row.held
+    return sketch
+
+
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of each row's set, by their number of sets in its group.
+    """The rarest shingles of each row's set, by a sketch of how often shingles occur.
 
-    Two sets are linked only if one of the ``n - ceil(percent * n / 100) + 1`` rarest shingles
-    of the larger is one of the ``n - ceil(2 * percent * n / (100 + percent)) + 1`` rarest
-    (``short``) of the smaller: those beyond them are too few for the overlap that is needed.
+    Two sets are linked only if one of the ``n - ceil(percent * n / 100) + 1`` first shingles
+    of the larger is one of the ``n - ceil(2 * percent * n / (100 + percent)) + 1`` first
+    (``short``) of the smaller: those beyond them are too few for the overlap that is needed. That
+    holds for any one order of all shingles; rare ones first leave the fewest sets to compare.
     """
+    sketch = _sketch(rows)
+
     def kernel(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 100):
+        for batch in batches(rows, 500):
             sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-            rest = batch.drop_columns(["shingles"]).take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+            first, short = [np.empty(0, np.int64)], [np.empty(0, bool)]
+            for s in sets:
+                most = len(s) + percent * len(s) // -100 + 1
+                few = len(s) + 2 * percent * len(s) // -(100 + percent) + 1
+                first.append(s[np.lexsort((s, sketch[_buckets(s)]))[:most]])
+                short.append(np.arange(most) < few)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in first[1:]])
+            rest = batch.drop_columns(["shingles"]).take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], [*rest.schema.names, "shingle"])
+                [*rest.columns, pa.array(np.concatenate(first)), pa.array(np.concatenate(short))], [*rest.schema.names, "shingle", "short"])
 
     fields = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes if name != "shingles")
     ordered = rows.select(*(c for c in rows.columns if c != "shingles"), "shingles")
-    single = written(ordered.mapInArrow(kernel, f"{fields}, shingle long"))
-    held = single.groupBy("group", "shingle").agg(F.count("*").alias("held"))
-    # A shingle of one set only meets nothing, but takes its place in the order.
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("held", "shingle"))
-    ranked = single.join(held.hint("merge"), ["group", "shingle"]).withColumn("rank", rank)
-    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
-    return ranked.where((F.col("rank") <= most) & (F.col("held") > 1)).withColumn("short", F.col("rank") <= short).drop("rank", "held")
+    return written(ordered.mapInArrow(kernel, f"{fields}, shingle long, short boolean"))
 
 
 def _visits(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -297,7 +324,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     leaders = shape.where("blocks > 1").select(
         F.explode("leaders").alias("id"), "group", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1).alias("at"))
     stays = placed.select("id", "group", F.array("block").alias("at")).unionAll(leaders)
-    grouped = _with_sets(docs, stays, width).select("id", "group", F.explode("at").alias("block"), "shingles")
+    # Texts are moved once, for the sets of all members.
+    own_sets = written(_with_sets(docs, placed.select("id"), width)).hint("merge")
+    grouped = stays.join(own_sets, "id").select("id", "group", F.explode("at").alias("block"), "shingles")
     links = written(_inside_blocks(grouped, percent).where("a <> b"))
     parts = written(components(links))
 
@@ -316,7 +345,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         visits = guests.join(at_key, "key").where("(part <> least or part <> most) and block <> home").select(
             "id", "group", "block").distinct()
         own = apart.join(members.select("id", "n").hint("merge"), "id")
-        able = _visits(_prefixes(_with_sets(docs, own, width), percent), percent)
+        able = _visits(_prefixes(own.join(own_sets, "id"), percent), percent)
         visits = written(visits.join(able.hint("merge"), ["id", "group", "block"], "left_semi"))
         # A task holds a block and a slice of its visitors; the block's members are in each slice.
         slices = written(visits.groupBy("group", "block").agg(F.ceil(F.count("*") / SLICE_VISITORS).alias("slices")))
@@ -327,7 +356,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         hosts = apart.join(slices.hint("merge"), ["group", "block"]).select(
             "id", "group", F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), place).alias("at"),
             F.lit(False).alias("visits"))
-        met = _with_sets(docs, dealt.unionByName(hosts), width).select(
+        met = dealt.unionByName(hosts).join(own_sets, "id").select(
             "id", "group", "visits", F.explode("at").alias("place"), "shingles").select(
             "id", "group", "visits", "place.block", "place.slice", "shingles")
         links = links.unionAll(written(_across_blocks(met, percent)))
