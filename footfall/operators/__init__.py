@@ -5,7 +5,7 @@ the rows are spread; everything else is lazy.
 """
 
 from footfall.operators.breakdowns import breakdown
-from footfall.operators.events import event_types, events_page
+from footfall.operators.events import event_types, events_page, events_page_after
 from footfall.operators.funnels import funnel, funnel_totals
 from footfall.operators.headers import breakdown_header, funnel_header, series_header
 from footfall.operators.identity import identities, with_actor
@@ -17,6 +17,7 @@ __all__ = [
     "breakdown_header",
     "event_types",
     "events_page",
+    "events_page_after",
     "funnel",
     "funnel_header",
     "funnel_totals",

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.functions.times import instant
 from footfall.params import (
+    EPOCH,
     MAX_PAGE_LIMIT,
+    MICROSECOND,
     PAGE_LIMIT,
     Instant,
     TimeRange,
@@ -16,9 +20,11 @@ from footfall.params import (
     parse_filters,
 )
 from footfall.plans.selection import SHALLOW, around_page
-from footfall.sources.events import scope
+from footfall.sources.events import dates_of, scope
 
 PAGE_COLUMNS = ["event_id", "event_type", "occurred_at", "received_at", "metadata"]
+# The first range that a page by position looks at, backwards from it.
+LOOK_BACK = timedelta(days=1)
 ORDER_COLUMNS = ["occurred_at", "received_at", "event_id"]
 
 
@@ -58,6 +64,73 @@ def events_page(
     )
 
 
+def events_page_after(
+    events: DataFrame,
+    organization_id: int,
+    start: Instant | None = None,
+    end: Instant | None = None,
+    event_type: str | None = None,
+    filters: Iterable[str] | None = None,
+    limit: int | None = None,
+    after: str | None = None,
+    now: Instant | None = None,
+) -> DataFrame:
+    """One page by position: the rows that follow the one ``after`` names, with the token of the
+    page's last row in ``next_after`` (NULL on the last page).
+
+    The position becomes a predicate that reaches the scan, so nothing is counted or skipped, and rows
+    that arrive meanwhile move no page. Newer days are looked at first: a range is doubled backwards
+    from the position until it holds a page, and only there rows are ordered.
+    """
+    span = TimeRange.resolve(start, end, now)
+    size = clamp(limit, PAGE_LIMIT, MAX_PAGE_LIMIT)
+    at = _position(after)
+    if at is not None:
+        # Up to the position's microsecond, in which rows may be left.
+        span = TimeRange(span.start, max(span.start + MICROSECOND, min(span.end, EPOCH + (at[0] + 1) * MICROSECOND)))
+    hits = scope(events, organization_id, span, event_type, parse_filters(filters))
+    if at is not None:
+        micros, received, event_id = at
+        occurred, arrived = F.unix_micros("occurred_at"), F.unix_micros("received_at")
+        later = (arrived < received) | ((arrived == received) & (F.col("event_id") < event_id))
+        hits = hits.where((occurred < micros) | ((occurred == micros) & later))
+    days = LOOK_BACK
+    while span.end - days > span.start:
+        near = hits.where(F.col("occurred_at") >= instant(span.end - days))
+        if "event_date" in events.columns:
+            near = near.where(dates_of(TimeRange(span.end - days, span.end)))
+        if near.limit(size + 1).count() > size:
+            hits = near
+            break
+        days *= 2
+    newest = [F.desc(name) for name in ORDER_COLUMNS]
+    fetched = hits.orderBy(*newest).limit(size + 1).select(PAGE_COLUMNS)
+    # At most `size + 1` rows from here on.
+    everything = Window.partitionBy(F.lit(0))
+    place = F.row_number().over(everything.orderBy(*newest))
+    token = F.concat_ws(":", F.unix_micros("occurred_at"), F.unix_micros("received_at"), "event_id")
+    last = F.max(F.when(F.col("_place") == size, token)).over(everything)
+    more = F.count(F.lit(1)).over(everything) > size
+    return (
+        fetched.withColumn("_place", place)
+        .withColumn("next_after", F.when(more, last))
+        .where(F.col("_place") <= size)
+        .orderBy("_place")
+        .drop("_place")
+    )
+
+
+def _position(after: str | None) -> tuple[int, int, str] | None:
+    if after is None:
+        return None
+    micros, _, rest = after.partition(":")
+    received, _, event_id = rest.partition(":")
+    try:
+        return int(micros), int(received), event_id
+    except ValueError:
+        raise ValueError(f"{after!r} is not the next_after of a page") from None
+
+
 def event_types(events: DataFrame, organization_id: int) -> DataFrame:
     """``(event_type, count, last_seen_at)`` for everything the tenant ever sent."""
     return (

@@ -56,12 +56,12 @@ def erase_person_resolved(events: DataFrame, organization_id: int, user_id: str)
         .where(F.col("user_id") == user_id)
         .select(F.lit(organization_id).cast("long").alias("_tenant"), F.col("anonymous_id").alias("_anonymous_id"))
     )
-    nameless = (
-        (F.col("organization_id") == F.col("_tenant"))
-        & (F.col("anonymous_id") == F.col("_anonymous_id"))
-        & F.col("user_id").isNull()
-    )
-    return erase_person(events, organization_id, user_id).join(theirs, nameless, "left_anti")
+    left = erase_person(events, organization_id, user_id)
+    # Only rows of the tenant with an anonymous id and no user can be the person's; the others,
+    # which share no key worth shuffling by, stay out of the join.
+    nameless = of_tenant(organization_id) & F.col("anonymous_id").isNotNull() & F.col("user_id").isNull()
+    same = (F.col("organization_id") == F.col("_tenant")) & (F.col("anonymous_id") == F.col("_anonymous_id"))
+    return without(left, nameless).unionByName(left.where(nameless).join(theirs, same, "left_anti"))
 
 
 def remove_tenant(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.params import Instant, TimeRange, parse_filters
@@ -24,8 +24,10 @@ def summary(
 
     The table is read once: rows become one per user, anonymous id and event type, combined
     before they are sent, with the numbers of the rows that match and the first time of all.
-    Everything else works on those few rows: the owner of an anonymous id is its earliest
-    user, and the first row of each person counts the person.
+    Each of those counts towards its anonymous id, its user and its type, and everything after
+    that is sums per key, in partial sums first: an anonymous id learns its earliest user and
+    whether it has matching rows without one, which makes that user, or else itself, a person.
+    So no key is gathered, however many rows one id has.
     """
     span = TimeRange.resolve(start, end, now)
     hit = wanted(event_type, parse_filters(filters))
@@ -35,26 +37,37 @@ def summary(
         F.max(F.when(hit, F.col("occurred_at"))).alias("last_at"),
         F.min("occurred_at").alias("since"),
     )
-    # Rows without an anonymous id need no owner and go by their user.
-    visitor = Window.partitionBy(F.coalesce("anonymous_id", "user_id"), F.col("anonymous_id").isNull())
-    linked = F.when(F.col("user_id").isNotNull() & F.col("anonymous_id").isNotNull(), F.struct("since", "user_id"))
-    owner = F.min(linked).over(visitor)["user_id"]
-    owned = ids.withColumn("actor", F.coalesce("user_id", owner, "anonymous_id")).where("events > 0")
-    place = F.row_number().over(Window.partitionBy("actor").orderBy("event_type"))
-    return (
-        owned.withColumn("person", F.when(F.col("actor").isNotNull() & (place == 1), 1))
-        .groupBy("event_type")
-        .agg(
-            F.sum("events").alias("events"),
-            F.count("person").alias("people"),
-            F.min("first_at").alias("first_at"),
-            F.max("last_at").alias("last_at"),
-        )
-        .agg(
-            F.coalesce(F.sum("events"), F.lit(0).cast("long")).alias("total_events"),
-            F.coalesce(F.sum("people"), F.lit(0).cast("long")).alias("unique_actors"),
-            F.count(F.lit(1)).alias("distinct_event_types"),
-            F.min("first_at").alias("first_event_at"),
-            F.max("last_at").alias("last_event_at"),
+    named = F.col("user_id").isNotNull()
+    # What a row says of its type, its user and its anonymous id.
+    of_type = F.struct(F.lit("type").alias("kind"), F.col("event_type").alias("key"), F.col("events").alias("hits"))
+    of_user = F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("key"), F.col("events").alias("hits"))
+    of_visitor = F.struct(
+        F.lit("visitor").alias("kind"), F.col("anonymous_id").alias("key"),
+        F.when(named, F.lit(0).cast("long")).otherwise(F.col("events")).alias("hits"))
+    said = ids.withColumn("facet", F.explode(F.array(of_type, of_user, of_visitor))).where("facet.key is not null")
+    visitor = F.col("facet.kind") == "visitor"
+    keys = said.groupBy("facet.kind", "facet.key").agg(
+        F.sum("facet.hits").alias("hits"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        F.min(F.when(visitor & named, F.struct("since", "user_id"))).alias("owner"),
+    )
+    is_type = F.col("kind") == "type"
+    people = (
+        keys.where("hits > 0")
+        .select(
+            is_type.alias("is_type"),
+            F.coalesce("owner.user_id", "key").alias("key"),
+            "hits", "first_at", "last_at",
         )
+        .groupBy("is_type", "key")
+        .agg(F.sum("hits").alias("hits"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    )
+    of_types = lambda column: F.when(F.col("is_type"), F.col(column))
+    return people.agg(
+        F.coalesce(F.sum(of_types("hits")), F.lit(0).cast("long")).alias("total_events"),
+        F.count_if(~F.col("is_type")).alias("unique_actors"),
+        F.count_if(F.col("is_type")).alias("distinct_event_types"),
+        F.min(of_types("first_at")).alias("first_event_at"),
+        F.max(of_types("last_at")).alias("last_event_at"),
     )

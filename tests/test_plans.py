@@ -80,6 +80,21 @@ def test_summary_reads_once_and_reduces_first(events, filters):
     assert "HashAggregate(keys=[user_id" in text[text.rindex("Exchange", 0, scan):scan]
 
 
+def test_summary_gathers_no_busy_id(spark):
+    """One anonymous id with as many users as there are rows, and one user with as many ids."""
+    rows = spark.range(0, 20_000, 1, 8).selectExpr(
+        "cast(id as string) as event_id", "1L as organization_id", "'e' as event_type", "timestamp'2024-01-05' as occurred_at",
+        "timestamp'2024-01-05' as received_at", "'{}' as metadata", "if(id % 2 = 0, concat('u-', id), 'busy') as user_id",
+        "if(id % 2 = 0, 'undefined', concat('a-', id)) as anonymous_id", "cast(null as string) as actor_id")
+    asked = op.summary(rows, 1, *MONTH)
+    assert asked.first().unique_actors == 10_001
+    text = final_plan(asked)
+    assert "Window" not in text and "Join" not in text
+    # Whatever is sent by a key was added up for the key before.
+    for sent in re.findall(r"Exchange hashpartitioning.*\n(.*)", text):
+        assert "Aggregate" in sent, sent
+
+
 def test_small_funnel_shuffles_people_once(events):
     text = initial_plan(op.funnel(events, 1, ["view", "click", "signup", "purchase"], None, *MONTH))
     # People, the links (pairs, then ids), and the single row at the end.

@@ -1,3 +1,4 @@
+import random
 from datetime import timedelta
 
 import pytest
@@ -174,3 +175,24 @@ def test_another_session_zone_is_refused(spark, make):
             op.time_series(events, 1, **SPAN)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_pages_by_position_are_those_by_offset(make):
+    """Chained to the end, ties in time and in receipt included; rows that come later move none."""
+    rng = random.Random(4)
+    for _ in range(60):
+        make.add(after=timedelta(minutes=rng.choice([0, 0, 0, 7, 60 * 24 * 3, -60 * 24 * 10])), actor="a")
+    events = make.table()
+    whole = [r.event_id for r in op.events_page(events, 1, **SPAN, limit=1000).collect()]
+    seen, token = [], None
+    while True:
+        page = op.events_page_after(events, 1, **SPAN, limit=13, after=token).collect()
+        seen += [r.event_id for r in page]
+        token = page[0].next_after
+        if token is None:
+            break
+        events = make.add(at=utc(2026, 5, 20)).table()  # newer than all
+    assert seen == whole and len(seen) == 60
+    assert op.events_page_after(events, 1, **SPAN, filters=["no:such"]).collect() == []
+    with pytest.raises(ValueError):
+        op.events_page_after(events, 1, **SPAN, after="yesterday")
