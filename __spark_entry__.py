@@ -183,6 +183,13 @@ def _monthly(spark: SparkSession, folder: str) -> DataFrame:
     return sample.sample_events(spark, folder).withColumns({"occurred_at": month, "received_at": month})
 
 
+def _second_page(events: DataFrame, tenant: int) -> DataFrame:
+    """The page that follows the position at which the first page ends."""
+    first = op.events_page_after(events, tenant, *MONTH, limit=40)
+    token = first.agg(F.max("next_after")).first()[0]
+    return op.events_page_after(events, tenant, *MONTH, limit=40, after=token).drop("next_after")
+
+
 def _in_batches(events: DataFrame) -> DataFrame:
     """The same events as three batches store them; rows of a day are in each."""
     return events.withColumn("ingest_batch", F.concat(F.lit("b"), F.pmod(F.hash("event_id"), F.lit(3))))
@@ -277,6 +284,7 @@ def _queries() -> dict[str, Query]:
             e, t, *MONTH, filters=["country:US"], limit=50, offset=60, shallow=20)),
         "events_page_ties": _per_tenant(lambda e, t: op.events_page(e, t, *MONTH, limit=50, offset=250, shallow=20), _monthly),
         "event_types": _per_tenant(op.event_types),
+        "events_page_after": _per_tenant(_second_page),
         # The same from days, as batches added them up
         "event_types_days": _per_tenant(lambda e, t: partials.event_types_of_days(_daily(e), t)),
         "tenant_audit_days": _on(lambda e: partials.audit_of_days(_daily(e))),
@@ -578,6 +586,7 @@ def _oracle_sql() -> dict[str, str]:
         "events_page": _page_sql(100, 0),
         "events_page_ties": _page_sql(50, 250, table=EVENTS.replace("t.ts as occurred_at", "date_trunc('month', t.ts) as occurred_at")
             .replace("t.ts + interval 1 second", "date_trunc('month', t.ts)::timestamp")),
+        "events_page_after": f"select * exclude next_offset from ({_page_sql(40, 40)})",
         "events_page_offset": _page_sql(50, 60, _holds(country="US")),
         "event_types": f"""with {EVENTS} select organization_id, event_type, count(*) as count,
             max(occurred_at) as last_seen_at from ev group by organization_id, event_type""",

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.times import instant
 from footfall.params import (
     EPOCH,
     MAX_PAGE_LIMIT,
@@ -19,12 +17,10 @@ from footfall.params import (
     clamp,
     parse_filters,
 )
-from footfall.plans.selection import SHALLOW, around_page
-from footfall.sources.events import dates_of, scope
+from footfall.plans.selection import SHALLOW, around_page, newest_with
+from footfall.sources.events import scope
 
 PAGE_COLUMNS = ["event_id", "event_type", "occurred_at", "received_at", "metadata"]
-# The first range that a page by position looks at, backwards from it.
-LOOK_BACK = timedelta(days=1)
 ORDER_COLUMNS = ["occurred_at", "received_at", "event_id"]
 
 
@@ -79,8 +75,8 @@ def events_page_after(
     page's last row in ``next_after`` (NULL on the last page).
 
     The position becomes a predicate that reaches the scan, so nothing is counted or skipped, and rows
-    that arrive meanwhile move no page. Newer days are looked at first: a range is doubled backwards
-    from the position until it holds a page, and only there rows are ordered.
+    that arrive meanwhile move no page. Only the short time before the position that holds a
+    page is ordered.
     """
     span = TimeRange.resolve(start, end, now)
     size = clamp(limit, PAGE_LIMIT, MAX_PAGE_LIMIT)
@@ -94,17 +90,9 @@ def events_page_after(
         occurred, arrived = F.unix_micros("occurred_at"), F.unix_micros("received_at")
         later = (arrived < received) | ((arrived == received) & (F.col("event_id") < event_id))
         hits = hits.where((occurred < micros) | ((occurred == micros) & later))
-    days = LOOK_BACK
-    while span.end - days > span.start:
-        near = hits.where(F.col("occurred_at") >= instant(span.end - days))
-        if "event_date" in events.columns:
-            near = near.where(dates_of(TimeRange(span.end - days, span.end)))
-        if near.limit(size + 1).count() > size:
-            hits = near
-            break
-        days *= 2
+    near = newest_with(hits, span, size + 1)
     newest = [F.desc(name) for name in ORDER_COLUMNS]
-    fetched = hits.orderBy(*newest).limit(size + 1).select(PAGE_COLUMNS)
+    fetched = near.orderBy(*newest).limit(size + 1).select(PAGE_COLUMNS)
     # At most `size + 1` rows from here on.
     everything = Window.partitionBy(F.lit(0))
     place = F.row_number().over(everything.orderBy(*newest))

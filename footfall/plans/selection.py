@@ -15,6 +15,8 @@ SHALLOW = 10_000
 # Slices of time per counting pass, and so the rows the driver sees of each.
 SLICES = 4096
 DAY_MICROS = 86_400_000_000
+# The first look back for a few rows.
+FIRST_LOOK = DAY_MICROS // 24
 # By how much more each further look back reaches, and characters of an id looked at a time.
 FURTHER, PREFIX_STEP = 4, 2
 # Bands per e-fold of duration: a band spans a ten-thousandth of its values.
@@ -27,17 +29,19 @@ def around_page(
     """Only those rows, newest first, among which a page lies, and how many of them to
     skip still: ``shallow`` at most, unless rows are equal in the whole order.
 
+    A page near the newest row lies in a short time that holds it, and is not counted for.
+    For others:
     Sorting reads every column of every row and keeps all that is skipped in memory.
     Counting reads one column. Days are counted from the newest back until they hold the
     page, then slices of time within them, at most SLICES counts a pass, down to a single
     microsecond; if rows of that instant are still too many they are cut in turn by the time
     they were received, and then by their ids, from prefix to prefix.
     """
+    if skip + take <= shallow:
+        return newest_with(rows, span, skip + take), skip
     low = _far_enough(rows, span, skip + take)
     at = F.unix_micros("occurred_at")
-    inside = rows.where(F.col("occurred_at").between(instant(low), instant(span.end_micros - 1)))
-    if "event_date" in rows.columns:
-        inside = inside.where(F.col("event_date") >= F.to_date(instant(low)))
+    inside = since(rows, low, span)
     newest, skip, found = _newest_slice(inside, at, low, span.end_micros, skip, shallow)
     if not found:
         # The page lies behind the last row.
@@ -51,6 +55,28 @@ def around_page(
     return inside.where(page), skip
 
 
+def since(rows: DataFrame, low: int, span: TimeRange) -> DataFrame:
+    """The rows from ``low`` microseconds to the end of the range."""
+    inside = rows.where(F.col("occurred_at").between(instant(low), instant(span.end_micros - 1)))
+    if "event_date" in rows.columns:
+        inside = inside.where(F.col("event_date").between(F.to_date(instant(low)), F.to_date(instant(span.end_micros - 1))))
+    return inside
+
+
+def newest_with(rows: DataFrame, span: TimeRange, wanted: int) -> DataFrame:
+    """The newest part of the range that holds so many rows, or all of it.
+
+    A look stops at the last row that is wanted; the next one reaches further back.
+    """
+    step = FIRST_LOOK
+    while (low := span.end_micros - step) > span.start_micros:
+        part = since(rows, low, span)
+        if part.limit(wanted).count() == wanted:
+            return part
+        step *= FURTHER
+    return rows
+
+
 def _far_enough(rows: DataFrame, span: TimeRange, wanted: int) -> int:
     """The start of the newest part of the range that holds so many rows, or of the range.
 
