@@ -13,7 +13,7 @@ the article (menus, forms, adverts, ..., known by tag, role, class or id) are cu
   heading, list, quotation, table or the like with little link text, or is a container with a
   good part of the greatest density sum.
 
-Where a page names its articles, the greatest sum is looked for inside them, and the one article
+A block of hardly anything but links is left out. Where a page names its articles, the greatest sum is looked for inside them, and the one article
 that holds it is taken as a whole. The rule reads one page at a time; pages are dealt to tasks by
 Spark, and no page needs another.
 """
@@ -66,6 +66,8 @@ ABOUT = frozenset("has no with without is not".split())
 PARAGRAPHS = frozenset("address blockquote center dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre table ul".split())
 # A container beside the path needs this part of the greatest density sum.
 GOOD_PART = 0.25
+# From this part of link characters on, a block of two or more links is a menu.
+MENU_PART = 0.75
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -246,7 +248,8 @@ def _chosen(page: Page, cut: list[bool]) -> tuple[int, set[int]]:
             return True
         return density[i] >= threshold and (page.tag[i] in PARAGRAPHS or total[i] >= GOOD_PART * total[best])
 
-    root, left_out = best, set()
+    # A block of hardly anything but links is a menu, wherever it stands.
+    root, left_out = best, {i for i in blocks if links[i] > 1 and link_chars[i] >= MENU_PART * chars[i] and i not in path}
     for k in range(1, top + 1):
         beside = [x for x in page.items[path[k]] if isinstance(x, int) and x != path[k - 1]]
         joins = [i for i in beside if belongs(i)]
