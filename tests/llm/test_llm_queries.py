@@ -25,10 +25,16 @@ def database():
     return connection
 
 
+def text_of(column, value):
+    """A whole number with gaps beside it comes as a float from one engine."""
+    if pd.isna(value):
+        return ""
+    return str(value)[:10] if "fetched" in column else str(int(value) if column == "parent_conv_id" else value)
+
+
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple(str(v)[:10] if "fetched" in c else str(v) for c, v in zip(frame.columns, row))
-                  for row in frame.itertuples(index=False) if not any(pd.isna(v) for v in row))
+    return sorted(tuple(map(text_of, frame.columns, row)) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", SQL)
