@@ -7,6 +7,7 @@ own docstrings; :func:`one_row_per_document` is the rule that most of them name.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,8 +41,13 @@ def own_folder() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate tables in the shared folder that the cluster names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+    """A new folder for intermediate tables in the shared folder that the cluster names. Only a
+    session of one machine may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = own_folder()
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
