@@ -337,11 +337,13 @@ def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, bat
         valid = classified.where(F.col("outcome") == "valid")
         at = F.unix_micros("occurred_at")
         sums = valid.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(at), F.lit(0)).alias("low"), F.coalesce(F.max(at), F.lit(0)).alias("high")).first()
-        new = unseen(first_deliveries(valid), store.read(spark), keys=valid, small=sums.n <= BROADCAST_ROWS)
-        fresh = as_stored(new).select(EVENTS.names).persist()
-        # Looked up before the rows of this run are there.
-        before = of_batch(spark, store, batch, sums.low, sums.high)
-        store.append(fresh, batch, before.unionByName(fresh))
+        if sums.n:
+            new = unseen(first_deliveries(valid), store.read(spark), keys=valid, small=sums.n <= BROADCAST_ROWS)
+            fresh = as_stored(new).select(EVENTS.names).persist()
+            # Looked up before the rows of this run are there.
+            before = of_batch(spark, store, batch, sums.low, sums.high)
+            store.append(fresh, batch, before.unionByName(fresh))
+            fresh.unpersist()
         rejected = classified.where(F.col("outcome") == "rejected")
         if not rejected.isEmpty():
             store.add_dead_letters(rejected.select(LETTER), batch)
@@ -349,7 +351,6 @@ def store_batch(messages: DataFrame, organizations: DataFrame, store: Store, bat
         # writes only what the first did not.
         counts = audit_counts(classified, F.lit(of_batch(spark, store, batch, sums.low, sums.high).count()))
         store.add_audit(counts.where("received > 0"), batch)
-        fresh.unpersist()
     finally:
         classified.unpersist()
 
