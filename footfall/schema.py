@@ -115,3 +115,18 @@ ARRIVALS = T.StructType(
         T.StructField("valid", T.LongType()),
     ]
 )
+
+# A message that was not stored, and why; `day` is the partition column.
+LETTERS = T.StructType(
+    [
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("value", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("ingest_batch", T.StringType()),
+        T.StructField("day", T.DateType()),
+    ]
+)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from footfall.operators.ingest import POSITION
 from footfall.operators.maintenance import without
 from footfall.operators.partials import daily_counts, daily_links
-from footfall.schema import AUDIT, BATCH_AUDIT, DAILY, LINKS, NOBODY, STORED_EVENTS
+from footfall.schema import AUDIT, BATCH_AUDIT, DAILY, LETTERS, LINKS, NOBODY, STORED_EVENTS
 from footfall.sources.events import append_events, read_events, write_dates
 
 
@@ -108,7 +108,7 @@ class Store:
         return rows.groupBy("ingest_batch").agg(*(F.max(name).alias(name) for name in AUDIT.names)).select(AUDIT.names)
 
     def read_dead_letters(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.dead_letters).dropDuplicates(["ingest_batch", "topic", *POSITION])
+        return read_table(spark, LETTERS, self.dead_letters).dropDuplicates(["ingest_batch", "topic", *POSITION])
 
     def append(self, events: DataFrame, ingest_batch: str, of_batch: DataFrame | None = None) -> None:
         """Add a batch's rows, and what they add to the days they belong to.
@@ -232,7 +232,7 @@ def finish_rewrite(spark: SparkSession, store: Store) -> None:
 def fold_dead_letters(spark: SparkSession, store: Store, days: Column) -> None:
     """Put the files of closed days into few. ``days`` is a condition on ``day``; a day must
     not get any more letters, or wait for the next fold, while it is folded."""
-    rows = spark.read.parquet(store.dead_letters).where(days).dropDuplicates(["ingest_batch", "topic", *POSITION])
+    rows = store.read_dead_letters(spark).where(days)
     folder = f"{store.rewrite}/dead_letters"
     rows.write.mode("overwrite").parquet(folder)
     spark.read.schema(rows.schema).parquet(folder).hint("rebalance", "day").write.mode("overwrite").option(

@@ -188,6 +188,7 @@ def test_dead_letters_fold(spark, tmp_path):
     store = Store(str(tmp_path / "store"))
     letters = spark.range(0, 20, 1, 4).selectExpr("'t' as topic", "0 as partition", "id as offset", "'1' as key", "'{' as value",
                                                   "timestamp'2026-05-01' + make_dt_interval(cast(id % 2 as int)) as timestamp", "'r' as reason")
+    assert store.read_dead_letters(spark).count() == 0
     for batch in ("b0", "b1", "b1"):
         store.add_dead_letters(letters, batch)
     assert store.read_dead_letters(spark).count() == 40
