@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The white space that separates words: space, \t, \n, \v, \f, \r. The same six bytes separate
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 # Python kernels hold a batch, its words and their hashes at once.
 BATCH_BYTES = "8m"
+# Keys that a join splits: how many at most, from how many rows on, and into how many parts.
+HOT_KEYS, HOT_ROWS, HOT_PARTS = 1_000, 500, 64
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +60,27 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``keys`` with ``facts``, which has one row a key and its number of rows
+    in ``copies``; rows of a hot key are dealt into parts by the hash of their ``by`` columns.
+
+    Hot are the ``HOT_KEYS`` most frequent keys, as far as they have more than ``HOT_ROWS`` rows.
+    Any other key has less than one row in ``HOT_KEYS``, and the list, of 64-bit hashes that are
+    broadcast, has that many entries at most.
+    """
+    hot = (facts.where(F.col("copies") > HOT_ROWS).select(F.xxhash64(*keys).alias("_hot"), "copies")
+           .orderBy(F.desc("copies"), "_hot").limit(HOT_KEYS).select("_hot").distinct())
+
+    def parted(side: DataFrame, parts: Column) -> DataFrame:
+        marked = side.join(F.broadcast(hot), F.xxhash64(*keys) == F.col("_hot"), "left")
+        own = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(parts)
+        return marked.withColumn("_part", F.explode(own)).drop("_hot")
+
+    one = parted(rows, F.array(F.pmod(F.xxhash64(*by), F.lit(HOT_PARTS)).cast("int")))
+    each = parted(facts, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1)))
+    return one.join(each.hint("merge"), [*keys, "_part"], how).drop("_part")
+
+
 def one_row_per_document(docs: DataFrame) -> DataFrame:
     """One row for each distinct non-null ``doc_id``: its smallest text, null counts as empty.
 

@@ -1,13 +1,14 @@
-"""Line dedup: multi-line chunks that occur before are removed.
-
-A text's lines are cut into chunks where a rolling hash over the hashes of three lines is a
-multiple of ``EVERY``. Borders depend on the lines around them alone, so a passage that is
-shifted, or stands between other lines, is cut in the same places. Chunks of two lines or more
-are grouped by hash and then by their bytes; the first occurrence of each stays.
-
-Chunks miss passages whose borders fall with the lines around them. ``remove_repeated_runs``
-misses none: any run of two written lines or more that occurs earlier is made of pairs of
-neighbouring written lines that occur earlier, and every such pair is looked up.
+"""Line dedup: runs of lines that occur before are removed.
+
+A text's written lines make pairs of neighbours, with the blank lines between them. A rolling
+hash over the hashes of a pair's lines decides whether a chunk ends there, so borders follow
+the lines alone: a passage that is shifted, or stands between other lines, is cut in the same
+places. Neighbouring chunks share the line at their border, so each has two lines or more and
+each pair lies in one chunk. Of equal chunks all but the first are copies, whatever their
+number, and their pairs need no further look. At the ends of a passage, where chunks reach into
+the text around it, the pairs of the remaining chunks are looked up as chunks of their own. So
+no repeated run of two written lines is missed, and what goes is the same for every ``EVERY``.
+Everything that is cut was compared with its first occurrence by bytes.
 """
 
 from __future__ import annotations
@@ -15,139 +16,107 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import written
+from footfall.llm.common import spread_join, written
 
-EVERY = 3
-# Factors of the rolling hash, for the line itself and the two before it.
-FACTORS = (1, 31, 961)
+# One pair in so many ends a chunk.
+EVERY = 4
 
 
 def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def line_hash(line: Column) -> Column:
-    """28 bits of a line's MD5."""
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
-
-
-def chunk_spans(lines: Column, every: int = EVERY) -> Column:
-    """``(first, n)`` of each chunk: its first line, counted from 0, and its number of lines."""
-
-    def of_hashes(hashes: Column) -> Column:
-        rolling = lambda i: sum(
-            (F.coalesce(F.get(hashes, i - k), F.lit(0)) * factor for k, factor in enumerate(FACTORS)), F.lit(0))
-        last = F.size(hashes) - 1
-        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolling(i) % every == 0))
-        return _bound(ends, lambda e: F.transform(e, lambda end, k: _span(F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), end)))
+def _joined(lines: Column, first: Column, last: Column) -> Column:
+    """The lines from ``first`` to ``last``, blank ones too."""
+    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
 
-    return _bound(F.transform(lines, line_hash), of_hashes)
 
+def _pairs(lines: Column) -> Column:
+    """``(first, last, hash)`` of each written line, counted from 0, and the next written one."""
+    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
 
-def _span(first: Column, end: Column) -> Column:
-    return F.struct(first.alias("first"), (end - first + 1).alias("n"))
-
-
-def _chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of two or more lines that are not blank: their place, hash, size and text."""
-    lines = docs.select("doc_id", F.split("text", "\n").alias("lines"))
-    placed = lines.select("doc_id", "lines", F.explode(chunk_spans(F.col("lines"))).alias("chunk"))
-    own = F.slice("lines", F.col("chunk.first") + 1, F.col("chunk.n"))
-    full = F.size(F.filter(own, lambda line: F.trim(line) != "")) > 1
-    texts = placed.where(F.col("chunk.n") > 1).where(full).select(
-        "doc_id", "chunk.first", "chunk.n", F.array_join(own, "\n").alias("chunk_text"))
-    return texts.select(
-        "doc_id", "first", "n", "chunk_text",
-        F.xxhash64("chunk_text").alias("hash"), F.octet_length("chunk_text").alias("size"))
-
+    def of_places(hashes: Column, p: Column) -> Column:
+        return F.filter(F.transform(p, lambda i, k: _bound(F.get(p, k + 1), lambda end: F.when(end.isNotNull(), F.struct(
+            i.alias("first"), end.alias("last"),
+            F.xxhash64(F.slice(hashes, i + 1, end - i + 1)).alias("hash"))))), lambda pair: pair.isNotNull())
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, first, n)`` of chunks that occur earlier: in a smaller id, or above.
+    return _bound(F.transform(lines, lambda line: F.xxhash64(line)), lambda h: _bound(places, lambda p: of_places(h, p)))
 
-    Grouping by the text itself compares bytes; equal chunks meet in partial groups first. A
-    chunk is left alone if its hash and size are also those of another text.
-    """
-    texts = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = _chunks(texts)
-    same = chunks.groupBy("hash", "size", "chunk_text").agg(
-        F.min(F.struct("doc_id", "first")).alias("earliest"), F.count("*").alias("copies"))
-    keys = same.groupBy("hash", "size").agg(
-        F.count("*").alias("texts"), F.min("earliest").alias("earliest"), F.max("copies").alias("copies"))
-    repeated = written(keys.where("texts = 1 and copies > 1").select("hash", "size", "earliest"))
-    places = written(chunks.select("doc_id", "first", "n", "hash", "size"))
-    found = places.join(repeated, ["hash", "size"])
-    return found.where(F.struct("doc_id", "first") != F.col("earliest")).select("doc_id", "first", "n")
 
+def line_chunks(lines: Column, every: int = EVERY) -> Column:
+    """``(one, two, first, last, pairs)`` of each chunk: two hashes of its text, its first and
+    last line, and its pairs. None of a text with fewer than two written lines."""
 
-def _pairs(lines: Column) -> Column:
-    """``(first, last)`` of each written line, counted from 0, and the next written one."""
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) != "")
-    return _bound(places, lambda p: F.filter(
-        F.transform(p, lambda i, k: F.struct(i.alias("first"), F.get(p, k + 1).alias("last"))),
-        lambda pair: pair["last"].isNotNull()))
+    def of_pairs(pairs: Column) -> Column:
+        final = F.size(pairs) - 1
+        ends = F.filter(
+            F.transform(pairs, lambda pair, k: F.when((k == final) | (F.pmod(pair["hash"], F.lit(every)) == 0), k)),
+            lambda k: k.isNotNull())
+        return _bound(ends, lambda e: F.transform(e, lambda end, c: _bound(
+            F.coalesce(F.get(e, c - 1) + 1, F.lit(0)), lambda start: F.slice(pairs, start + 1, end - start + 1))))
 
+    def named(own: Column) -> Column:
+        first, last = own[0]["first"], F.element_at(own, -1)["last"]
+        return _bound(_joined(lines, first, last), lambda text: F.struct(
+            F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"),
+            first.alias("first"), last.alias("last"), own.alias("pairs")))
 
-def _joined(lines: Column, pair: Column) -> Column:
-    """The lines of a pair and the blank ones between them."""
-    return F.array_join(F.slice(lines, pair["first"] + 1, pair["last"] - pair["first"] + 1), "\n")
+    return F.transform(_bound(_pairs(lines), of_pairs), named)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, mark, first, n)`` of pairs of written lines that occur earlier: in a smaller
-    id, or above; ``mark`` is a hash of the row's text.
+def repeated_runs(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """``(doc_id, mark, first, n)`` of chunks, and of pairs in other chunks, that occur earlier:
+    in a smaller id, or above; ``mark`` is a hash of the row's text.
 
-    Only pairs whose 64-bit hash occurs again are brought together with their text, by which
-    they are compared. Pairs of one run overlap, and a pair may overlap its earlier occurrence.
+    Hashes travel first, without text. Chunks with the same 128 bits as an earlier one are set
+    aside; of the others the pairs whose 64-bit hash occurs again, and of all chunks those that
+    are repeated, are brought together with their text and grouped by it. Spans of one run
+    overlap, and a span may overlap its earlier occurrence.
     """
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     lines = F.split("text", "\n")
-    hashed = _bound(lines, lambda all_lines: F.transform(_pairs(all_lines), lambda pair: F.struct(
-        pair["first"].alias("first"), pair["last"].alias("last"), F.xxhash64(_joined(all_lines, pair)).alias("hash"))))
-    places = written(texts.select("doc_id", "mark", F.inline(hashed)))
-    again = places.groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1").select("hash")
-    suspect = places.join(again.hint("merge"), "hash").groupBy("doc_id", "mark").agg(
-        F.collect_set(F.struct("first", "last")).alias("pairs"))
-    shown = texts.join(suspect.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", F.inline(_bound(
-        lines, lambda all_lines: F.transform("pairs", lambda pair: F.struct(
-            pair["first"].alias("first"), pair["last"].alias("last"), _joined(all_lines, pair).alias("pair_text"))))))
-    shown = written(shown)
-    same = shown.groupBy("pair_text").agg(
-        F.min(F.struct("doc_id", "mark", "first")).alias("earliest"), F.count("*").alias("copies")).where("copies > 1")
-    found = shown.join(same.hint("merge"), "pair_text").where(F.struct("doc_id", "mark", "first") != F.col("earliest"))
+    place = F.struct("doc_id", "mark", "first")
+    counted = (F.min(place).alias("earliest"), F.count("*").alias("copies"))
+
+    chunks = written(texts.select("doc_id", "mark", F.inline(_bound(lines, lambda x: line_chunks(x, every)))))
+    same = written(chunks.groupBy("one", "two").agg(*counted).where("copies > 1"))
+    judged = spread_join(chunks, same, ["one", "two"], ["doc_id", "mark", "first"], "left")
+    # A repeated chunk as a whole, without a hash; and the pairs of all chunks but copies.
+    span = F.struct("first", "last", F.lit(None).cast("long").alias("hash"))
+    spans = F.when(F.col("earliest").isNotNull(), F.array(span))
+    pairs = F.when(F.col("earliest").isNull() | (place == F.col("earliest")), F.col("pairs"))
+    places = written(judged.select("doc_id", "mark", F.inline(
+        F.flatten(F.filter(F.array(spans, pairs), lambda x: x.isNotNull())))))
+
+    again = written(places.where("hash is not null").groupBy("hash").agg(F.count("*").alias("copies")).where("copies > 1"))
+    suspect = spread_join(places.where("hash is not null"), again, ["hash"], ["doc_id", "mark", "first"]).select(
+        "doc_id", "mark", "first", "last").unionAll(places.where("hash is null").select("doc_id", "mark", "first", "last"))
+    suspect = suspect.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    shown = written(texts.join(suspect.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", F.inline(_bound(
+        lines, lambda x: F.transform("spans", lambda s: F.struct(
+            s["first"].alias("first"), s["last"].alias("last"), _joined(x, s["first"], s["last"]).alias("span_text")))))))
+    first = written(shown.groupBy("span_text").agg(*counted).where("copies > 1"))
+    found = spread_join(shown, first, ["span_text"], ["doc_id", "mark", "first"]).where(place != F.col("earliest"))
     return found.select("doc_id", "mark", "first", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
-def remove_repeated_runs(docs: DataFrame) -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """``docs`` without lines in runs of two written lines or more that occur earlier, wherever
-    a run begins or ends and whatever stands around it; ``n_lines`` and ``n_removed`` as in
-    :func:`remove_repeated_chunks`.
+    a run begins or ends and whatever stands around it; and ``n_lines``, ``n_removed``.
 
-    Every line that goes has an equal one that stays. Blank lines go inside of a run only. A
-    row gives a row; rows of one id and one text count as one occurrence.
+    Lines end at ``\\n``; what is left is joined by it again. Every line that goes has an equal
+    one that stays. Blank lines go inside of a run only. A row gives a row: a null id or a null
+    text stays as it is, and rows of one id and one text count as one occurrence. All other
+    columns are handed on; columns named ``n_lines`` or ``n_removed`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    cuts = repeated_runs(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("_cuts"))
+    cuts = repeated_runs(docs, every).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("_cuts"))
     cuts = cuts.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
     here = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
     return _without(docs.columns, docs.join(cuts, here, "left"))
 
 
-def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``docs`` with their repeated chunks cut out of ``text``, and ``n_lines``, ``n_removed``.
-
-    Lines end at ``\\n``; what is left is joined by it again. A row gives a row: a null id or a
-    null text stays as it is, rows of one id lose the same lines, of which the first row in
-    the same place counts as the first occurrence. All other columns are handed on; columns
-    named ``n_lines`` or ``n_removed`` are replaced.
-    """
-    docs = docs.drop("n_lines", "n_removed")
-    cuts = repeated_chunks(docs).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("first", "n"))).alias("_cuts"))
-    return _without(docs.columns, docs.join(cuts.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left"))
-
-
 def _without(columns: list[str], joined: DataFrame) -> DataFrame:
     """``columns`` of rows whose ``_cuts`` list the ``(first, n)`` that go from ``text``."""
     lines = F.split("text", "\n")

@@ -14,7 +14,7 @@ from footfall.llm.common import table
 from footfall.llm.conversation_trie import prefix_trie
 from footfall.llm.decontamination import contaminated
 from footfall.llm.html_text import extract_text
-from footfall.llm.line_dedup import remove_repeated_chunks
+from footfall.llm.line_dedup import remove_repeated_runs
 from footfall.llm.near_duplicates import near_duplicates
 from footfall.llm.packing import pack
 from footfall.llm.quality import judge_quality
@@ -129,7 +129,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    left = remove_repeated_chunks(docs)
+    left = remove_repeated_runs(docs)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

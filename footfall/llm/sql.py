@@ -62,25 +62,21 @@ select c.page_id, c.fetched, count(distinct m.list) as n_lists,
 from captures c left join matched m on m.page_id = c.page_id and m.listed group by all
 """
 
-LINE_DEDUP = rf"""
-with lined as (select doc_id, string_split(text, chr(10)) as l from documents),
-lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as i, len(l) as n from lined),
-rolled as (
-  select *, {HASH.format("line")} as h,
-    (h + 31 * coalesce(lag(h) over w, 0) + 961 * coalesce(lag(h, 2) over w, 0)) % 3 = 0 or i = n - 1 as ends
-  from lines window w as (partition by doc_id order by i)),
-cut as (
-  select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk
-  from rolled),
-chunks as (
-  select doc_id, chunk, string_agg(line, chr(10) order by i) as body, count(*) as lines, count(*) filter (trim(line) <> '') as written
-  from cut group by all),
-judged as (
-  select *, written > 1 and row_number() over (partition by body order by doc_id, chunk) > 1 as gone
-  from chunks)
-select doc_id, sum(lines)::bigint as n_lines, coalesce(sum(lines) filter (gone), 0)::bigint as n_removed,
-  sha256(coalesce(string_agg(body, chr(10) order by chunk) filter (not gone), '')) as kept_sha256
-from judged group by doc_id
+LINE_DEDUP = """
+with lined as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l, text is null as none from documents),
+lines as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from lined),
+neighbours as (
+  select doc_id, i as a, lead(i) over (partition by doc_id order by i) as b from lines where trim(line) <> ''),
+pairs as (
+  select doc_id, a, b, array_to_string(l[a:b], chr(10)) as body from neighbours join lined using (doc_id) where b is not null),
+again as (select doc_id, a, b from pairs qualify row_number() over (partition by body order by doc_id, a) > 1),
+gone as (select distinct doc_id, unnest(range(a, b + 1)) as i from again),
+kept as (
+  select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as t
+  from lines anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, if(none, 0, len(l))::bigint as n_lines, (len(l) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(t, '')) as kept_sha256
+from lined d left join kept using (doc_id)
 """
 
 SUBSTRING_DEDUP = r"""

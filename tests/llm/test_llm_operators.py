@@ -19,7 +19,7 @@ from footfall.llm import near_duplicates as near
 from footfall.llm import packing, quality, stages, substrings, token_counts, toxicity
 from footfall.llm.components import components, star_components
 from footfall.llm.decontamination import contaminated, decontaminate
-from footfall.llm.line_dedup import remove_repeated_chunks
+from footfall.llm.line_dedup import line_chunks, remove_repeated_runs, repeated_runs
 from footfall.llm.secrets import as_text, find_secrets
 from footfall.llm.url_filters import judge_captures, keys_of, validity
 from footfall.llm.word_tokens import WordTokens
@@ -59,7 +59,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "some words without an id"), (4
     (lambda d: packing.pack(d, WORDS).groupBy("doc_id", "doc_tokens").count(), None),
     (lambda d: near.near_duplicates(d), 5),
     (lambda d: toxicity.score_toxicity(d, toxicity.Model(np.empty(0, np.int64), np.empty(0), 0.0, 0.25)), 7),
-    (lambda d: remove_repeated_chunks(d), 7),
+    (lambda d: remove_repeated_runs(d), 7),
     (lambda d: decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text").limit(0)), 7),
 ], ids=["secrets", "tokens", "quality", "substrings", "packing", "near", "toxicity", "lines", "benchmark"])
 def test_odd_rows(spark, operator, some, rows):
@@ -530,41 +530,50 @@ def test_nothing_to_learn(spark):
 # --- lines --------------------------------------------------------------------
 
 
-def chunks_by_hand(text):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    chunk, out = [], []
-    for i, line in enumerate(lines):
-        chunk.append(line)
-        if (h[i] + 31 * (h[i - 1] if i else 0) + 961 * (h[i - 2] if i > 1 else 0)) % 3 == 0 or i == len(lines) - 1:
-            out.append(chunk)
-            chunk = []
-    return out
+def runs_by_hand(rows):
+    """Texts without pairs of neighbouring written lines seen before, and the lines gone."""
+    seen, want = set(), {}
+    for doc, text in rows:
+        own, gone = text.split("\n"), set()
+        full = [i for i, x in enumerate(own) if x.strip(" ")]
+        for a, b in zip(full, full[1:]):
+            key = "\n".join(own[a : b + 1])
+            if key in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(key)
+        want[doc] = ("\n".join(x for i, x in enumerate(own) if i not in gone), len(own), len(gone))
+    return want
 
 
-def test_line_chunks(spark):
+@pytest.mark.parametrize("every", [1, 4, 1_000])
+def test_line_chunks(spark, every, monkeypatch):
+    monkeypatch.setattr("footfall.llm.common.HOT_ROWS", 5)
     rng = random.Random(6)
     lines = [f"line {i}" for i in range(300)]
-    passages = [rng.choices(lines, k=rng.randint(2, 15)) for _ in range(6)]
+    passages = [rng.choices([*lines, ""], k=rng.randint(2, 15)) for _ in range(6)]
     rows = []
     for doc in range(60):
         text = []
         for _ in range(rng.randint(0, 4)):
-            text += rng.choice(passages) if rng.random() < 0.5 else rng.choices([*lines, ""], k=rng.randint(1, 6))
+            text += rng.choice(passages) if rng.random() < 0.5 else rng.choices([*lines, "", " "], k=rng.randint(1, 6))
         rows.append((doc, "\n".join(text)))
-    seen, want = set(), {}
-    for doc, text in rows:
-        left, gone = [], 0
-        for chunk in chunks_by_hand(text):
-            key = tuple(chunk)
-            if sum(bool(x.strip(" ")) for x in chunk) > 1 and key in seen:
-                gone += len(chunk)
-            else:
-                left += chunk
-            seen.add(key)
-        want[doc] = ("\n".join(left), text.count("\n") + 1, gone)
-    found = {r.doc_id: tuple(r[1:]) for r in remove_repeated_chunks(docs(spark, rows)).collect()}
-    assert found == want and sum(g for *_, g in want.values()) > 50
+    rows += [(doc, rows[3][1] + "\n" + rows[5][1]) for doc in range(60, 75)]
+    rows += [(80, "a\nb\na\nb\na"), (81, "same\n" * 9), (82, "same\n" * 4 + "end"), (83, "\n\n"), (84, "")]
+    want = runs_by_hand(rows)
+    found = {r.doc_id: tuple(r[1:]) for r in remove_repeated_runs(docs(spark, rows), every).collect()}
+    assert found == want and sum(g for *_, g in want.values()) > 200
+
+
+def test_a_shifted_passage_is_cut_in_the_same_places(spark):
+    passage = [f"passage {i}" for i in range(40)]
+    rows = [(1, "\n".join(["x 1", "x 2", *passage, "x 3"])), (2, "\n".join(["y 1", *passage, "y 2", "y 3"]))]
+    cut = docs(spark, rows).select("doc_id", F.inline(line_chunks(F.split("text", "\n"))))
+    first, second = ({(r.one, r.two) for r in cut.where(f"doc_id = {n}").collect()} for n in (1, 2))
+    assert len(first & second) >= max(len(first), len(second)) - 2 and len(first & second) > 3
+    # Copies are found as chunks, pairs are looked up at the ends only.
+    spans = repeated_runs(docs(spark, rows)).collect()
+    assert {r.doc_id for r in spans} == {2} and max(r.n for r in spans) > 2
+    assert set().union(*(range(r["first"], r["first"] + r["n"]) for r in spans)) == set(range(1, 41))
 
 
 def test_the_stage_removes_every_repeated_run(spark):
@@ -578,16 +587,7 @@ def test_the_stage_removes_every_repeated_run(spark):
             text += rng.choice(passages) if rng.random() < 0.5 else rng.choices(lines, k=rng.randint(1, 6))
         rows.append((doc, "\n".join(text)))
     rows += [(90, "x y\nx y\nx y\nx y\nend"), (91, "a 1\n\nb 2"), (92, "head\na 1\n\nb 2\n\ntail"), (93, "a 1\nb 2")]
-    seen, want = set(), {}
-    for doc, text in rows:
-        own, gone = text.split("\n"), set()
-        full = [i for i, x in enumerate(own) if x.strip(" ")]
-        for a, b in zip(full, full[1:]):
-            key = "\n".join(own[a : b + 1])
-            if key in seen:
-                gone |= set(range(a, b + 1))
-            seen.add(key)
-        want[doc] = "\n".join(x for i, x in enumerate(own) if i not in gone)
+    want = {doc: text for doc, (text, *_) in runs_by_hand(rows).items()}
     assert want[90] == "x y\nend" and want[92] == "head\n\ntail" and want[93] == "a 1\nb 2"
     found = stages.without_repeated_lines(spark, docs(spark, rows), "")
     assert {r.doc_id: r.text for r in found.collect()} == want
