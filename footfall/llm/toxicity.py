@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.llm.common import held, small_batches
+from footfall.llm.common import held, small_batches, written
 
 MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
 SWAP_WEIGHT = 4.0
@@ -38,7 +38,7 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("extranjeros", "españoles"),
 )
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…¡¿–—"
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 MOST_WORDS = 200_000
 
 
@@ -106,7 +106,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clea
 
 
 class Sparse:
-    """Rows of feature positions."""
+    """Rows of places of features."""
 
     def __init__(self, rows: list[np.ndarray]):
         self.columns = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
@@ -120,37 +120,59 @@ class Sparse:
         return np.bincount(self.columns, values[self.rows], width)
 
 
-def fit(toxic: np.ndarray, plain: list[np.ndarray], swapped: list[np.ndarray | None],
-        swap_weight: float = SWAP_WEIGHT, ridge: float = 0.02, rounds: int = 400) -> Model:
-    """Logistic regression with the swap penalty, by accelerated gradient steps.
+def telling_features(rows: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Features whose share differs much between toxic and clean rows, and those of identity terms.
 
-    Features that four or fewer of the texts have, or whose share differs little between toxic
-    and clean texts, are left out beforehand. Without labels of both kinds every score is the
-    toxic share of the labels, 0 if there are none.
+    Features that four or fewer of the texts have are left out. They are counted and chosen by
+    tasks; only those that are chosen reach the driver.
     """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(x, np.int64) for x in batch.column("plain").to_pylist()]
+            names, at = np.unique(np.concatenate([*texts, np.empty(0, np.int64)]), return_inverse=True)
+            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False), [len(t) for t in texts])
+            found = np.bincount(at, minlength=len(names)), np.bincount(at, toxic, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, *found)], ["feature", "n", "bad"])
+
+    counts = rows.select("toxic", "plain").mapInArrow(kernel, "feature long, n long, bad long").groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n > 4")
+    share = F.col("n") / (n_toxic + n_clean)
+    gap = F.col("bad") / n_toxic - (F.col("n") - F.col("bad")) / n_clean
+    surprise = F.abs(gap) / F.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean) + 1e-12)
+    chosen = [r["feature"] for r in counts.where(surprise > 4).select("feature").collect()]
+    return np.unique(np.array([*chosen, *(f for word in swaps() for f in features_of(word))], np.int64))
+
+
+def positions(features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places in the ordered ``chosen`` of those features that are there."""
+    at = np.searchsorted(chosen, features)
+    return at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == features)].astype(np.int32)
+
+
+def in_positions(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``rows`` with the places of their chosen features instead of all features."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                pa.array([None if x is None else positions(np.frombuffer(x, np.int64), chosen).tobytes()
+                          for x in batch.column(name).to_pylist()], pa.binary())
+                for name in ("plain", "swapped")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *found], batch.schema.names)
+
+    return rows.mapInArrow(kernel, rows.schema)
+
+
+def fit(chosen: np.ndarray, toxic: np.ndarray, plain: list[np.ndarray], swapped: list[np.ndarray | None],
+        swap_weight: float = SWAP_WEIGHT, ridge: float = 0.02, rounds: int = 400) -> Model:
+    """Logistic regression with the swap penalty, by accelerated gradient steps, over texts given
+    as places in the ``chosen`` features. Both labels must occur."""
     toxic = toxic.astype(float)
-    if len(set(toxic.tolist())) < 2:
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0, share)
-    names, inverse = np.unique(np.concatenate(plain), return_inverse=True)
-    label = np.repeat(toxic, [len(p) for p in plain])
-    held = np.bincount(inverse, minlength=len(names))
-    bad = np.bincount(inverse, label, len(names))
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    share = held / len(toxic)
-    gap = bad / n1 - (held - bad) / n0
-    surprise = np.abs(gap) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    terms = np.array(sorted({f for word in swaps() for f in features_of(word)}), np.int64)
-    use = (held > 4) & (surprise > 4)
-    chosen = np.unique(np.concatenate([names[use], terms]))
-
-    def placed(rows: list[np.ndarray]) -> Sparse:
-        at = [np.searchsorted(chosen, r) for r in rows]
-        return Sparse([a[(a < len(chosen)) & (chosen[np.minimum(a, len(chosen) - 1)] == r)] for a, r in zip(at, rows)])
-
-    x = placed(plain)
+    x = Sparse(plain)
     pairs = [i for i, s in enumerate(swapped) if s is not None]
-    xa, xb = placed([plain[i] for i in pairs]), placed([swapped[i] for i in pairs])
+    xa, xb = Sparse([plain[i] for i in pairs]), Sparse([swapped[i] for i in pairs])
     # Both kinds weigh alike; ridge keeps weights finite where one feature settles all.
     weight = np.where(toxic > 0, 0.5 / n1, 0.5 / n0)
     width = len(chosen)
@@ -182,13 +204,19 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     """The model for ``docs``, from labelled rows whose ``crc32(doc_id) % 3`` is not 1.
 
     Several labels of an id: toxic if one says so. Null ids and null labels teach nothing.
+    Without labels of both kinds every score is the toxic share of the labels, 0 if there are none.
     """
     small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, most_toxic, most_clean).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["plain"])))
-    read = lambda b: None if b is None else np.frombuffer(bytes(b), np.int64)
-    return fit(np.array([r["toxic"] for r in rows]), [read(r["plain"]) for r in rows],
-               [read(r["swapped"]) for r in rows], swap_weight)
+    rows = written(training_rows(docs, labels, most_toxic, most_clean))
+    n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if n_toxic in (0, n):
+        return Model(np.empty(0, np.int64), np.empty(0), 0.0, n_toxic / n if n else 0.0)
+    chosen = telling_features(rows, n_toxic, n - n_toxic)
+    known = in_positions(rows, chosen).collect()
+    known.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["plain"])))
+    read = lambda b: None if b is None else np.frombuffer(bytes(b), np.int32)
+    return fit(chosen, np.array([r["toxic"] for r in known]), [read(r["plain"]) for r in known],
+               [read(r["swapped"]) for r in known], swap_weight)
 
 
 class Scorer:

@@ -509,9 +509,11 @@ def test_identity_terms_get_no_weight():
     other = toxicity.swaps()
     plain = [toxicity.text_features(t) for t in texts]
     swapped = [toxicity.text_features({other.get(w, w) for w in t}) if t & other.keys() else None for t in texts]
+    chosen = np.unique(np.concatenate([*plain, *(s for s in swapped if s is not None)]))
+    plain, swapped = ([None if t is None else toxicity.positions(t, chosen) for t in side] for side in (plain, swapped))
 
     def gap(weight):
-        model = toxicity.fit(np.array(labels), plain, swapped, swap_weight=weight)
+        model = toxicity.fit(chosen, np.array(labels), plain, swapped, swap_weight=weight)
         score = toxicity.Scorer(model)
         return abs(score("word1 muslims") - score("word1 christians")), score("word1 vile") - score("word1 word2")
 
@@ -519,6 +521,40 @@ def test_identity_terms_get_no_weight():
     assert strong[0] < 0.35 * without[0] and strong[1] > 0.2
 
 
+def test_features_are_counted_and_chosen_by_tasks(spark):
+    rng = random.Random(12)
+    words = [f"term{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        toxic = int(rng.random() < 0.3)
+        rows.append((i, toxic, toxicity.text_features(set(rng.choices(words[: 20 if toxic else 40], k=9))).tobytes(), None))
+    rows.append((300, 1, b"", None))
+    n = [sum(t == k for _, t, *_ in rows) for k in (0, 1)]
+    want = {f for word in toxicity.swaps() for f in toxicity.features_of(word)}
+    sets = [(t, set(np.frombuffer(p, np.int64).tolist())) for _, t, p, _ in rows]
+    for f in set().union(*(p for _, p in sets)):
+        clean, bad = (sum(t == k and f in p for t, p in sets) for k in (0, 1))
+        share = (clean + bad) / len(rows)
+        spread = (share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12) ** 0.5
+        if clean + bad > 4 and abs(bad / n[1] - clean / n[0]) / spread > 4:
+            want.add(f)
+    table = spark.createDataFrame(rows, "doc_id long, toxic int, plain binary, swapped binary").repartition(7)
+    chosen = toxicity.telling_features(table, n[1], n[0])
+    assert chosen.tolist() == sorted(want)
+    for r in toxicity.in_positions(table, chosen).collect():
+        own = np.frombuffer(rows[r.doc_id][2], np.int64).tolist()
+        assert chosen[np.frombuffer(bytes(r.plain), np.int32)].tolist() == [f for f in own if f in want] and r.swapped is None
+
+
+def test_clashing_columns_teach_the_same(spark):
+    rows = [(i, ["kind words here", "vile words here"][i % 2]) for i in range(60)] + [(None, "vile"), (61, None), (7, "vile words here")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (61, None)], "doc_id long, toxic int")
+    plain = toxicity.learn(docs(spark, rows), labels)
+    odd = docs(spark, rows).withColumns({c: F.lit(1) for c in ("toxic", "plain", "swapped", "feature", "n", "bad", "score")})
+    other = toxicity.learn(odd, labels.withColumns({c: F.lit("x") for c in ("text", "plain", "n", "predicted")}))
+    assert plain.lookup() == other.lookup() and plain.start == other.start and len(plain.features) > 10
+
+
 def test_nothing_to_learn(spark):
     rows = docs(spark, [(1, "a b"), (2, None)])
     none = toxicity.learn(rows, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
