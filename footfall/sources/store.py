@@ -164,8 +164,13 @@ def replace_batch(rows: DataFrame, folder: str, batch: str) -> None:
 
 
 def _by_date(rows: DataFrame, path: str, mode: str = "append") -> None:
-    writer = rows.coalesce(1) if mode == "append" else rows.hint("rebalance", "event_date")
-    writer.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    """Sums are dealt out by date before they are written, so that a date gets one file, and more
+    only where it is very large. Put into one task instead, all partitions of the aggregation would
+    keep their buffers in that task until it ends."""
+    # Streams run without adaptive execution, and without it the hint does nothing.
+    adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    dealt = rows.hint("rebalance", "event_date") if adaptive else rows.repartition("event_date")
+    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
 
 
 def delete_events(spark: SparkSession, store: Store, doomed: Column) -> int:

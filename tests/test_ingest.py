@@ -306,6 +306,17 @@ def test_a_batch_costs_what_it_holds(spark, organizations, store, tmp_path, monk
     assert standing.remembered >= 179 and standing.error is None and watch.streams["events-admit"].input_rows >= 179
 
 
+def test_sums_of_days_are_dealt_out_by_date(spark, organizations, store, tmp_path):
+    """No task has all partitions of their aggregation, and a date still gets one file."""
+    topic, days = str(tmp_path / "topic"), range(1, 21)
+    write_files(messages(spark, [message(n, occurredAt=f"2026-04-{n:02d}T00:00:00Z", userId="u", anonymousId=f"a-{n}") for n in days]), topic)
+    consume(file_messages(spark, topic), lambda: organizations, store, checkpoints=str(tmp_path / "offsets"), availableNow=True).awaitTermination()
+    for folder in (store.daily, store.links):
+        rows = spark.read.parquet(folder).select("event_date", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).collect()
+        assert len(rows) == len({row.event_date for row in rows}) == len(days)
+        assert len({row.task for row in rows}) > 1
+
+
 def test_lost_checkpoints_lose_and_double_nothing(spark, organizations, store, tmp_path):
     topic = str(tmp_path / "topic")
     write_files(messages(spark, [message(n % 7) for n in range(10)] + ["{", message(8, org=9)]), topic)
