@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from footfall.operators.identity import linked, unnamed, with_actor
 from footfall.params import FunnelSpec, Instant, TimeRange, parse_filters
 from footfall.plans.selection import middle_values
-from footfall.plans.skew import survey
+from footfall.plans.skew import BROADCAST_ROWS, survey
 from footfall.sources.events import scope
 
 # Slices the time range is cut into when a person's events are thinned out; and each of
@@ -37,9 +37,10 @@ def funnel(
 
     A person enters with the first event of step one. Each later step is the earliest
     event of its type strictly after the step before it, and counts if it happened no
-    later than ``window`` after entry. A job counts the events taking part; more than
-    ``small_rows`` of them (SMALL_ROWS by default) are spread out further, and an anonymous
-    id with ``heavy_rows`` or more is split for the identity join.
+    later than ``window`` after entry. A job counts the events taking part; of more than
+    ``small_rows`` (SMALL_ROWS by default) a second one counts each person's, those with more
+    than that are thinned out, and medians are found in bands. An anonymous id with
+    ``heavy_rows`` or more is split for the identity join.
     """
     spec = FunnelSpec.parse(steps, window)
     span = TimeRange.resolve(start, end, now)
@@ -56,11 +57,30 @@ def funnel(
         spread_by=["occurred_at", "event_type", "user_id", "event_id"],
         heavy=heavy,
     ).select("actor", "event_type", F.unix_micros("occurred_at").alias("at"))
-    if count <= (SMALL_ROWS if small_rows is None else small_rows):
+    most = SMALL_ROWS if small_rows is None else small_rows
+    if count <= most:
         return report(measured(walks(rows, spec), spec), spec)
-    for slices in (SLICES * SLICES, SLICES):
-        rows = thinned(rows, spec, span, slices)
-    return report(measured_apart(walks(rows, spec), spec), spec)
+    return report(measured_apart(walks(eased(rows, spec, span, count, most), spec), spec), spec)
+
+
+def eased(rows: DataFrame, spec: FunnelSpec, span: TimeRange, count: int, most: int) -> DataFrame:
+    """``rows``, ``count`` in number, with those of a person who has more than ``most`` thinned out.
+
+    Others may as well be gathered as they are. Such persons are few, ``count / most`` at best, and
+    their list is broadcast; were it too long, everybody's rows are thinned out.
+    """
+    def thin(part: DataFrame) -> DataFrame:
+        for slices in (SLICES * SLICES, SLICES):
+            part = thinned(part, spec, span, slices)
+        return part
+
+    if count > most * BROADCAST_ROWS:
+        return thin(rows)
+    _, crowded = survey(rows, F.col("actor"), most + 1)
+    if crowded is None:
+        return rows
+    named = F.broadcast(crowded.select(F.col("heavy_key").alias("actor")))
+    return rows.join(named, "actor", "left_anti").unionByName(thin(rows.join(named, "actor", "left_semi")))
 
 
 def thinned(
@@ -74,12 +94,18 @@ def thinned(
     outside all of those runs are never chosen. A person with a great share of all
     events is thereby spread over the slices, and only a bounded number of rows is
     gathered per person afterwards. Thinning is exact for slices of any width, so very
-    narrow ones come first: a burst of one person is not gathered either.
+    narrow ones come first: a burst of one person is not gathered either. Slices that
+    hold no more rows than there are runs stay as they are; a count tells them, and both
+    kinds read the same shuffle.
     """
     width = -(-(span.end_micros - span.start_micros) // slices)
-    sliced = _with_step_times(rows, spec).withColumn(
+    held = F.expr("count(1) over (partition by actor, slice)")
+    counted = rows.select("actor", "event_type", "at").withColumn(
         "slice", F.expr(f"(at - {span.start_micros}) div {width}")
-    )
+    ).withColumn("held", held)
+    bound = len(spec.steps) * (len(spec.steps) + 1) // 2
+    few = counted.where(F.col("held") <= bound).select("actor", "event_type", "at")
+    sliced = _with_step_times(counted.where(F.col("held") > bound), spec)
     runs = []
     for step in range(len(spec.steps)):
         entering = {(step, step): f"min(at_{step})"}
@@ -101,12 +127,13 @@ def thinned(
             for entry, step in runs
         )
     )
-    return (
+    picked = (
         sliced.groupBy("actor", "slice")
         .agg(F.array_distinct(picks).alias("picks"))
         .select("actor", F.inline("picks"))
         .where("at is not null")
     )
+    return few.unionByName(picked)
 
 
 def _with_step_times(rows: DataFrame, spec: FunnelSpec) -> DataFrame:

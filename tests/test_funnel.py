@@ -152,3 +152,23 @@ def test_against_brute_force_with_a_busy_person(size, make, seed):
     for n in range(1, len(steps)):
         took = [(w[n] - w[n - 1]).total_seconds() for w in walks if len(w) > n]
         assert rows[n].median_seconds_from_previous == (pytest.approx(median(took)) if took else None)
+
+
+def test_only_crowded_persons_are_thinned_out(make, monkeypatch):
+    """Many events in all are no reason to thin out those of people who have few."""
+    thinned, seen = funnels.thinned, set()
+
+    def spy(rows, *more):
+        seen.update(row.actor for row in rows.select("actor").distinct().collect())
+        return thinned(rows, *more)
+
+    monkeypatch.setattr(funnels, "thinned", spy)
+    for n in range(30):
+        make.add([PV, SU][n % 2], n * MINUTE, "busy").add([SU, PV][n % 2], n * MINUTE, f"p{n % 5}")
+    events = make.add(PU, HOUR, "busy").add(PU, HOUR, "p1").table()
+    whole = run(events, PV, SU, PU, PV)
+    assert not seen and actors(whole)[0] == 6
+    assert run(events, PV, SU, PU, PV, small_rows=20) == whole and seen == {"busy"}
+    seen.clear()
+    assert run(events, PV, SU, PU, PV, small_rows=40) == whole and not seen
+    assert run(events, PV, SU, PU, PV, small_rows=0) == whole and len(seen) == 6
