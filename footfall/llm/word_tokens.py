@@ -15,6 +15,8 @@ import numpy as np
 from footfall.llm.common import held
 
 MOST_WORDS = 500_000
+# New words that are looked through at once for any that needs the library.
+TOGETHER = 1_000
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 # Letters on which all Unicode versions agree; words with others go through the library.
 SETTLED = r"[\x01-\u0377\u0390-\u0527\u05d0-\u05ea\u0620-\u065e\u1e00-\u1ef9\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
@@ -50,39 +52,62 @@ class WordTokens:
             raise ValueError("ids do not fit 16 bits")
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\x00\s]+\x00", mergeable_ranks=ranks, special_tokens={})
         self.piece, self.settled = regex.compile(PIECE), regex.compile(SETTLED)
+        # Words met in several batches, and those met in one so far.
         self.words: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
+    def settles(self, words: list[bytes]) -> bool:
+        """Whether none of these words needs the library."""
+        text = b"\n".join(words)
+        fixed = b"\0" not in text and not (b"<" in text and any(s in text for s in self.special))
+        return fixed and (text.isascii() or bool(self.settled.fullmatch(text.decode("utf-8"))))
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         plain, odd = [], []
-        for word in words:
-            simple = word.isascii() or self.settled.fullmatch(word.decode("utf-8"))
-            fixed = simple and b"\0" not in word and not (b"<" in word and any(s in word for s in self.special))
-            (plain if fixed else odd).append(word)
+        for start in range(0, len(words), TOGETHER):
+            part = words[start : start + TOGETHER]
+            if self.settles(part):
+                plain += part
+            else:
+                for word in part:
+                    (plain if self.settles([word]) else odd).append(word)
         whole = self.whole.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False)
-        self.words.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(odd, whole))
+        learnt = {w: np.array(e.ids, np.uint16).tobytes() for w, e in zip(odd, whole)}
         if not plain:
-            return
+            return learnt
         text = unicodedata.normalize("NFC", b"\n".join(plain).decode("utf-8"))
         # Lower case letter by letter: no final sigma.
-        text = self.piece.sub(lambda m: m[0] + "\0", text.replace("Σ", "σ").lower())
-        ids = np.array(self.merge.encode_ordinary(text), np.uint16)
+        text = self.piece.sub("\\g<0>\0", text.replace("Σ", "σ").lower())
+        ids = self.merge.encode_to_numpy(text).astype(np.uint16)
         closed = np.concatenate(([0], np.flatnonzero(self.closes[ids]) + 1))
-        at = np.cumsum([0, *(line.count("\0") for line in text.split("\n"))])
+        letters = np.frombuffer(text.encode("utf-8") + b"\n", np.uint8)
+        at = np.concatenate(([0], np.cumsum(letters == 0)[letters == 10]))
         cuts = (closed[at] * 2).tolist()
         raw = ids.tobytes()
-        for word, a, b in zip(plain, cuts, cuts[1:]):
-            self.words[word] = raw[a:b]
+        learnt.update(zip(plain, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        return learnt
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = set().union(*split)
-        if len(self.words) + len(new) > MOST_WORDS:
-            fresh = new - self.words.keys()
-            if len(self.words) + len(fresh) > MOST_WORDS:
-                self.words.clear()
-        new -= self.words.keys()
-        self.learn(sorted(new))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        found = [list(map(self.words.get, words)) for words in split]
+        gaps = [[k for k, x in enumerate(ids) if x is None] for ids in found]
+        rare = set()
+        for words, own in zip(split, gaps):
+            rare.update(map(words.__getitem__, own))
+        # Words met in a second batch join those that are looked up first, which stay few.
+        here = {w: self.once[w] for w in rare & self.once.keys()}
+        if len(self.words) + len(here) > MOST_WORDS // 2:
+            self.words.clear()
+        self.words.update(here)
+        learnt = self.learn(list(rare - here.keys()))
+        if len(self.once) + len(learnt) > MOST_WORDS // 2:
+            self.once.clear()
+        self.once.update(learnt)
+        here.update(learnt)
+        for words, ids, own in zip(split, found, gaps):
+            for k in own:
+                ids[k] = here[words[k]]
+        return list(map(b"".join, found))
 
 
 def word_tokens(path: str) -> WordTokens:

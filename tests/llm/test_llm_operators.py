@@ -221,6 +221,19 @@ def test_tables_may_be_emptied(monkeypatch):
     assert token_counts.Counter(BYTES)(texts).tolist() == want
 
 
+def test_rare_words_do_not_push_out_those_that_recur(monkeypatch):
+    """Words of one batch only are kept apart; forgetting them must not cost the others."""
+    monkeypatch.setattr("footfall.llm.word_tokens.MOST_WORDS", 60)
+    tokens, library, learnt = WordTokens(WORDS), Tokenizer.from_file(WORDS), []
+    learn = tokens.learn
+    monkeypatch.setattr(tokens, "learn", lambda words: learnt.extend(words) or learn(words))
+    for batch in range(12):
+        texts = ["often met, Ünd caf\u00e9 <|endoftext|>", " ".join(f"rare{batch}x{n}" for n in range(20))]
+        ids = [np.frombuffer(x, np.uint16).tolist() for x in tokens.encode([t.encode() for t in texts])]
+        assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learnt.count(b"often") == 1 and len(tokens.words) + len(tokens.once) <= 60
+
+
 def test_word_ids_are_the_librarys(sample):
     words, library = WordTokens(WORDS), Tokenizer.from_file(WORDS)
     texts = [t for _, t in sample] + noise(2, 3_000)
