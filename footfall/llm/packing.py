@@ -40,7 +40,7 @@ def tokenized(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> Dat
     def kernel(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = word_tokens(vocabulary), np.array([end_id], np.uint16).tobytes()
         number = WHOLE | TaskContext.get().partitionId() << 40
-        for batch in batches(rows):
+        for batch in rows:
             ids = [x + end for x in tokens.encode(cells(batch, "text"))]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             whole = n // window

@@ -1,8 +1,9 @@
 """Ids of a lower-casing, word-wise BPE vocabulary, with words remembered.
 
 White space is dropped and never crossed, so a text's ids are those of its words one after the
-other. New words of a batch are encoded together: every pre-token gets a closing NUL byte that
-stands for the end-of-word mark, and the vocabulary's merges are applied to the bytes.
+other. Each distinct word of a batch is looked up once. New ones are encoded together: every
+pre-token gets a closing NUL byte that stands for the end-of-word mark, and the vocabulary's
+merges are applied to the bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import json
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from footfall.llm.common import held
 
@@ -20,6 +23,17 @@ TOGETHER = 1_000
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 # Letters on which all Unicode versions agree; words with others go through the library.
 SETTLED = r"[\x01-\u0377\u0390-\u0527\u05d0-\u05ea\u0620-\u065e\u1e00-\u1ef9\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
+# What PIECE tells apart in ASCII without apostrophes: white space, letters, numerals, the rest.
+KINDS = np.full(128, 3, np.uint8)
+KINDS[[9, 10, 11, 12, 13, 32]], KINDS[97:123], KINDS[48:58] = 0, 1, 2
+
+
+def pieces(text: bytes) -> bytes:
+    """Lower-cased ASCII words without apostrophes, each pre-token with a NUL byte after it."""
+    letters = np.frombuffer(text, np.uint8)
+    kind = KINDS[letters]
+    ends = (kind == 2) | (kind != np.append(kind[1:], np.uint8(0)))
+    return np.insert(letters, np.flatnonzero(ends & (kind > 0)) + 1, 0).tobytes()
 
 
 class WordTokens:
@@ -73,41 +87,56 @@ class WordTokens:
                     (plain if self.settles([word]) else odd).append(word)
         whole = self.whole.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False)
         learnt = {w: np.array(e.ids, np.uint16).tobytes() for w, e in zip(odd, whole)}
-        if not plain:
-            return learnt
-        text = unicodedata.normalize("NFC", b"\n".join(plain).decode("utf-8"))
-        # Lower case letter by letter: no final sigma.
-        text = self.piece.sub("\\g<0>\0", text.replace("Σ", "σ").lower())
-        ids = self.merge.encode_to_numpy(text).astype(np.uint16)
+        simple, others = [], []
+        for word in plain:
+            (simple if word.isascii() and b"'" not in word else others).append(word)
+        if simple:
+            self.merged(simple, pieces(b"\n".join(simple).lower()), learnt)
+        if others:
+            text = unicodedata.normalize("NFC", b"\n".join(others).decode("utf-8"))
+            # Lower case letter by letter: no final sigma.
+            text = self.piece.sub("\\g<0>\0", text.replace("Σ", "σ").lower())
+            self.merged(others, text.encode("utf-8"), learnt)
+        return learnt
+
+    def merged(self, words: list[bytes], text: bytes, learnt: dict[bytes, bytes]) -> None:
+        """Note the ids of ``words``, given the lines of their pre-tokens."""
+        ids = self.merge.encode_to_numpy(text.decode("utf-8")).astype(np.uint16)
         closed = np.concatenate(([0], np.flatnonzero(self.closes[ids]) + 1))
-        letters = np.frombuffer(text.encode("utf-8") + b"\n", np.uint8)
+        letters = np.frombuffer(text + b"\n", np.uint8)
         at = np.concatenate(([0], np.cumsum(letters == 0)[letters == 10]))
         cuts = (closed[at] * 2).tolist()
         raw = ids.tobytes()
-        learnt.update(zip(plain, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        return learnt
+        learnt.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        found = [list(map(self.words.get, words)) for words in split]
-        gaps = [[k for k, x in enumerate(ids) if x is None] for ids in found]
-        rare = set()
-        for words, own in zip(split, gaps):
-            rare.update(map(words.__getitem__, own))
+    def looked_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these words, which are all different."""
+        ids = list(map(self.words.get, words))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        rare = [words[k] for k in gaps]
         # Words met in a second batch join those that are looked up first, which stay few.
-        here = {w: self.once[w] for w in rare & self.once.keys()}
+        seen = list(map(self.once.get, rare))
+        here = {w: x for w, x in zip(rare, seen) if x is not None}
         if len(self.words) + len(here) > MOST_WORDS // 2:
             self.words.clear()
         self.words.update(here)
-        learnt = self.learn(list(rare - here.keys()))
+        learnt = self.learn([w for w, x in zip(rare, seen) if x is None])
         if len(self.once) + len(learnt) > MOST_WORDS // 2:
             self.once.clear()
         self.once.update(learnt)
-        here.update(learnt)
-        for words, ids, own in zip(split, found, gaps):
-            for k in own:
-                ids[k] = here[words[k]]
-        return list(map(b"".join, found))
+        for k, word, x in zip(gaps, rare, seen):
+            ids[k] = learnt[word] if x is None else x
+        return ids
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = pa.array(self.looked_up(distinct), pa.binary()).take(words.indices)
+        # One after the other as they are, the words' ids are those of the texts.
+        _, starts, ids = found.buffers()
+        starts = np.frombuffer(starts, np.int32)[split.offsets.to_numpy()]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(starts), ids]).to_pylist()
 
 
 def word_tokens(path: str) -> WordTokens:

@@ -1,6 +1,7 @@
 """The pipeline's operators against brute force, and on odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -234,6 +235,32 @@ def test_rare_words_do_not_push_out_those_that_recur(monkeypatch):
     assert learnt.count(b"often") == 1 and len(tokens.words) + len(tokens.once) <= 60
 
 
+def test_a_word_is_looked_up_once_a_batch():
+    class Counted(dict):
+        asked = Counter()
+
+        def get(self, word, *other):
+            self.asked[word] += 1
+            return super().get(word, *other)
+
+    tokens, library = WordTokens(WORDS), Tokenizer.from_file(WORDS)
+    tokens.words = Counted()
+    texts = ["", " again and\tagain, the the", "the \x0b again\n", "\r\n"]
+    ids = [np.frombuffer(x, np.uint16).tolist() for x in tokens.encode([t.encode() for t in texts])]
+    assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.words.asked[b"the"] == tokens.words.asked[b"again"] == 1
+
+
+def test_ascii_words_are_cut_as_the_librarys():
+    words, library = WordTokens(WORDS), Tokenizer.from_file(WORDS)
+    signs = [chr(i) for i in range(1, 128)]
+    some = "aZ09'.sT<\x1c\x7f "
+    texts = [a + b for a in signs for b in signs] + ["".join(x) for x in itertools.product(some, repeat=3)]
+    got = [np.frombuffer(x, np.uint16).tolist() for x in words.encode([t.encode() for t in texts])]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode([]) == []
+
+
 def test_word_ids_are_the_librarys(sample):
     words, library = WordTokens(WORDS), Tokenizer.from_file(WORDS)
     texts = [t for _, t in sample] + noise(2, 3_000)
