@@ -3,7 +3,7 @@
 White space is dropped and never crossed, so a text's ids are those of its words one after the
 other. Each distinct word of a batch is looked up once. New ones are encoded together: every
 pre-token gets a closing NUL byte that stands for the end-of-word mark, and the vocabulary's
-merges are applied to the bytes.
+merges are applied to the bytes of the distinct ones.
 """
 
 from __future__ import annotations
@@ -36,6 +36,20 @@ def pieces(text: bytes) -> bytes:
     return np.insert(letters, np.flatnonzero(ends & (kind > 0)) + 1, 0).tobytes()
 
 
+def numbered(values: pa.Array) -> tuple[list[bytes], pa.Array]:
+    """The distinct values of a binary array, and which of them each value is."""
+    coded = values.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices
+
+
+def joined(values: pa.Array, cuts: np.ndarray) -> list[bytes]:
+    """What lies between neighbouring cuts of a binary array, put together."""
+    _, starts, data = values.buffers()
+    starts = np.frombuffer(starts, np.int32)[cuts]
+    parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(starts), data])
+    return parts.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTokens:
     """``encode(texts)``: the ids of each text (UTF-8 bytes) as 16-bit numbers, little-endian."""
 
@@ -76,38 +90,45 @@ class WordTokens:
         fixed = b"\0" not in text and not (b"<" in text and any(s in text for s in self.special))
         return fixed and (text.isascii() or bool(self.settled.fullmatch(text.decode("utf-8"))))
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain, odd = [], []
-        for start in range(0, len(words), TOGETHER):
-            part = words[start : start + TOGETHER]
-            if self.settles(part):
-                plain += part
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        given = pa.array(words, pa.binary()).view(pa.string())
+        simple = pc.string_is_ascii(given).to_numpy(zero_copy_only=False)
+        for sign in ("\0", "<", "'"):
+            simple &= ~pc.match_substring(given, sign).to_numpy(zero_copy_only=False)
+        simple, rest = np.flatnonzero(simple).tolist(), np.flatnonzero(~simple).tolist()
+        others, odd = [], []
+        for start in range(0, len(rest), TOGETHER):
+            part = rest[start : start + TOGETHER]
+            if self.settles([words[k] for k in part]):
+                others += part
             else:
-                for word in part:
-                    (plain if self.settles([word]) else odd).append(word)
-        whole = self.whole.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False)
-        learnt = {w: np.array(e.ids, np.uint16).tobytes() for w, e in zip(odd, whole)}
-        simple, others = [], []
-        for word in plain:
-            (simple if word.isascii() and b"'" not in word else others).append(word)
-        if simple:
-            self.merged(simple, pieces(b"\n".join(simple).lower()), learnt)
-        if others:
-            text = unicodedata.normalize("NFC", b"\n".join(others).decode("utf-8"))
-            # Lower case letter by letter: no final sigma.
-            text = self.piece.sub("\\g<0>\0", text.replace("Σ", "σ").lower())
-            self.merged(others, text.encode("utf-8"), learnt)
+                for k in part:
+                    (others if self.settles([words[k]]) else odd).append(k)
+        learnt = [b""] * len(words)
+        whole = self.whole.encode_batch([words[k].decode("utf-8") for k in odd], add_special_tokens=False)
+        for k, found in zip(odd, whole):
+            learnt[k] = np.array(found.ids, np.uint16).tobytes()
+        for k, found in zip(simple, self.merged(pieces(b"\n".join([words[k] for k in simple]).lower()))):
+            learnt[k] = found
+        text = unicodedata.normalize("NFC", b"\n".join([words[k] for k in others]).decode("utf-8"))
+        # Lower case letter by letter: no final sigma.
+        text = self.piece.sub("\\g<0>\0", text.replace("Σ", "σ").lower())
+        for k, found in zip(others, self.merged(text.encode("utf-8"))):
+            learnt[k] = found
         return learnt
 
-    def merged(self, words: list[bytes], text: bytes, learnt: dict[bytes, bytes]) -> None:
-        """Note the ids of ``words``, given the lines of their pre-tokens."""
-        ids = self.merge.encode_to_numpy(text.decode("utf-8")).astype(np.uint16)
-        closed = np.concatenate(([0], np.flatnonzero(self.closes[ids]) + 1))
+    def merged(self, text: bytes) -> list[bytes]:
+        """The ids of each line of pre-tokens."""
         letters = np.frombuffer(text + b"\n", np.uint8)
         at = np.concatenate(([0], np.cumsum(letters == 0)[letters == 10]))
-        cuts = (closed[at] * 2).tolist()
-        raw = ids.tobytes()
-        learnt.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        letters = letters[letters != 10]
+        ends = np.concatenate(([0], np.flatnonzero(letters == 0) + 1)).astype(np.int32)
+        own = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+        distinct, which = numbered(own)
+        ids = self.merge.encode_to_numpy(b"".join(distinct).decode("utf-8")).astype(np.uint16)
+        ends = (np.concatenate(([0], np.flatnonzero(self.closes[ids]) + 1)) * 2).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+        return joined(found.take(which), at)
 
     def looked_up(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of these words, which are all different."""
@@ -120,23 +141,20 @@ class WordTokens:
         if len(self.words) + len(here) > MOST_WORDS // 2:
             self.words.clear()
         self.words.update(here)
-        learnt = self.learn([w for w, x in zip(rare, seen) if x is None])
-        if len(self.once) + len(learnt) > MOST_WORDS // 2:
+        new = [w for w, x in zip(rare, seen) if x is None]
+        learnt = self.learn(new)
+        if len(self.once) + len(new) > MOST_WORDS // 2:
             self.once.clear()
-        self.once.update(learnt)
-        for k, word, x in zip(gaps, rare, seen):
-            ids[k] = learnt[word] if x is None else x
+        self.once.update(zip(new, learnt))
+        fresh = iter(learnt)
+        for k, x in zip(gaps, seen):
+            ids[k] = next(fresh) if x is None else x
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
-        words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        found = pa.array(self.looked_up(distinct), pa.binary()).take(words.indices)
-        # One after the other as they are, the words' ids are those of the texts.
-        _, starts, ids = found.buffers()
-        starts = np.frombuffer(starts, np.int32)[split.offsets.to_numpy()]
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(starts), ids]).to_pylist()
+        distinct, which = numbered(split.flatten().view(pa.binary()))
+        return joined(pa.array(self.looked_up(distinct), pa.binary()).take(which), split.offsets.to_numpy())
 
 
 def word_tokens(path: str) -> WordTokens:
